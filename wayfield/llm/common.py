@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than space and U+0009..U+000D.
@@ -52,6 +53,23 @@ def held_out(doc_id: str | Column, mod: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % mod == 2, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, sample: int) -> tuple[list[Row], float]:
+    """text and y of up to `sample` labelled documents of each class outside the held-out part, the first by a hash of the doc_id.
+
+    Also what the logarithm of the odds in this sample lacks to that of all such labels.
+    """
+    learn = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod)).dropDuplicates()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
+    total = {r.y: r["count"] for r in learn.groupBy("y").count().collect()}
+    ids = [r for y in (0, 1) for r in learn.where(F.col("y") == y).orderBy(*order).limit(sample).collect()]  # 2 * sample rows at most
+    if not ids:
+        return [], 0.0
+    shift = math.log(total[1] * min(sample, total[0]) / total[0] / min(sample, total[1])) if len(total) == 2 else 0.0
+    few = values(docs.sparkSession, "doc_id bigint, y int", [(r.doc_id, r.y) for r in ids])
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return found.orderBy(*order, "text").limit(2 * sample).collect(), shift
+
+
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A few rows that the driver holds, as a relation of literals (numbers only)."""
     names = [x.strip().split(" ") for x in schema.split(",")]

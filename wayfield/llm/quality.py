@@ -2,12 +2,12 @@
 
 Each text gives a vector of transformed statistics (shares of character classes, lengths, repetition,
 compressibility).  Each class has its mean and a covariance shrunk towards a scaled identity; the score is
-the calibrated difference of the two Mahalanobis log-densities, solved with Cholesky factors that are
-computed once.
+the calibrated difference of the two Mahalanobis log-densities, with Cholesky factors that are computed
+and inverted once.
 
-How it scales.  Statistics are computed in one pass over the texts, with no shuffle, and staged as a
-narrow table.  The fit uses a bounded sample of labelled rows (``sample``, the first by a hash of the
-doc_id); every document is scored.  Only two means and factors are broadcast.
+How it scales.  The fit uses a bounded sample of labelled rows (``sample`` for each class, the first by a
+hash of the doc_id); every document is scored in one pass over the texts with no shuffle.  Only two
+means and factors are broadcast.
 
 Nulls and odd cases: a null text counts as empty and gets a score like any other; labels that are null
 or belong to no document are left out; without labels of both classes every score is the share of 1s
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage
+from .common import held_out, labelled_sample
 
 _CLASS = np.zeros(256, np.int64)  # 0 other control, 1 lower, 2 upper, 3 digit, 4 blank, 5 newline, 6 sentence mark, 7 symbol, 8 not ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 8
@@ -63,14 +62,6 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [statistics(t) for t in pdf["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
-
-
 @dataclass
 class Discriminant:
     """Two Gaussians on standardised statistics, and the logistic calibration of their difference."""
@@ -78,7 +69,7 @@ class Discriminant:
     centre: np.ndarray
     scale: np.ndarray
     means: list
-    factors: list  # lower Cholesky factors of the shrunk covariances
+    factors: list  # inverses of the lower Cholesky factors of the shrunk covariances
     slope: float
     offset: float
 
@@ -86,8 +77,8 @@ class Discriminant:
         z = np.clip((x - self.centre) / self.scale, -8, 8)
         logs = []
         for mean, factor in zip(self.means, self.factors, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)
-            logs.append(-0.5 * (y * y).sum(0) - np.log(np.diag(factor)).sum())
+            y = np.einsum("nj,ij->ni", z - mean, factor)
+            logs.append(-0.5 * (y * y).sum(1) + np.log(np.diag(factor)).sum())
         return logs[1] - logs[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -108,8 +99,8 @@ def calibrate(d: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, f
     return a / scale, b
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = 0.1) -> Discriminant | float:
-    """The model, or the share of 1s if one class has fewer rows than statistics."""
+def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = 0.1, shift: float = 0.0) -> Discriminant | float:
+    """The model, or the share of 1s if one class has fewer than two rows.  shift: what the sample's log odds lack to those of all labels."""
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return float(y.mean()) if len(y) else 0.5
     centre, scale = x.mean(0), x.std(0) + 1e-6
@@ -120,26 +111,30 @@ def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = 0.1) -> Discriminant |
         cov = np.cov(part.T, bias=True)
         cov = (1 - shrinkage) * cov + shrinkage * (np.trace(cov) / len(cov) + 1e-3) * np.eye(len(cov))
         means.append(part.mean(0))
-        factors.append(np.linalg.cholesky(cov))
+        factors.append(np.linalg.inv(np.linalg.cholesky(cov)))
     model = Discriminant(centre, scale, means, factors, 1.0, 0.0)
     model.slope, model.offset = calibrate(model.difference(x), y.astype(float))
+    model.offset += shift
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 4, threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs."""
-    spark = docs.sparkSession
-    rows = stage(with_statistics(docs))
-    learn = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id", mod)).dropDuplicates()
-    taken = rows.join(learn, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "y").limit(sample).toPandas()
-    model = fit(np.array(taken["x"].tolist()).reshape(-1, len(NAMES)), taken["y"].to_numpy(int))
-    shared = spark.sparkContext.broadcast(model)
+def with_score(docs: DataFrame, labels: DataFrame, column: str = "score", label: str = "quality", mod: int = 4, sample: int = 6000) -> DataFrame:
+    """docs with one more column: the score of each text, from 0 to 1."""
+    rows, shift = labelled_sample(docs, labels, label, mod, sample)
+    x, y = np.array([statistics(r.text) for r in rows]).reshape(-1, len(NAMES)), np.array([r.y for r in rows], int)
+    model = docs.sparkSession.sparkContext.broadcast(fit(x, y, shift=shift))
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        m = shared.value
-        if isinstance(m, float):
-            return pd.Series(np.full(len(x), m), index=x.index)
-        return pd.Series(m.score(np.stack(x.to_numpy())) if len(x) else np.empty(0), index=x.index)
+    def score(texts: pd.Series) -> pd.Series:
+        m = model.value
+        if isinstance(m, float) or not len(texts):
+            return pd.Series(np.full(len(texts), m if isinstance(m, float) else 0.0), index=texts.index)
+        return pd.Series(m.score(np.array([statistics(t) for t in texts])), index=texts.index)
 
-    return rows.select("doc_id", held_out("doc_id", mod).alias("held_out"), score("x").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(column, score("text"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int = 4, **options) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs."""
+    out = with_score(docs.select("doc_id", "text"), labels, "score", mod=mod, **options)
+    return out.select("doc_id", held_out("doc_id", mod).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

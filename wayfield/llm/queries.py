@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ogg_media, quality, sharding, url_filter
+from . import mixing, ogg_media, quality, sharding, toxicity, url_filter
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.stored_texts(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
