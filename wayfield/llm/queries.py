@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, mixing, ogg_media, quality, sharding, toxicity, url_filter
+from . import additive_ann, ctw, mixing, ogg_media, quality, sentencepiece_fst, sharding, toxicity, url_filter
 from .common import documents
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.round_trip(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -33,6 +37,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir), ["doc_id", "source"])
     return out.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"), "source")
