@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_ann, ctw, mixing, ogg_media, quality, sentencepiece_fst, sharding, toxicity, url_filter
+from . import additive_ann, ctw, mixing, ogg_media, quality, sentencepiece_fst, set_join, sharding, toxicity, url_filter
 from .common import documents
 
 
@@ -46,6 +46,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"), "source")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(documents(spark, sf_dir)).drop("set_id")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
