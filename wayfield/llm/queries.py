@@ -47,7 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return set_join.join(documents(spark, sf_dir)).drop("set_id")
+    return set_join.join(documents(spark, sf_dir)).drop("root", "digest")
 
 
 def queries() -> dict:

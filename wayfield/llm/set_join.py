@@ -11,14 +11,15 @@ first parts come last, so that passages which many documents share don't fill th
 Index-level skipping.  Lists are ordered by size of set; a set meets only the block of sizes it can
 link with, and skips entries whose position leaves too few shingles for a link.
 
-Answer-level skipping.  Sets of a family are highly similar, so their answers differ little: in a long
-list each set is first compared with its neighbour in the order and with the first set of its size block alone.
-The links found give components, and a set takes over the answer of its component; what is left to
-derive are candidates outside it, and only those pairs are compared in the second round.  No
-pair within a family is formed, and no link between components is lost.
-
-How it scales.  Texts are read in three passes; sets themselves never leave a task.  The shuffles hold first
-parts (a fifth of the shingles) and, for candidates, their texts.  Shingles that come last are
+Answer-level skipping.  Sets of a family are highly similar, so their answers differ little.  Members of long
+lists are first compared with one hub of their family alone (the member that stands in most lists);
+those that link take over the hub's answer, the component.  What is left to derive are links between
+different components: in large families by a product of blocks of sets, each against each, in which
+blocks of the answered part aren't compared with each other, and which gives only as many links as join
+components; elsewhere by comparing the remaining candidates of the lists.  No link between components is lost.
+
+How it scales.  Sets never leave a task, and are made again from texts.  The shuffles hold first parts
+(a fifth of the shingles) and, for candidates, their texts.  Shingles that come last are
 broadcast: those in more than ``common`` first parts, where ``common`` doubles until they are ``bound`` at most.
 
 Nulls and odd cases: null, empty and blank texts have an empty set (n 0) and link with nothing; fewer
@@ -116,27 +117,21 @@ def _eligible(n: np.ndarray, pos: np.ndarray, i, j, threshold: int) -> np.ndarra
     return (np.minimum(a, b) * 100 >= threshold * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= need)
 
 
-def first_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries of a list, ordered by n, that are compared first: all of a short list, else neighbours and block starts."""
-    m = len(node)
-    if m <= short:
-        i, j = np.triu_indices(m, 1)
-    else:
-        j = np.arange(1, m)
-        start = np.searchsorted(n, -(-n[1:] * threshold // 100))
-        i, j = np.concatenate([j - 1, np.minimum(start, j - 1)]), np.concatenate([j, j])
+def first_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of entries of a short list that may link."""
+    i, j = np.triu_indices(len(node), 1)
     ok = _eligible(n, pos, i, j, threshold)
     return node[i[ok]], node[j[ok]]
 
 
-def other_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of a list that may link and lie in different components."""
+def other_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, family: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of a list that may link and lie in different components, but for those of one large family (-1: none)."""
     if len(root) < 2 or (root == root[0]).all():
         return
     start = np.searchsorted(n, -(-n * threshold // 100))
     for j in range(1, len(node)):
         i = np.arange(start[j], j)
-        i = i[root[i] != root[j]]
+        i = i[(root[i] != root[j]) & ((family[i] != family[j]) | (family[j] < 0))]
         i = i[_eligible(n, pos, i, j, threshold)]
         if len(i):
             yield node[i], np.full(len(i), node[j])
@@ -163,12 +158,12 @@ def _packed(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
 
 
 def _index(nodes: DataFrame, threshold: int, short: int) -> DataFrame:
-    """The entries of all lists of two or more (pair false), and the pairs to compare first (pair true)."""
+    """The entries of all lists of two or more (pair false), and the pairs of short ones (pair true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for g, n, node, pos in _lists(batches):
-            a, b = first_pairs(node, n, pos, threshold, short)
+            a, b = first_pairs(node, n, pos, threshold) if len(g) <= short else (node[:0], node[:0])
             parts.append((np.zeros(len(g), bool), g, node, n, pos))
             parts.append((np.ones(len(a), bool), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), n.dtype), np.zeros(len(a), pos.dtype)))
             size += len(g) + len(a)
@@ -182,24 +177,116 @@ def _index(nodes: DataFrame, threshold: int, short: int) -> DataFrame:
     return entries.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(run, "pair boolean, g long, node long, n long, pos int")
 
 
-def _second_pairs(entries: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+def _families(entries: DataFrame, short: int) -> DataFrame:
+    """node and hub: of the hubs of the long lists that hold a node, the most frequent.
+
+    A list's hub is its entry that stands in most long lists for its size, and so has most in common with the others.
+    """
+    long = entries.join(entries.groupBy("g").count().where(F.col("count") > short).select("g"), "g", "left_semi")
+    share = long.groupBy("node").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    hubs = long.join(share, "node").groupBy("g").agg(F.max(F.struct("share", "node")).alias("hub")).select("g", F.col("hub.node").alias("hub"))
+    votes = long.join(hubs, "g").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("x")).select("node", F.col("x.hub").alias("hub"))
+
+
+def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links between two groups of sets (positions), as many as join what the links join."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1  # shingles of one set alone add to no intersection
+    keep = n[at] > 1
+    owner, at = owner[keep], rank[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    place = np.full(len(sets), -1)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        a, b = np.searchsorted(at, [start, start + columns])
+        dense = np.zeros((len(sets), columns), np.float32)
+        dense[owner[a:b], at[a:b] - start] = 1
+        both += dense[left] @ dense[right].T
+    u, v = np.nonzero(100 * both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both))
+    place = np.arange(len(sets))
+
+    def find(x: int) -> int:
+        while place[x] != x:
+            place[x] = place[place[x]]
+            x = place[x]
+        return x
+
+    out = []
+    for x, y in zip(left[u].tolist(), right[v].tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            place[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+def _family_links(families: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, threshold: int, most: int = 512, weight: int = 1 << 20) -> DataFrame:
+    """Links (u, v) within large families that join different components: every set against every other, in blocks.
+
+    A block has about `most` sets, and `weight` shingles, at most; sets that the first round put into the family's largest
+    component stand in blocks of their own, which aren't compared with each other.
+    """
+    placed = families.join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    main = by_root.groupBy("hub").agg(F.max(F.struct("k", "w", "root")).alias("main"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda k, w: F.ceil(F.greatest(k / most, w / weight)).cast("int")
+    main = main.select("hub", F.col("main.root").alias("main"), blocks(F.col("main.k"), F.col("main.w")).alias("a"), blocks(F.col("k") - F.col("main.k"), F.col("w") - F.col("main.w")).alias("b"))
+    inside = F.col("root") == F.col("main")
+    at = F.pmod(F.xxhash64("node"), F.when(inside, F.col("a")).otherwise(F.col("b"))).cast("int")
+    member = placed.join(main, "hub").withColumn("at", F.when(inside, F.col("b") + at).otherwise(at))
+    # Blocks 0 to b-1 hold the others, b to a+b-1 the main component; block i meets every block j >= i, if i is below b.
+    own = F.when(F.col("at") < F.col("b"), F.sequence(F.col("at"), F.col("a") + F.col("b") - 1)).otherwise(F.array().cast("array<int>"))
+    met = F.sequence(F.lit(0), F.least("at", F.col("b") - 1))
+    pairs = F.concat(F.transform(own, lambda j: F.struct(F.col("at").alias("i"), j.alias("j"))), F.transform(F.filter(met, lambda i: i != F.col("at")), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"))))
+    dealt = member.select("node", "hub", "at", F.explode(pairs).alias("x")).select("node", "hub", "at", "x.i", "x.j")
+    texts = _texts(families.select("node"), nodes, docs)
+
+    def run(table: pa.Table) -> pa.Table:
+        node, at, i = (table.column(c).to_numpy() for c in ("node", "at", "i"))
+        same = table.column("j").to_numpy()[0] == i[0]
+        sets = [shingles(t) for t in table.column("text").to_pylist()]
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == i if same else at != i)
+        links = _spanning(sets, left, right, threshold) if len(left) and len(right) else []
+        return pa.table({"u": pa.array([node[x] for x, _ in links], pa.int64()), "v": pa.array([node[y] for _, y in links], pa.int64())})
+
+    return dealt.join(texts, "node").groupBy("hub", "i", "j").applyInArrow(run, "u long, v long").where("u <> v")
+
+
+def _second_pairs(entries: DataFrame, roots: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, node, pos, root in _lists(batches):
-            for a, b in other_pairs(node, n, pos, root, threshold):
-                yield pa.record_batch({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+        parts, size = [], 0
+        for _, n, node, pos, root, family in _lists(batches):
+            for a, b in other_pairs(node, n, pos, root, family, threshold):
+                parts.append((np.minimum(a, b), np.maximum(a, b)))
+                size += len(a)
+            if size > 100_000:
+                u, v = np.unique(np.stack(_packed(parts)), axis=1)
+                yield pa.record_batch({"u": u, "v": v})
+                parts, size = [], 0
+        if parts:
+            u, v = np.unique(np.stack(_packed(parts)), axis=1)
+            yield pa.record_batch({"u": u, "v": v})
 
-    placed = entries.join(roots, "node", "left").select("g", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
+    placed = entries.join(roots, "node", "left").join(families, "node", "left").select("g", "n", "node", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("hub", F.lit(-1)).alias("family"))
     mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
     return placed.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int, few: int = 1_000_000) -> DataFrame:
-    """The pairs (u, v) whose sets, made again from the whole texts, link."""
-    need = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("d"), "digest")
-    need = stage(need)
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """node and text of one document of each wanted class."""
+    need = stage(wanted.distinct().join(nodes, "node").select("node", F.col("doc_id").alias("d"), "digest"))
     small = F.broadcast(need) if need.count() <= few else need  # beyond that a shuffle
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(small, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("digest")))
-    texts = stage(texts.select("node", "text"))
+    return stage(texts.select("node", "text"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (u, v) whose sets, made again from the whole texts, link."""
+    texts = _texts(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
@@ -218,8 +305,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int
     return both.mapInArrow(run, "u long, v long")
 
 
-def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1 << 21, short: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_id (its class; null without words) for each row of docs.
+def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1 << 21, short: int = 8, large: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id, root (the component's own number; null without words) and digest (of the text) for each row of docs.
 
     component_id is the smallest doc_id that links lead to.
     """
@@ -245,19 +332,43 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
     rows = stage(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(sets, f"doc_id {kind}, digest long, n long, high long, low long, part array<long>"))
     classes = rows.where("n > 0").groupBy("high", "low").agg(F.min(F.struct("doc_id", "digest")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("part").alias("part"))
     nodes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "one.*", "least", "n", "part"))
-    known = nodes.select("node", "doc_id", "digest")
+    known = nodes.select("node", "doc_id", "digest", "n")
     index = stage(_index(nodes, threshold, short))
     entries = index.where(~F.col("pair")).drop("pair")
-    pairs = stage(index.where("pair").select(F.col("g").alias("u"), F.col("node").alias("v")).distinct())
+    families = stage(_families(entries, short).join(nodes.select("node", "n"), "node"))
+    hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
+    near = families.join(hub, "hub").where((F.col("node") != F.col("hub")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold))
+    pairs = index.where("pair").select(F.col("g").alias("u"), F.col("node").alias("v"))
+    pairs = stage(pairs.unionByName(near.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))).distinct())
     links = stage(verified(pairs, known, docs, threshold))
     roots = stage(components(links))
-    more = stage(_second_pairs(entries, roots, threshold).join(pairs, ["u", "v"], "left_anti"))
+    large = stage(families.join(families.groupBy("hub").count().where(F.col("count") >= large).select("hub"), "hub", "left_semi").select("node", "hub"))
+    if large.count():
+        links = links.unionByName(stage(_family_links(large, known, roots, docs, threshold)))
+        roots = stage(components(links))
+    more = stage(_second_pairs(entries, roots, large, threshold).join(pairs, ["u", "v"], "left_anti"))
     if more.count():
         links = links.unionByName(stage(verified(more, known, docs, threshold)))
         roots = stage(components(links))
     placed = nodes.select("node", "high", "low", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    answers = stage(placed.join(ids, "root").select("high", "low", "node", "component_id"))
-    return rows.select("doc_id", "n", "high", "low").join(answers, ["high", "low"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id")
+    answers = stage(placed.join(ids, "root").select("high", "low", "root", "component_id"))
+    return rows.select("doc_id", "digest", "n", "high", "low").join(answers, ["high", "low"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "digest"
     )
+
+
+def one_of_each(docs: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
+    """docs without the rows that link, directly or not, with a row of smaller doc_id; rows without words stay."""
+    found = stage(join(docs, **options))
+    grouped = found.where("root is not null")
+    kept = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    gone = grouped.join(kept, "root").where(~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))))
+    gone = stage(gone.select(F.col("doc_id").alias("d"), F.col("digest").alias("t")).distinct())
+    small = F.broadcast(gone) if gone.count() <= few else gone  # beyond that a shuffle
+    left = docs.withColumn("w_digest", F.xxhash64("text")).join(small, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("w_digest") == F.col("t")), "left_anti")
+    repeated = grouped.join(kept, "root").where(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))).count() > kept.count()
+    if repeated:  # rows with the doc_id and the text of the one that stays
+        words = left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        left = words.dropDuplicates(["doc_id", "w_digest"]).unionByName(left.where(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))))
+    return left.select(*docs.columns)
