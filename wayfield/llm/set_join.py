@@ -43,31 +43,72 @@ from .components import components
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit ids of words, computed once for as long as the table stays within its bound."""
+_RANDOM = np.random.Generator(np.random.PCG64(2024))
+_LETTER = _RANDOM.integers(0, 2**64, 256, np.uint64, endpoint=False) | np.uint64(1)
+_PLACE = _RANDOM.integers(0, 2**64, 1 << 16, np.uint64, endpoint=False) | np.uint64(1)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        x = self[word] = xxhash.xxh3_64_intdigest(word)
-        return x
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    return h ^ (h >> np.uint64(29))
 
-_words = _Words()
 
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """Each text's set: sorted distinct hashes.
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The text's set: sorted distinct hashes."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(ids))
-    h = np.full(len(ids) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = (h ^ ids[k : len(ids) - n + 1 + k]) * _ODD
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+    A word's hash is the sum of its bytes' random numbers, each times that of its place; a shingle's is a mix of those of its words.
+    """
+    out: list[np.ndarray] = []
+    run, size = [], 0
+    for t in texts:
+        raw = (t or "").encode()
+        if run and size + len(raw) > 1 << 20:
+            out += _sets(run, width)
+            run, size = [], 0
+        run.append(raw)
+        size += len(raw) + 1
+    return out + (_sets(run, width) if run else [])
+
+
+def _sets(raws: list[bytes], width: int) -> list[np.ndarray]:
+    body = np.frombuffer((b" " + b" ".join(raws) + b" ").translate(_LOWER), np.uint8)
+    blank = _SPACE[body]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    sizes = ends - starts
+    offsets = np.cumsum(np.array([len(r) + 1 for r in raws], np.int64)) + 1  # where the next text starts
+    cut = np.concatenate([[0], np.searchsorted(starts, offsets)])
+    if not len(starts):
+        return [np.empty(0, np.uint64) for _ in raws]
+    inside = body[~blank]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    turn = place >> 16  # words of over 65,536 bytes take the numbers again, times an odd one
+    terms = _LETTER[inside] * _PLACE[place & 0xFFFF]
+    if turn.any():
+        terms *= (2 * turn + 1).astype(np.uint64)
+    ids = _mixed(np.add.reduceat(terms, first) + sizes.astype(np.uint64) * _ODD)
+    full = np.full(max(0, len(ids) - width + 1), width, np.uint64)
+    for k in range(width):
+        full = _mixed(full ^ ids[k : len(full) + k])
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a >= width:
+            h = np.sort(full[a : b - width + 1])
+            keep = np.ones(len(h), bool)
+            np.not_equal(h[1:], h[:-1], out=keep[1:])
+            out.append(h[keep])
+        elif b > a:
+            h = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                h = _mixed(h ^ ids[k : k + 1])
+            out.append(h)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def first_part(n: int, threshold: int) -> int:
@@ -93,11 +134,10 @@ def common_shingles(docs: DataFrame, threshold: int, common: int, bound: int) ->
 
         parts, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                s = shingles(text.as_py())
+            for s in shingle_sets(batch.column(0).to_pylist()):
                 parts.append(s[: first_part(len(s), threshold)] if len(s) else s)
                 size += len(parts[-1])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield total()
                     parts, size = [], 0
         if parts:
@@ -117,13 +157,6 @@ def _eligible(n: np.ndarray, pos: np.ndarray, i, j, threshold: int) -> np.ndarra
     return (np.minimum(a, b) * 100 >= threshold * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= need)
 
 
-def first_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of entries of a short list that may link."""
-    i, j = np.triu_indices(len(node), 1)
-    ok = _eligible(n, pos, i, j, threshold)
-    return node[i[ok]], node[j[ok]]
-
-
 def other_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, family: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of entries of a list that may link and lie in different components, but for those of one large family (-1: none)."""
     if len(root) < 2 or (root == root[0]).all():
@@ -160,18 +193,35 @@ def _packed(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
 def _index(nodes: DataFrame, threshold: int, short: int) -> DataFrame:
     """The entries of all lists of two or more (pair false), and the pairs of short ones (pair true)."""
 
+    def entries_and_pairs(g: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        """From whole lists."""
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+        length = np.repeat(np.diff(edges), np.diff(edges))
+        g, n, node, pos, length = (x[length > 1] for x in (g, n, node, pos, length))
+        parts = [(np.zeros(len(g), bool), g, node, n, pos)]
+        for k in range(1, short):  # entries of short lists that stand k apart
+            i = np.flatnonzero((g[:-k] == g[k:]) & (length[k:] <= short))
+            i = i[_eligible(n, pos, i, i + k, threshold)]
+            a, b = node[i], node[i + k]
+            parts.append((np.ones(len(i), bool), np.minimum(a, b), np.maximum(a, b), np.zeros(len(i), n.dtype), np.zeros(len(i), pos.dtype)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _packed(parts)], ["pair", "g", "node", "n", "pos"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for g, n, node, pos in _lists(batches):
-            a, b = first_pairs(node, n, pos, threshold) if len(g) <= short else (node[:0], node[:0])
-            parts.append((np.zeros(len(g), bool), g, node, n, pos))
-            parts.append((np.ones(len(a), bool), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), n.dtype), np.zeros(len(a), pos.dtype)))
-            size += len(g) + len(a)
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _packed(parts)], ["pair", "g", "node", "n", "pos"])
-                parts, size = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _packed(parts)], ["pair", "g", "node", "n", "pos"])
+        rest: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            end = len(columns[0]) - int(np.argmax(columns[0][::-1] != columns[0][-1])) if columns[0][0] != columns[0][-1] else 0
+            if end:
+                yield entries_and_pairs(*_packed([*rest, [c[:end] for c in columns]]))
+                rest = []
+            elif rest and rest[-1][0][-1] != columns[0][0]:
+                yield entries_and_pairs(*_packed(rest))
+                rest = []
+            rest.append([c[end:] for c in columns])
+        if rest:
+            yield entries_and_pairs(*_packed(rest))
 
     entries = nodes.select("node", "n", F.posexplode("part").alias("pos", "g")).select("g", "n", "node", "pos")
     return entries.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(run, "pair boolean, g long, node long, n long, pos int")
@@ -248,7 +298,7 @@ def _family_links(families: DataFrame, nodes: DataFrame, roots: DataFrame, docs:
     def run(table: pa.Table) -> pa.Table:
         node, at, i = (table.column(c).to_numpy() for c in ("node", "at", "i"))
         same = table.column("j").to_numpy()[0] == i[0]
-        sets = [shingles(t) for t in table.column("text").to_pylist()]
+        sets = shingle_sets(table.column("text").to_pylist())
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == i if same else at != i)
         links = _spanning(sets, left, right, threshold) if len(left) and len(right) else []
         return pa.table({"u": pa.array([node[x] for x, _ in links], pa.int64()), "v": pa.array([node[y] for _, y in links], pa.int64())})
@@ -289,15 +339,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int
     texts = _texts(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (u, a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if held[0] != u:
-                    held = (u, shingles(a.as_py()))
-                s = shingles(b.as_py())
-                both = len(np.intersect1d(held[1], s, assume_unique=True))
-                keep[k] = 100 * both >= threshold * (len(held[1]) + len(s) - both)
+            us, keep = batch.column(0).to_numpy(), np.zeros(batch.num_rows, bool)
+            fresh = np.ones(len(us), bool)  # neighbours with the same u share its set
+            fresh[1:] = us[1:] != us[:-1]
+            firsts = shingle_sets(batch.column(2).filter(pa.array(fresh)).to_pylist())
+            for k, (i, s) in enumerate(zip((np.cumsum(fresh) - 1).tolist(), shingle_sets(batch.column(3).to_pylist()), strict=True)):
+                both = len(firsts[i]) + len(s) - len(np.unique(np.concatenate([firsts[i], s])))
+                keep[k] = 100 * both >= threshold * (len(firsts[i]) + len(s) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
 
     first = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
@@ -316,8 +365,7 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, high, low, parts = [], [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py())
+            for s in shingle_sets(batch.column(1).to_pylist()):
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 high.append((digest >> 64) - (1 << 63))
