@@ -1,9 +1,11 @@
 """All queries of the library and their SQL, by name."""
 
+from wayfield.plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(plans.SQL)
