@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand texts to Python `rows` at a time at most, which bounds what a task holds; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(rows if now <= 0 else min(now, rows)))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 

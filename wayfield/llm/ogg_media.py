@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 CONTINUED, FIRST, LAST = 1, 2, 4
 NO_GRANULE = -1  # no packet ends on the page
 RATE, FRAME = 8000, 4000  # samples a second; bytes (samples) a packet
@@ -229,4 +231,5 @@ def stored_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
             yield pa.RecordBatch.from_arrays(arrays, names[: 8 + keep_media])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STORED + ", media binary" * keep_media)

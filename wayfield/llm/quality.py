@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, text_batches
 
 _CLASS = np.zeros(256, np.int64)  # 0 other control, 1 lower, 2 upper, 3 digit, 4 blank, 5 newline, 6 sentence mark, 7 symbol, 8 not ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 8
@@ -120,6 +120,7 @@ def fit(x: np.ndarray, y: np.ndarray, shrinkage: float = 0.1, shift: float = 0.0
 
 def with_score(docs: DataFrame, labels: DataFrame, column: str = "score", label: str = "quality", mod: int = 4, sample: int = 6000) -> DataFrame:
     """docs with one more column: the score of each text, from 0 to 1."""
+    text_batches(docs.sparkSession)
     rows, shift = labelled_sample(docs, labels, label, mod, sample)
     x, y = np.array([statistics(r.text) for r in rows]).reshape(-1, len(NAMES)), np.array([r.y for r in rows], int)
     model = docs.sparkSession.sparkContext.broadcast(fit(x, y, shift=shift))

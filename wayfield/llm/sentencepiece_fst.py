@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 INFINITY = float("inf")
@@ -110,7 +112,7 @@ def compile_model(path: str = MODEL) -> Machine:
 class Transducer:
     """A machine ready to run, with its tables of what it has seen."""
 
-    def __init__(self, machine: Machine, most: int = 1 << 19):
+    def __init__(self, machine: Machine, most: int = 1 << 18):
         self.m, self.most = machine, most
         self.trie = ahocorasick.Automaton()
         for p, i in machine.arcs.items():
@@ -236,6 +238,7 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 def encode(docs: DataFrame, column: str = "ids", model: str | Machine = MODEL, text: str = "text") -> DataFrame:
     """docs with one more column: the ids of each text."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Machine) else compile_model(model))
 
     @F.arrow_udf("array<int>")
@@ -248,6 +251,7 @@ def encode(docs: DataFrame, column: str = "ids", model: str | Machine = MODEL, t
 
 def decode(docs: DataFrame, column: str = "decoded", model: str | Machine = MODEL, ids: str = "ids") -> DataFrame:
     """docs with one more column: the text of each row's ids (null: empty)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Machine) else compile_model(model))
 
     @F.arrow_udf("string")
@@ -260,6 +264,7 @@ def decode(docs: DataFrame, column: str = "decoded", model: str | Machine = MODE
 
 def round_trip(docs: DataFrame, model: str | Machine = MODEL) -> DataFrame:
     """doc_id, n_ids, ids, and decoded_crc32 and lossless of the text decoded from them."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Machine) else compile_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, text_batches
 from .components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -56,6 +56,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches in parts, so that a task holds the sets of few documents at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """Each text's set: sorted distinct hashes.
 
@@ -65,7 +72,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     run, size = [], 0
     for t in texts:
         raw = (t or "").encode()
-        if run and size + len(raw) > 1 << 20:
+        if run and size + len(raw) > 1 << 19:
             out += _sets(run, width)
             run, size = [], 0
         run.append(raw)
@@ -133,7 +140,7 @@ def common_shingles(docs: DataFrame, threshold: int, common: int, bound: int) ->
             return pa.record_batch({"g": pa.array(g.view(np.int64)), "n": pa.array(n)})
 
         parts, size = [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             for s in shingle_sets(batch.column(0).to_pylist()):
                 parts.append(s[: first_part(len(s), threshold)] if len(s) else s)
                 size += len(parts[-1])
@@ -274,7 +281,7 @@ def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thres
     return out
 
 
-def _family_links(families: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, threshold: int, most: int = 512, weight: int = 1 << 20) -> DataFrame:
+def _family_links(families: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, threshold: int, most: int = 384, weight: int = 1 << 19) -> DataFrame:
     """Links (u, v) within large families that join different components: every set against every other, in blocks.
 
     A block has about `most` sets, and `weight` shingles, at most; sets that the first round put into the family's largest
@@ -339,7 +346,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int
     texts = _texts(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))), nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             us, keep = batch.column(0).to_numpy(), np.zeros(batch.num_rows, bool)
             fresh = np.ones(len(us), bool)  # neighbours with the same u share its set
             fresh[1:] = us[1:] != us[:-1]
@@ -360,10 +367,11 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
     component_id is the smallest doc_id that links lead to.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     last = spark.sparkContext.broadcast(common_shingles(docs, threshold, common, bound))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n, high, low, parts = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, text_batches
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _WINDOW = re.compile(rb"\S.{0,96}(?=\s|$)|\S{1,200}", re.S)  # up to 97 bytes to a blank; words beyond that in parts
@@ -151,6 +151,7 @@ def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> Model:
 
 def with_score(docs: DataFrame, labels: DataFrame, column: str = "score", label: str = "toxic", mod: int = 4, sample: int = 2500) -> DataFrame:
     """docs with one more column: the score of each text, from 0 to 1."""
+    text_batches(docs.sparkSession)
     rows, shift = labelled_sample(docs, labels, label, mod, sample)
     model = docs.sparkSession.sparkContext.broadcast(fit([(r.text, r.y) for r in rows], shift))
 
