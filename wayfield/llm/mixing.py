@@ -109,5 +109,6 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
-    out = mix(docs, docs.columns, **options).where("m_taken > 0")
-    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), (F.col("m_taken") / F.col("m_size")).cast("int")))).select(*docs.columns)
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("m_row"))  # so that no column's name clashes
+    out = mix(packed, ["m_row"], **options).where("m_taken > 0")
+    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), (F.col("m_taken") / F.col("m_size")).cast("int")))).select("m_row.*")
