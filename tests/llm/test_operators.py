@@ -133,6 +133,12 @@ def test_tree_probabilities_by_brute_force(spark):
     assert (got[0].n_tokens, got[0].n_known, got[0].train_tokens) == (3, 3, n)
 
 
+def test_scoring_uses_six_bytes_of_context(spark):
+    docs = spark.createDataFrame([(i, ("qabcde1 " if i % 2 else "rabcde2 ") * 20) for i in range(40)], "doc_id long, text string")
+    total = lambda **o: sum(r.score for r in ctw.score(docs, **o).collect())
+    assert total() == pytest.approx(total(depth=6)) and total() > total(depth=5) + 10
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     for f, y, least in ((toxicity.classify, "toxic", 0.9), (quality.classify, "quality", 0.95)):

@@ -253,7 +253,7 @@ def _memo(shared, depth: int) -> Memo:
     return _ready["memo"]
 
 
-def score(docs: DataFrame, train: Column | None = None, depth: int = 5, grain: int = 19, hot: int = 17) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: int = 19, hot: int = 17) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and n_bytes (of the text as read) for every row of docs.
 
     train: whether the model learns from a row; all rows by default.
