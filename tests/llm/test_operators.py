@@ -80,6 +80,16 @@ def test_url_rules(spark):
     assert (p[2].host, p[2].path, p[3].path, p[7].host, p[0].host) == ("a.net", "/x", "/en/1", "org", "")
 
 
+def test_url_models_read_the_path(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("aeiourstln") for _ in range(6))
+    urls = [f"https://{word()}.org/{rnd.choice(['garden', 'history', 'recipes'])}/{word()}?page={rnd.randint(1, 9)}" for _ in range(200)]
+    urls += [f"https://{word()}.org/{rnd.choice(['casino/slots', 'viagra-bonus', 'poker/bet'])}/{word()}?page={rnd.randint(1, 9)}" for _ in range(200)]
+    ask = ["https://host.org/garden/solar", "https://host.org/casino/solar", "https://host.org/x?go=viagra-bonus", "https://host.org/history/nails"]
+    p = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(ask + urls)), "page_id long, url string")).collect()}
+    assert [p[i].verdict for i in range(4)] == ["allow", "block", "block", "allow"] and all(p[i].rule is None for i in range(4))
+
+
 def test_ogg_survives_damage():
     payload = bytes(range(256)) * 300
     media = ogg_media.store(payload)
