@@ -101,6 +101,25 @@ def test_components_match_union_find(spark):
     assert got == {i: find(i) for i in range(120)}
 
 
+def test_zone_pieces_match_union_find(spark, con):
+    pts = con.execute("select distinct user_id % 5, cast(floor(value / 10) as int), cast(floor(cast(json_extract_string(props, '$.k') as double) / 10) as int) from events").fetchall()
+    place = {p: p for p in pts}
+    def find(p):
+        while place[p] != p:
+            p = place[p]
+        return p
+    for zone, ix, iz in pts:
+        for q in ((zone, ix + 1, iz), (zone, ix, iz + 1)):
+            if q in place:
+                a, b = find((zone, ix, iz)), find(q)
+                place[max(a, b)] = min(a, b)
+    want = {}
+    for p in pts:
+        want[find(p)] = want.get(find(p), 0) + 1
+    got = {(r.zone, r.root): r.cells for r in registry.queries()["zone_pieces"](spark, DATA).collect()}
+    assert got == {(zone, (ix + 65536) * 131072 + iz + 65536): n for (zone, ix, iz), n in want.items()} and len({z for z, _ in got}) == 5
+
+
 def test_empty_tables(spark):
     points = spark.createDataFrame([], "zone long, mob_id long, seq long, t long, x double, y double, z double, dir int")
     assert grid.close(grid.cells(points, 10, "zone"), "zone").count() == 0

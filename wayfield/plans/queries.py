@@ -112,6 +112,16 @@ def walked_pieces(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(c.select(grid.cell_key(F.col("ix"), F.col("iz")).alias("node")), link).groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
 
 
+@query()
+def zone_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of touching cells over all points of all zones."""
+    c = grid.cells(E.trail_points(spark, d), 10, "zone")
+    key = lambda ix, iz: F.shiftleft(F.col("zone").cast("long"), 36) + grid.cell_key(F.col(ix), F.col(iz))  # noqa: E731  cell_key is under 2**36
+    link = grid.neighbours(c, "zone", diagonal=False).select(key("ux", "uz").alias("u"), key("ix", "iz").alias("v"))
+    found = graph.components(c.select(key("ix", "iz").alias("node")), link).groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
+    return found.select(F.shiftright("root", 36).alias("zone"), F.col("root").bitwiseAND((1 << 36) - 1).alias("root"), "cells")
+
+
 @query(f"WITH {_SIDES} SELECT id, b.template AS base_template, b.region AS base_region, h.template AS head_template, h.region AS head_region, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' WHEN b.template IS NOT DISTINCT FROM h.template AND b.region IS NOT DISTINCT FROM h.region THEN 'unchanged' ELSE 'changed' END AS kind FROM b FULL OUTER JOIN h USING (id)")
 def spawn_diff(spark: SparkSession, d: str) -> DataFrame:
     return regions.diff(*E.sides(spark, d))
