@@ -149,6 +149,13 @@ def test_scoring_uses_six_bytes_of_context(spark):
     assert total() == pytest.approx(total(depth=6)) and total() > total(depth=5) + 10
 
 
+def test_rare_contexts_keep_their_estimates(spark):
+    rows = [(i, "common filler words " * 4000) for i in range(40)] + [(100 + i, "zq7 wxv9k jjhpq") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, cold, cut = ({r.doc_id: r.score for r in ctw.score(docs, depth=3, **o).collect()} for o in ({}, {"hot_grams": 2}, {"grain": 19}))
+    assert got[100] > cut[100] + 1 and all(cold[i] == pytest.approx(got[i], rel=1e-5) for i in got)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     for f, y, least in ((toxicity.classify, "toxic", 0.9), (quality.classify, "quality", 0.95)):

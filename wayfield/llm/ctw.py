@@ -7,16 +7,16 @@ depths are mixed with context-tree weights: Pw = (Pe + product of the children's
 being its Pe.  A decision's probability is the mixture along its context path; a text's score is the
 sum of their logarithms, and so its code length.
 
-The tree.  A node (context and decision) is kept if it has at least 2**-``grain`` of all training
-bytes; the rest of a node's contexts form one further leaf of it, with their own estimate.  So every
-count of the corpus takes part, and the tree holds at most (depth + 1) * 8 * 2**grain nodes at any size
-of input: that is what is broadcast (a key of 8 bytes and a probability of 4 each).
+The tree.  Every context and decision that the training texts hold is a node (an optional ``grain`` drops
+those with less than 2**-grain of all training bytes), so the tree grows with the corpus.  It is a table.
 
-How it scales.  Counts are made for each partition in bounded memory, then summed in a shuffle by
-n-gram.  Each level of the tree comes from the one below by a group-by, and probabilities go down by a
-join of neighbouring levels.  Scoring is one pass over the texts.  The base score needs the count of
-each word: words with at least 2**-17 of all tokens (so 131,072 at most, of 64 bytes at most) are
-broadcast, the others meet their counts in a join, in which no key is hot.
+How it scales.  The distinct n-grams of all rows are counted for each partition in bounded memory, then summed
+in a shuffle.  Each level of the tree comes from these by a group-by; nodes that are only asked for have no counts.
+Weights go up by a group-by and probabilities go down by a join of neighbouring levels, so each distinct n-gram gets its
+logarithm from a join.  Scoring is one pass over the texts: n-grams with at least 2**-23 of all bytes (so
+8,388,608 at most, of 12 bytes) are broadcast, the others meet their logarithms in a join, in which no
+key is hot.  The base score needs the count of each word: words with at least 2**-17 of all tokens (so
+131,072 at most, of 64 bytes at most) are broadcast, the others meet their counts in a join.
 
 Nulls and odd cases: a null text counts as empty and has the end mark alone; a null doc_id is in the
 training part; repeated rows are scored and counted on their own; without training texts every
@@ -91,30 +91,32 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 def gram_counts(docs: DataFrame, depth: int, flush: int = 8 << 20) -> DataFrame:
-    """g (depth + 1 bytes) and n, the same way."""
+    """g (depth + 1 bytes), n in the rows to learn from (column t) and m in all rows, the same way."""
 
-    def total(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if len(parts) > 1:
-            g, at = np.unique(g, return_inverse=True)
-            n = np.bincount(at, weights=n).astype(np.int64)
-        return pa.record_batch({"g": pa.array(g.astype(np.int64)), "n": pa.array(n)})
+    def total(parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        g, m, n = (np.concatenate(x) for x in zip(*((g, k, k * t) for g, k, t in parts), strict=True))
+        g, at = np.unique(g, return_inverse=True)
+        n, m = (np.bincount(at, weights=x).astype(np.int64) for x in (n, m))
+        return pa.record_batch({"g": pa.array(g.astype(np.int64)), "n": pa.array(n), "m": pa.array(m)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            column = batch.column(0)
+            column, learn = batch.column(0), batch.column(1).to_pylist()
             for run in _batches(column):
-                packed, _ = _grams([canonical(column[i].as_py()) for i in run], depth)
-                parts.append(np.unique(packed, return_counts=True))
-                size += len(packed)
+                for t in (True, False):
+                    texts = [canonical(column[i].as_py()) for i in run if bool(learn[i]) == t]
+                    if texts:
+                        packed, _ = _grams(texts, depth)
+                        parts.append((*np.unique(packed, return_counts=True), t))
+                        size += len(packed)
                 if size >= flush:
                     yield total(parts)
                     parts, size = [], 0
         if parts:
             yield total(parts)
 
-    return docs.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return docs.select("text", "t").mapInArrow(count, "g long, n long, m long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -129,15 +131,17 @@ def log_estimate(n0: Column, n1: Column) -> Column:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def _decisions(grams: DataFrame, least: float) -> DataFrame:
-    """node (context and decision, one number), n0 and n1 from grams' g and n, for contexts of at least that many bytes."""
-    often = grams.groupBy(F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("k")).where(F.col("k") >= least).select("c")  # 2**grain at most
-    grams = grams.join(F.broadcast(often), F.shiftright("g", 8) == F.col("c"), "left_semi")
+def _steps(grams: DataFrame, *columns: str) -> DataFrame:
+    """The eight decisions of each gram: node (context and decision, one number) and bit."""
     byte = F.col("g").bitwiseAND(255)
     each = F.array(*[F.struct((F.lit(1 << i) + F.shiftright(byte, 8 - i)).alias("d"), F.shiftright(byte, 7 - i).bitwiseAND(1).alias("bit")) for i in range(8)])
-    rows = grams.select(F.shiftright("g", 8).alias("c"), "n", F.explode(each).alias("x"))
-    node = F.shiftleft("c", 8) + F.col("x.d")
-    return rows.groupBy(node.alias("node")).agg(F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    rows = grams.select("g", *columns, F.explode(each).alias("x"))
+    return rows.select("g", *columns, (F.shiftleft(F.shiftright("g", 8), 8) + F.col("x.d")).alias("node"), F.col("x.bit").alias("bit"))
+
+
+def _decisions(grams: DataFrame) -> DataFrame:
+    """node, n0 and n1 from grams' g and n."""
+    return _steps(grams, "n").groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
 
 
 def _parent(node: Column, depth: int) -> Column:
@@ -145,18 +149,19 @@ def _parent(node: Column, depth: int) -> Column:
     return node.bitwiseAND((1 << (8 * depth)) - 1)
 
 
-def tree(grams: DataFrame, depth: int, grain: int) -> list[DataFrame]:
-    """For each depth: node and p, the probability of a 1 where the path ends at that node."""
-    least = (grams.agg(F.sum("n")).first()[0] or 0) * 2.0**-grain
+def tree(grams: DataFrame, depth: int, grain: int | None = None) -> DataFrame:
+    """node and p, the probability of a 1, for each decision of the grams (also those with n = 0) in their full contexts."""
+    least = (grams.agg(F.sum("n")).first()[0] or 0) * 2.0**-grain if grain else 0.0
+    known = (F.col("n0") + F.col("n1") >= least) & (F.col("n0") + F.col("n1") > 0)
     levels: list[DataFrame] = []
     below = None
     for d in range(depth, -1, -1):
-        nodes = _decisions(grams, least).where((F.col("n0") + F.col("n1") >= least) & (F.col("n0") + F.col("n1") > 0))
+        nodes = _decisions(grams)
         own = log_estimate(F.col("n0"), F.col("n1"))
         if below is None:
             nodes = nodes.select("node", "n0", "n1", own.alias("lw"), F.lit(1.0).alias("w"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).alias("q"))
         else:
-            kids = below.groupBy(_parent(F.col("node"), d + 1).alias("node")).agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1"), F.sum("lw").alias("klw"))
+            kids = below.where(known).groupBy(_parent(F.col("node"), d + 1).alias("node")).agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1"), F.sum("lw").alias("klw"))
             r0, r1 = F.col("n0") - F.col("k0"), F.col("n1") - F.col("k1")  # the rest, a leaf
             deep = F.col("klw") + log_estimate(r0, r1)
             top = F.greatest(F.col("own"), F.col("deep"))
@@ -177,83 +182,61 @@ def tree(grams: DataFrame, depth: int, grain: int) -> list[DataFrame]:
         levels.insert(0, below)
         if d:
             grams = stage(grams.groupBy(F.col("g").bitwiseAND((1 << (8 * d)) - 1).alias("g")).agg(F.sum("n").alias("n")))
-    out, above = [], None
+    above = None
     for d, level in enumerate(levels):
         if above is None:
-            rows = level.select("*", F.lit(0.0).alias("sofar"), F.lit(1.0).alias("left"))
+            rows = level.select("*", F.lit(0.0).alias("sofar"), F.lit(1.0).alias("left"), F.lit(0.5).alias("upper"))
         else:
-            rows = level.withColumn("up", _parent(F.col("node"), d)).join(above.select(F.col("node").alias("up"), "sofar", "left"), "up")
+            rows = level.withColumn("up", _parent(F.col("node"), d)).join(above.select(F.col("node").alias("up"), "sofar", "left", F.col("p").alias("upper")), "up")
         mixed = F.col("sofar") + F.col("left") * F.col("w") * (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
         rest = F.col("left") * (1.0 - F.col("w"))
-        above = stage(rows.select("node", (mixed + rest * F.col("q")).alias("p"), mixed.alias("sofar"), rest.alias("left")))
-        out.append(above.select("node", "p"))
-    return out
+        above = stage(rows.select("node", F.when(known, mixed + rest * F.col("q")).otherwise(F.col("upper")).alias("p"), mixed.alias("sofar"), rest.alias("left")))
+    return above.select("node", "p")
+
+
+def gram_logs(grams: DataFrame, depth: int, grain: int | None = None) -> DataFrame:
+    """g, m and the logarithm of its last byte's probability."""
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    return _steps(grams, "m").join(tree(grams, depth, grain), "node").groupBy("g", "m").agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("lp"))
 
 
 class Memo:
-    """The probability of packed n-grams: looked up in a table of what was asked before, else from the tree."""
-
-    def __init__(self, nodes: list[np.ndarray], ps: list[np.ndarray], depth: int, bits: int = 21):
-        self.nodes, self.ps, self.depth, self.bits = nodes, ps, depth, bits
-        self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.logs = np.zeros(1 << bits)
-
-    def compute(self, g: np.ndarray) -> np.ndarray:
-        byte = (g & np.uint64(255)).astype(np.int64)
-        context = (g >> np.uint64(8)).astype(np.int64)
-        total, depth = np.zeros(len(g)), np.full(len(g), self.depth)
-        for i in range(8):
-            decision = (1 << i) + (byte >> (8 - i))
-            bit = (byte >> (7 - i)) & 1
-            p, todo = np.full(len(g), 0.5), np.arange(len(g))
-            for d in range(self.depth, -1, -1):  # the deepest node there is: never deeper than that of the decision before
-                here = todo[depth[todo] == d] if i else todo
-                known = self.nodes[d]
-                if not len(here):
-                    continue
-                hit = np.zeros(len(here), bool)
-                if len(known):
-                    key = ((context[here] & ((1 << (8 * d)) - 1)) << 8) + decision[here]
-                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    hit = known[at] == key
-                    p[here[hit]] = np.clip(self.ps[d][at[hit]], 1e-7, 1 - 1e-7)
-                depth[here[hit]] = d
-                depth[here[~hit]] = d - 1
-                if not i:
-                    todo = here[~hit]
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
-
-    def logs_of(self, g: np.ndarray) -> np.ndarray:
-        slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.logs[slot]
-        miss = np.flatnonzero(self.keys[slot] != g)
-        if len(miss):
-            new, at = np.unique(g[miss], return_inverse=True)
-            logs = self.compute(new)
-            out[miss] = logs[at]
-            self.keys[slot[miss]] = g[miss]
-            self.logs[slot[miss]] = logs[at]
-            # Where two fell into one slot, what stands there last must fit the key.
-            self.logs[slot[miss]] = np.where(self.keys[slot[miss]] == g[miss], logs[at], self.logs[slot[miss]])
-            bad = miss[self.keys[slot[miss]] != g[miss]]
-            self.keys[slot[bad]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        return out
+    """The logarithms of packed n-grams that are hot; where two share a slot, by bisection."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, bits: int = 22):
+        self.keys, self.logs, self.bits = keys, logs, bits
+        self.at = np.zeros(1 << bits, np.int32)
+        self.at[self._slots(keys)] = np.arange(len(keys))
+
+    def _slots(self, g: np.ndarray) -> np.ndarray:
+        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def logs_of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """0 for those that aren't hot, and their positions."""
+        if not len(self.keys):
+            return np.zeros(len(g)), np.arange(len(g))
+        at = self.at[self._slots(g)]
+        miss = np.flatnonzero(self.keys[at] != g)
+        at[miss] = np.minimum(np.searchsorted(self.keys, g[miss]), len(self.keys) - 1)
+        cold = miss[self.keys[at[miss]] != g[miss]]
+        out = self.logs[at].astype(np.float64)
+        out[cold] = 0.0
+        return out, cold
 
 
 _ready: dict = {}
 
 
-def _memo(shared, depth: int) -> Memo:
-    """One for each Python process and broadcast model, so that what it has seen lasts from task to task."""
+def _memo(shared) -> Memo:
+    """One for each Python process and broadcast model."""
     held = shared.value
     if _ready.get("held") is not held:
         _ready.clear()
-        _ready.update(held=held, memo=Memo(held[1], held[2], depth))
+        _ready.update(held=held, memo=Memo(held[1], held[2]))
     return _ready["memo"]
 
 
-def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: int = 19, hot: int = 17) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: int | None = None, hot: int = 17, hot_grams: int = 23) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and n_bytes (of the text as read) for every row of docs.
 
     train: whether the model learns from a row; all rows by default.
@@ -267,25 +250,25 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: i
     n, v = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = (n or 0) + ends, v + (ends > 0)
     often = words.where((F.octet_length("word") <= 64) & (F.col("n") >= max(2, n * 2.0**-hot))).toArrow()  # at most 2**hot words
-    nodes, ps = [], []
-    for level in tree(stage(gram_counts(learn, depth)), depth, grain):  # bounded: see above
-        table = level.toArrow()
-        node, p = table.column("node").to_numpy(), table.column("p").to_numpy()
-        order = np.argsort(node)
-        nodes.append(node[order])
-        ps.append(p[order].astype(np.float32))
-        del table, node, p, order
-    model = spark.sparkContext.broadcast((dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)), nodes, ps))
-    del nodes, ps
+    logs = stage(gram_logs(stage(gram_counts(rows, depth)), depth, grain))
+    least = (logs.agg(F.sum("m")).first()[0] or 0) * 2.0**-hot_grams
+    top = logs.where(F.col("m") >= least).select("g", F.col("lp").cast("float").alias("lp")).toArrow()  # at most 2**hot_grams
+    keys, lps = top.column("g").to_numpy().astype(np.uint64), top.column("lp").to_numpy()
+    order = np.argsort(keys)
+    model = spark.sparkContext.broadcast((dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)), keys[order], lps[order]))
+    del top, keys, lps, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, memo = model.value[0], _memo(model, depth)
+        counts, memo = model.value[0], _memo(model)
         for batch in batches:
             column = batch.column(2)
             for part in _batches(column):
                 texts = [canonical(column[i].as_py()) for i in part]
                 packed, starts = _grams(texts, depth)
-                scores = np.add.reduceat(memo.logs_of(packed), starts)
+                each, cold = memo.logs_of(packed)
+                scores = np.add.reduceat(each, starts)
+                ends_at = np.searchsorted(cold, np.append(starts, len(packed))).astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(packed[cold].astype(np.int64)))
                 tokens, known, base, rare, times = [], [], [], [], []
                 for t in texts:
                     seen = Counter(t[:-1].split())
@@ -298,22 +281,23 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: i
                     times.append(list(rest.values()))
                 taken = batch.take(pa.array(part))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array([len(t) for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                    ["uid", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "times"],
+                    [taken.column(0), taken.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array([len(t) for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), others],
+                    ["uid", "doc_id", "n_tokens", "known", "base", "score", "n_bytes", "rare", "times", "cold"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    scored = stage(numbered.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double, n_bytes long, rare array<binary>, times array<int>"))
+    scored = stage(numbered.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double, n_bytes long, rare array<binary>, times array<int>, cold array<bigint>"))
     rest = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     more = rest.join(words, "word").groupBy("uid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("plus"))
-    return scored.drop("rare", "times").join(more, "uid", "left").select(
+    colder = scored.select("uid", F.explode("cold").alias("g")).join(logs.where(F.col("m") < least), "g").groupBy("uid").agg(F.sum("lp").alias("colder"))
+    return scored.drop("rare", "times", "cold").join(more, "uid", "left").join(colder, "uid", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("plus", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("colder", F.lit(0.0))).alias("score"),
         "n_bytes",
     )
 
