@@ -178,6 +178,21 @@ def test_nearest_recall_and_ties(spark):
     assert hits >= 0.9 * 60 and set(p.query_id) == set(range(0, 600, 50))
 
 
+def test_nearest_does_not_depend_on_arrow_batches():
+    from types import SimpleNamespace as Held
+
+    import pyarrow as pa
+
+    v = np.random.default_rng(6).normal(size=(2500, 16))
+    model = additive_ann.fit(v / np.linalg.norm(v, axis=1)[:, None], 2, words=16)
+    codes, norms = model.encode(v / np.linalg.norm(v, axis=1)[:, None])
+    ids = np.arange(len(v))
+    index = pa.record_batch({"uid": ids, "vec_id": ids, "v": pa.array(v.tolist()), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norms.astype(float)})
+    search = additive_ann._searcher(Held(value=model), Held(value=(ids[:20], ids[:20], v[:20])), 5, 8)
+    found = [[b.to_pydict() for b in search(index.slice(i, size) for i in range(0, len(v), size))] for size in (77, 1000, 2500)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_mix_meets_targets(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "abc"[i % 3] if i % 4 else None) for i in range(2000)], "doc_id long, text string, source string")
     p = mixing.mix(docs, ["doc_id", "source"]).toPandas()

@@ -3,13 +3,13 @@
 A unit vector is stored as a sum of one full-dimensional codeword from each of ``books`` codebooks, which
 beam search picks, and the norm of that sum.  A query makes one table for each codebook, its products
 with the codewords; a row's score is the sum of its entries over the stored norm.  The best rows by
-that score in each batch of the index get their exact cosine from the original vectors, and only
+that score in each run of 1000 rows of the index get their exact cosine from the original vectors, and only
 the nearest of each task go on.
 
 How it scales.  The codebooks are fitted on a bounded sample (``sample`` rows, the first by a hash of the
 vector); every row is encoded and staged in files of about ``block`` rows.  Queries go out in broadcast groups of
 about ``group``, a bound at any size of input, each with one pass over the index; ``keep`` rows are
-reranked for each query and batch, so recall doesn't fall as the index grows.  Of each task and
+reranked for each query and run, whatever the Arrow batches are, so recall doesn't fall as the index grows.  Of each task and
 query, ``k`` rows are shuffled.
 
 Nulls and odd cases: vectors that are null, of another length than most, zero, or that hold null or non-finite
@@ -118,15 +118,28 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.size("v") == (size.n if size else 0)).select(F.monotonically_increasing_id().alias("uid"), "vec_id", "v")
 
 
-def _searcher(model, held, k: int, keep: int):
-    """The nearest rows of a task's part of the index: `keep` of each Arrow batch are reranked, k of all go on."""
+def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of exactly `rows`, but for the last."""
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        while sum(map(len, held)) >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield whole.slice(0, rows)
+            held = [whole.slice(rows)] if len(whole) > rows else []
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _searcher(model, held, k: int, keep: int, run: int = 1000):
+    """The nearest rows of a task's part of the index: `keep` of each `run` rows are reranked, k of all go on."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, ids, queries = held.value
         books = model.value.books
         tables = np.stack([_unit(queries) @ book.T for book in books], 1)  # query, book, codeword
         best: list = [None] * len(queries)
-        for batch in batches:
+        for batch in _runs(batches, run):
             batch = batch.take(pa.compute.sort_indices(batch.select(["vec_id", "uid"]), sort_keys=[("vec_id", "ascending"), ("uid", "ascending")]))
             own, vec, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
             codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(x), -1)
