@@ -86,10 +86,41 @@ def test_url_models_read_the_path(spark):
     urls = [f"https://{word()}.org/{rnd.choice(['garden', 'history', 'recipes'])}/{word()}?page={rnd.randint(1, 9)}" for _ in range(200)]
     urls += [f"https://{word()}.org/{rnd.choice(['casino/slots', 'viagra-bonus', 'poker/bet'])}/{word()}?page={rnd.randint(1, 9)}" for _ in range(200)]
     ask = ["https://host.org/garden/solar", "https://host.org/casino/solar", "https://host.org/x?go=viagra-bonus", "https://host.org/history/nails"]
-    p = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(ask + urls)), "page_id long, url string")).collect()}
+    pages = spark.createDataFrame(list(enumerate(ask + urls)), "page_id long, url string")
+    bad, known = F.col("url").rlike("casino|viagra|poker"), F.col("page_id") >= len(ask)
+    p = {r.page_id: r for r in url_filter.judge(pages, accepted=known & ~bad, rejected=known & bad).collect()}
     assert [p[i].verdict for i in range(4)] == ["allow", "block", "block", "allow"] and all(p[i].rule is None for i in range(4))
 
 
+def test_url_probabilities_by_brute_force():
+    texts, order = [b"abab", b"abc", b"ba"], 2
+    m = url_filter.Markov(order).fit(texts)
+    def p(context, c):
+        here = Counter(t[i] for t in (b"\n" + x + b"\n" for x in texts) for i in range(1, len(t)) if t[:i].endswith(context) and i >= len(context))
+        lower = p(context[1:], c) if context else 1 / 256
+        return (here[c] + len(here) * lower) / (sum(here.values()) + len(here)) if here else lower
+    for context in (b"", b"a", b"ab", b"zz", b"\nb"):
+        assert sum(m.p(context, c) for c in range(256)) == pytest.approx(1)
+        assert all(m.p(context, c) == pytest.approx(p(context, c)) for c in b"abc\nx")
+    want = sum(math.log(p(t[max(0, i - order) : i], t[i])) for t in [b"\nabz\n"] for i in range(1, len(t)))
+    assert m.log_likelihood(b"abz") == pytest.approx(want)
+
+
+def test_url_threshold_by_brute_force():
+    rnd = random.Random(8)
+    scores = [(rnd.gauss(b, 0.8), b) for b in (False, True) for _ in range(60)]
+    cost = lambda at, care: sum(s <= at for s, b in scores if b) / 60 + care * sum(s > at for s, b in scores if not b) / 60
+    for care in (1.0, 4.0):
+        assert cost(url_filter.threshold(scores, care), care) == pytest.approx(min(cost(s, care) for s, _ in scores))
+
+
+def test_url_models_on_held_out_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hits = pages.select("url", url_filter.host().alias("host"), url_filter.path().alias("path")).withColumn("hit", url_filter.rule())
+    found = url_filter.fit(hits, F.col("hit.action") == "allow", F.col("hit.action") == "block")
+    assert sum((s > found.most) == bad for s, bad in found.out_of_fold) >= 0.9 * len(found.out_of_fold)
+
+
 def test_ogg_survives_damage():
     payload = bytes(range(256)) * 300
     media = ogg_media.store(payload)
@@ -135,7 +166,7 @@ def test_tree_probabilities_by_brute_force(spark):
             p = p1(b"", b[j : j + depth], i, c >> (8 - i))
             want += math.log10(p if c >> (7 - i) & 1 else 1 - p)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in ctw.score(docs, depth=depth, grain=30).collect()}
+    got = {r.doc_id: r for r in ctw.score(docs, depth=depth).collect()}
     assert got[0].score == pytest.approx(want, abs=1e-4)
     words = Counter(w for t in data for w in [*t.split(), b"\n"])
     n, v = sum(words.values()), len(words)
@@ -152,8 +183,8 @@ def test_scoring_uses_six_bytes_of_context(spark):
 def test_rare_contexts_keep_their_estimates(spark):
     rows = [(i, "common filler words " * 4000) for i in range(40)] + [(100 + i, "zq7 wxv9k jjhpq") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got, cold, cut = ({r.doc_id: r.score for r in ctw.score(docs, depth=3, **o).collect()} for o in ({}, {"hot_grams": 2}, {"grain": 19}))
-    assert got[100] > cut[100] + 1 and all(cold[i] == pytest.approx(got[i], rel=1e-5) for i in got)
+    got, cold, flat = ({r.doc_id: r.score for r in ctw.score(docs, **o).collect()} for o in ({"depth": 3}, {"depth": 3, "hot_grams": 2}, {"depth": 1}))
+    assert got[100] > flat[100] + 1 and all(cold[i] == pytest.approx(got[i], rel=1e-5) for i in got)
 
 
 def test_held_out_accuracy(spark):

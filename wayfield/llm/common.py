@@ -7,7 +7,10 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(shared: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What is made of a broadcast value, once for each Python worker; it goes when the worker drops the broadcast."""
+    if not hasattr(shared, "w_made"):
+        shared.w_made = make(shared.value)
+    return shared.w_made
+
+
 def held_out(doc_id: str | Column, mod: int) -> Column:
     """Whether crc32 of doc_id as text leaves the remainder 2; a null doc_id is in the training part."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

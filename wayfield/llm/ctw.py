@@ -5,38 +5,42 @@ byte is eight binary decisions; each decision has, for every context of up to ``
 bytes, a Krichevsky-Trofimov estimate from counts of all training texts, and the estimates of all
 depths are mixed with context-tree weights: Pw = (Pe + product of the children's Pw) / 2, a leaf's Pw
 being its Pe.  A decision's probability is the mixture along its context path; a text's score is the
-sum of their logarithms, and so its code length.
-
-The tree.  Every context and decision that the training texts hold is a node (an optional ``grain`` drops
-those with less than 2**-grain of all training bytes), so the tree grows with the corpus.  It is a table.
-
-How it scales.  The distinct n-grams of all rows are counted for each partition in bounded memory, then summed
-in a shuffle.  Each level of the tree comes from these by a group-by; nodes that are only asked for have no counts.
-Weights go up by a group-by and probabilities go down by a join of neighbouring levels, so each distinct n-gram gets its
-logarithm from a join.  Scoring is one pass over the texts: n-grams with at least 2**-23 of all bytes (so
-8,388,608 at most, of 12 bytes) are broadcast, the others meet their logarithms in a join, in which no
-key is hot.  The base score needs the count of each word: words with at least 2**-17 of all tokens (so
-131,072 at most, of 64 bytes at most) are broadcast, the others meet their counts in a join.
-
-Nulls and odd cases: a null text counts as empty and has the end mark alone; a null doc_id is in the
-training part; repeated rows are scored and counted on their own; without training texts every
-decision has probability 1/2; an empty table gives no rows.
+sum of their logarithms, and so its code length.  Every context and decision that the training texts
+hold is a node, so the tree grows with the corpus.
+
+How it scales.  The distinct n-grams of all rows are counted in bounded memory in each task, then summed in a
+shuffle by their nearest ``split`` bytes of context.  One such key has 2**24 distinct n-grams at most (two
+more bytes of context and the byte itself), whatever the corpus, and only distinct ones travel, so no key is hot.
+Within a key the levels below ``split`` are a Python function over sorted arrays; the levels above, which are
+few rows, are group-bys on the way up and joins on the way down.  Going up, only each node's counts and weighted
+probability leave a task; going down, each decision's mixture is linear in that of the level below, so two
+numbers a node come back.  Scoring is one pass over the texts: n-grams with at least 2**-23 of all bytes (so
+8,388,608 at most, of 12 bytes) are broadcast, the others meet their logarithms in a join; none of them is
+frequent.  The base score needs the count of each word: words with at least 2**-17 of all tokens (so
+131,072 at most; a word over 64 bytes goes by its digest) are broadcast, the others meet their counts in a join.
+
+Nulls and odd cases: a null text counts as empty and has the end mark alone; very long texts are read in one piece
+each; a null doc_id is in the training part; ties do not occur; repeated rows are scored and counted on their own;
+without training texts every decision has probability 1/2; columns other than doc_id and text are not
+read, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage, text_batches
+from .common import held_out, kept, stage, text_batches
 
 END = b"\n"
 
@@ -47,12 +51,12 @@ def canonical(text: str | None) -> bytes:
 
 
 def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte of the texts with the `depth` bytes before it, packed in a number; and where each text starts."""
+    """Each byte of the texts with the `depth` bytes before it in a number, the nearest of these on top and the byte itself at the bottom; and where each text starts."""
     body = END * depth + (END * depth).join(texts)  # a text starts after end marks
-    data = np.frombuffer(body, np.uint8).astype(np.uint64)
-    packed = np.zeros(len(data) - depth, np.uint64)
-    for k in range(depth + 1):
-        packed = (packed << np.uint64(8)) | data[k : len(data) - depth + k]
+    data = np.frombuffer(body, np.uint8).astype(np.int64)
+    packed = data[depth:].copy()
+    for k in range(1, depth + 1):
+        packed |= data[depth - k : len(data) - k] << (8 * (depth - k + 1))
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes + depth) - sizes - depth
     inside = np.ones(len(packed), bool)
@@ -61,7 +65,7 @@ def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return packed[inside], np.cumsum(sizes) - sizes
 
 
-def _batches(column: pa.Array, most: int = 2 << 20) -> Iterator[list[int]]:
+def _batches(column: pa.Array, most: int = 1 << 19) -> Iterator[list[int]]:
     """Row numbers in runs of at most `most` characters (a longer text alone)."""
     run, size = [], 0
     for i, n in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
@@ -74,30 +78,39 @@ def _batches(column: pa.Array, most: int = 2 << 20) -> Iterator[list[int]]:
         yield run
 
 
-def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
-    """word (as bytes) and n: summed in bounded memory in a task, then by a shuffle."""
+def _name(word: bytes) -> bytes:
+    """A word as it is counted: itself, or the digest of a long one (a blank in front, which no word has)."""
+    return word if len(word) <= 64 else b" " + xxhash.xxh3_128_digest(word)
+
+
+def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+    """word (as it is counted) and n: summed in bounded memory in a task, then by a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        total = lambda: pa.record_batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
         for batch in batches:
             for text in batch.column(0):
-                seen.update((text.as_py() or "").encode().lower().split())
+                seen.update(map(_name, (text.as_py() or "").encode().lower().split()))
                 if len(seen) >= flush:
-                    yield pa.record_batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+                    yield total()
                     seen = Counter()
-        yield pa.record_batch({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+        yield total()
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(docs: DataFrame, depth: int, flush: int = 8 << 20) -> DataFrame:
-    """g (depth + 1 bytes), n in the rows to learn from (column t) and m in all rows, the same way."""
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams, sorted and distinct, with the sums of both counts."""
+    g, n, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(g)
+    g = g[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[first], np.add.reduceat(n[order], first) if len(g) else n, np.add.reduceat(m[order], first) if len(g) else m
 
-    def total(parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
-        g, m, n = (np.concatenate(x) for x in zip(*((g, k, k * t) for g, k, t in parts), strict=True))
-        g, at = np.unique(g, return_inverse=True)
-        n, m = (np.bincount(at, weights=x).astype(np.int64) for x in (n, m))
-        return pa.record_batch({"g": pa.array(g.astype(np.int64)), "n": pa.array(n), "m": pa.array(m)})
+
+def gram_counts(docs: DataFrame, depth: int, flush: int = 1 << 20) -> DataFrame:
+    """g (depth + 1 bytes), n in the rows to learn from (column t) and m in all rows; a gram comes from a task once for each `flush` distinct ones."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -107,16 +120,41 @@ def gram_counts(docs: DataFrame, depth: int, flush: int = 8 << 20) -> DataFrame:
                 for t in (True, False):
                     texts = [canonical(column[i].as_py()) for i in run if bool(learn[i]) == t]
                     if texts:
-                        packed, _ = _grams(texts, depth)
-                        parts.append((*np.unique(packed, return_counts=True), t))
-                        size += len(packed)
-                if size >= flush:
-                    yield total(parts)
-                    parts, size = [], 0
+                        g, k = np.unique(_grams(texts, depth)[0], return_counts=True)
+                        parts.append((g, k * t, k))
+                        size += len(g)
+                if size >= 2 * flush:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+                    if size >= flush:
+                        yield pa.record_batch(dict(zip("gnm", parts[0], strict=True)))
+                        parts, size = [], 0
         if parts:
-            yield total(parts)
+            yield pa.record_batch(dict(zip("gnm", _summed(parts), strict=True)))
+
+    return docs.select("text", "t").mapInArrow(count, "g long, n long, m long")
+
+
+def _sums_of_logs(first: float, step: float, n: int = 1 << 16) -> np.ndarray:
+    """ln of Gamma at first, first + 1, ..., given at `first`."""
+    return first + np.concatenate([[0.0], np.cumsum(np.log(step + np.arange(n - 1)))])
+
 
-    return docs.select("text", "t").mapInArrow(count, "g long, n long, m long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+_AT_HALVES, _AT_ONES = _sums_of_logs(0.5 * math.log(math.pi), 0.5), _sums_of_logs(0.0, 1.0)
+
+
+def _log_gammas(n: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    """ln Gamma(n + plus): from a table, or by Stirling's series where n is beyond it."""
+    out = table[np.minimum(n, len(table) - 1)]
+    far = np.flatnonzero(n >= len(table))
+    z = n[far] + plus
+    out[far] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z)
+    return out
+
+
+def log_estimates(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a sequence with n0 zeros and n1 ones."""
+    return _log_gammas(n0, _AT_HALVES, 0.5) + _log_gammas(n1, _AT_HALVES, 0.5) - _log_gammas(n0 + n1, _AT_ONES, 1.0) - math.log(math.pi)
 
 
 def _log_gamma(x: Column) -> Column:
@@ -127,89 +165,164 @@ def _log_gamma(x: Column) -> Column:
 
 
 def log_estimate(n0: Column, n1: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of a sequence with n0 zeros and n1 ones."""
+    """The same for columns."""
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def _steps(grams: DataFrame, *columns: str) -> DataFrame:
-    """The eight decisions of each gram: node (context and decision, one number) and bit."""
-    byte = F.col("g").bitwiseAND(255)
-    each = F.array(*[F.struct((F.lit(1 << i) + F.shiftright(byte, 8 - i)).alias("d"), F.shiftright(byte, 7 - i).bitwiseAND(1).alias("bit")) for i in range(8)])
-    rows = grams.select("g", *columns, F.explode(each).alias("x"))
-    return rows.select("g", *columns, (F.shiftleft(F.shiftright("g", 8), 8) + F.col("x.d")).alias("node"), F.col("x.bit").alias("bit"))
+@dataclass
+class Nodes:
+    """One decision (the i-th bit) in all contexts of one length: number (context, decision), counts, own and weighted log-probability, and the parents' places."""
+
+    ids: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    own: np.ndarray
+    weighted: np.ndarray
+    up: np.ndarray | None = None
+
+
+def _collapsed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams without their furthest byte of context."""
+    k, n, _ = _summed([(((g >> 16) << 8) | (g & 255), n, n)])
+    return k, n
+
+
+def _nodes(levels: list[tuple[np.ndarray, np.ndarray]], i: int) -> tuple[list[Nodes], np.ndarray]:
+    """The i-th decision of each level, the deepest first, and each deepest gram's place in it."""
+    out: list[Nodes] = []
+    for g, n in levels:
+        of = g >> (8 - i)
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        first = np.flatnonzero(new)
+        one = np.add.reduceat(n * (g >> (7 - i) & 1), first)
+        zero = np.add.reduceat(n, first) - one
+        ids = ((of[first] >> i) << 8) | (1 << i) | (of[first] & ((1 << i) - 1))
+        own = log_estimates(zero, one)
+        if out:
+            below = out[-1]
+            below.up = np.searchsorted(ids, ((below.ids >> 16) << 8) | (below.ids & 255))
+            kids = np.bincount(below.up, weights=below.weighted, minlength=len(ids))
+            out.append(Nodes(ids, zero, one, own, np.logaddexp(own, kids) - math.log(2)))
+        else:
+            place = np.cumsum(new) - 1
+            out.append(Nodes(ids, zero, one, own, own))
+    return out, place
 
 
-def _decisions(grams: DataFrame) -> DataFrame:
-    """node, n0 and n1 from grams' g and n."""
-    return _steps(grams, "n").groupBy("node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
+def _levels(g: np.ndarray, n: np.ndarray, depth: int, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    levels = [(g, n)]
+    for _ in range(depth - split):
+        levels.append(_collapsed(*levels[-1]))
+    return levels
 
 
-def _parent(node: Column, depth: int) -> Column:
-    """The same decision in the context without its oldest byte."""
-    return node.bitwiseAND((1 << (8 * depth)) - 1)
+def _whole_keys(batches: Iterator[pa.RecordBatch], key: Callable[[list[np.ndarray]], np.ndarray], least: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by a key, in runs of whole keys with at least so many rows."""
+    held, size, enough = [], 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size < enough:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        k = key(columns)
+        end = int(np.searchsorted(k, k[-1]))
+        if end:
+            yield [c[:end] for c in columns]
+        held, size = [[c[end:] for c in columns]], len(k) - end
+        enough = max(least, 2 * size)  # a key that goes on isn't joined anew for each batch
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def tree(grams: DataFrame, depth: int, grain: int | None = None) -> DataFrame:
-    """node and p, the probability of a 1, for each decision of the grams (also those with n = 0) in their full contexts."""
-    least = (grams.agg(F.sum("n")).first()[0] or 0) * 2.0**-grain if grain else 0.0
-    known = (F.col("n0") + F.col("n1") >= least) & (F.col("n0") + F.col("n1") > 0)
-    levels: list[DataFrame] = []
-    below = None
-    for d in range(depth, -1, -1):
-        nodes = _decisions(grams)
-        own = log_estimate(F.col("n0"), F.col("n1"))
-        if below is None:
-            nodes = nodes.select("node", "n0", "n1", own.alias("lw"), F.lit(1.0).alias("w"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)).alias("q"))
-        else:
-            kids = below.where(known).groupBy(_parent(F.col("node"), d + 1).alias("node")).agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1"), F.sum("lw").alias("klw"))
-            r0, r1 = F.col("n0") - F.col("k0"), F.col("n1") - F.col("k1")  # the rest, a leaf
-            deep = F.col("klw") + log_estimate(r0, r1)
-            top = F.greatest(F.col("own"), F.col("deep"))
-            lw = top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("deep") - top)) - math.log(2)
-            leaf = F.col("klw").isNull()
-            nodes = (
-                nodes.join(kids, "node", "left")
-                .withColumn("own", own)
-                .withColumn("deep", F.coalesce(deep, F.lit(0.0)))
-                .withColumn("lw", F.when(leaf, F.col("own")).otherwise(lw))
-                .select(
-                    "node", "n0", "n1", "lw",
-                    F.when(leaf, 1.0).otherwise(F.exp(F.col("own") - math.log(2) - F.col("lw"))).alias("w"),
-                    F.when(leaf, 0.5).otherwise((r1 + 0.5) / (r0 + r1 + 1.0)).alias("q"),
-                )
-            )
-        below = stage(nodes)
-        levels.insert(0, below)
-        if d:
-            grams = stage(grams.groupBy(F.col("g").bitwiseAND((1 << (8 * d)) - 1).alias("g")).agg(F.sum("n").alias("n")))
-    above = None
-    for d, level in enumerate(levels):
-        if above is None:
-            rows = level.select("*", F.lit(0.0).alias("sofar"), F.lit(1.0).alias("left"), F.lit(0.5).alias("upper"))
-        else:
-            rows = level.withColumn("up", _parent(F.col("node"), d)).join(above.select(F.col("node").alias("up"), "sofar", "left", F.col("p").alias("upper")), "up")
-        mixed = F.col("sofar") + F.col("left") * F.col("w") * (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-        rest = F.col("left") * (1.0 - F.col("w"))
-        above = stage(rows.select("node", F.when(known, mixed + rest * F.col("q")).otherwise(F.col("upper")).alias("p"), mixed.alias("sofar"), rest.alias("left")))
-    return above.select("node", "p")
+GRAM, NODE = 1, 0
+
 
+def first_pass(counts: DataFrame, depth: int, split: int) -> DataFrame:
+    """Rows of kind GRAM: k (the gram), n and m; rows of kind NODE, for the level `split`: k (the node), n (zeros), m (ones) and lw."""
 
-def gram_logs(grams: DataFrame, depth: int, grain: int | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, k: np.ndarray, n: np.ndarray, m: np.ndarray, lw: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n), pa.array(m), pa.array(lw) if lw is not None else pa.nulls(len(k), pa.float64())], ["kind", "k", "n", "m", "lw"])
+
+        for columns in _whole_keys(batches, lambda c: c[0] >> (8 * (depth - split + 1))):
+            g, n, m = _summed([tuple(columns)])
+            yield rows(GRAM, g, n, m)
+            levels = _levels(g, n, depth, split)
+            for i in range(8):
+                top = _nodes(levels, i)[0][-1]
+                yield rows(NODE, top.ids, top.n0, top.n1, top.weighted)
+
+    near = F.shiftright("g", 8 * (depth - split + 1))
+    return counts.repartition(near).sortWithinPartitions("g").mapInArrow(run, "kind int, k long, n long, m long, lw double")
+
+
+def upper_levels(nodes: DataFrame, split: int) -> DataFrame:
+    """k, a and b of each node of the level `split`: its decision's probability of a 1 is a + b times that of the subtree from there on."""
+    levels = [nodes.select("k", "n", "m", "lw")]
+    own = log_estimate(F.col("n"), F.col("m"))
+    parent = F.shiftleft(F.shiftright("k", 16), 8) + F.col("k").bitwiseAND(255)
+    for _ in range(split):
+        kids = levels[-1].groupBy(parent.alias("k")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("lw").alias("kids")).withColumn("own", own)
+        top = F.greatest("own", "kids")
+        lw = top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("kids") - top)) - math.log(2)
+        levels.append(stage(kids.withColumn("lw", lw).withColumn("w", F.exp(F.col("own") - math.log(2) - F.col("lw")))))
+    found = levels.pop().select("*", F.lit(0.0).alias("a"), F.lit(1.0).alias("b")) if split else levels.pop().select("k", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    while levels:
+        one = (F.col("m") + 0.5) / (F.col("n") + F.col("m") + 1.0)
+        above = found.select(F.col("k").alias("up"), (F.col("a") + F.col("b") * F.col("w") * one).alias("a"), (F.col("b") * (1.0 - F.col("w"))).alias("b"))
+        found = levels.pop().withColumn("up", parent).join(above, "up").drop("up")
+    return found.select("k", "a", "b")
+
+
+def second_pass(grams: DataFrame, upper: DataFrame, depth: int, split: int) -> DataFrame:
     """g, m and the logarithm of its last byte's probability."""
-    p = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
-    return _steps(grams, "m").join(tree(grams, depth, grain), "node").groupBy("g", "m").agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("lp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kind, k, x, y in _whole_keys(batches, lambda c: c[0]):
+            at = kind == NODE
+            order = np.argsort(k[at])
+            nodes, a, b = (c[at][order] for c in (k, x, y))
+            g, n, m = k[~at], x[~at].astype(np.int64), y[~at].astype(np.int64)
+            levels, lp = _levels(g, n, depth, split), np.zeros(len(g))
+            for i in range(8):
+                path, place = _nodes(levels, i)
+                p = (path[0].n1 + 0.5) / (path[0].n0 + path[0].n1 + 1.0)
+                to = np.arange(len(p))
+                for below, here in zip(path, path[1:], strict=False):
+                    to = below.up[to]
+                    w = np.exp(here.own - math.log(2) - here.weighted)
+                    own = w * (here.n1 + 0.5) / (here.n0 + here.n1 + 1.0)
+                    p = own[to] + (1.0 - w[to]) * p
+                top = np.searchsorted(nodes, path[-1].ids)[to]
+                p = np.clip(a[top] + b[top] * p, 1e-7, 1 - 1e-7)[place]
+                lp += np.log10(np.where(g >> (7 - i) & 1, p, 1.0 - p))
+            yield pa.record_batch({"g": g, "m": m, "lp": lp})
+
+    rows = grams.select(F.shiftright("k", 8 * (depth - split + 1)).alias("c"), F.lit(GRAM).alias("kind"), "k", F.col("n").cast("double").alias("x"), F.col("m").cast("double").alias("y"))
+    both = rows.unionByName(upper.select(F.shiftright("k", 8).alias("c"), F.lit(NODE).alias("kind"), "k", F.col("a").alias("x"), F.col("b").alias("y")))
+    return both.repartition("c").sortWithinPartitions("c", "kind", "k").mapInArrow(run, "g long, m long, lp double")
+
+
+def gram_logs(counts: DataFrame, depth: int, split: int = 4) -> DataFrame:
+    """g, m and the logarithm of its last byte's probability for each distinct gram of the counts."""
+    split = min(split, depth)
+    rows = stage(first_pass(counts, depth, split))
+    return second_pass(rows.where(F.col("kind") == GRAM), upper_levels(rows.where(F.col("kind") == NODE), split), depth, split)
 
 
 class Memo:
     """The logarithms of packed n-grams that are hot; where two share a slot, by bisection."""
 
     def __init__(self, keys: np.ndarray, logs: np.ndarray, bits: int = 22):
-        self.keys, self.logs, self.bits = keys, logs, bits
+        self.keys, self.logs, self.bits = keys, logs, bits  # keys: sorted
         self.at = np.zeros(1 << bits, np.int32)
         self.at[self._slots(keys)] = np.arange(len(keys))
 
     def _slots(self, g: np.ndarray) -> np.ndarray:
-        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def logs_of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """0 for those that aren't hot, and their positions."""
@@ -224,19 +337,7 @@ class Memo:
         return out, cold
 
 
-_ready: dict = {}
-
-
-def _memo(shared) -> Memo:
-    """One for each Python process and broadcast model."""
-    held = shared.value
-    if _ready.get("held") is not held:
-        _ready.clear()
-        _ready.update(held=held, memo=Memo(held[1], held[2]))
-    return _ready["memo"]
-
-
-def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: int | None = None, hot: int = 17, hot_grams: int = 23) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, depth: int = 6, hot: int = 17, hot_grams: int = 23) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and n_bytes (of the text as read) for every row of docs.
 
     train: whether the model learns from a row; all rows by default.
@@ -249,17 +350,17 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: i
     ends = learn.count()
     n, v = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = (n or 0) + ends, v + (ends > 0)
-    often = words.where((F.octet_length("word") <= 64) & (F.col("n") >= max(2, n * 2.0**-hot))).toArrow()  # at most 2**hot words
-    logs = stage(gram_logs(stage(gram_counts(rows, depth)), depth, grain))
+    often = words.where(F.col("n") >= max(2, n * 2.0**-hot)).toArrow()  # at most 2**hot words
+    logs = stage(gram_logs(gram_counts(rows, depth), depth))
     least = (logs.agg(F.sum("m")).first()[0] or 0) * 2.0**-hot_grams
     top = logs.where(F.col("m") >= least).select("g", F.col("lp").cast("float").alias("lp")).toArrow()  # at most 2**hot_grams
-    keys, lps = top.column("g").to_numpy().astype(np.uint64), top.column("lp").to_numpy()
+    keys, lps = top.column("g").to_numpy(), top.column("lp").to_numpy()
     order = np.argsort(keys)
     model = spark.sparkContext.broadcast((dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)), keys[order], lps[order]))
     del top, keys, lps, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, memo = model.value[0], _memo(model)
+        counts, memo = model.value[0], kept(model, lambda m: Memo(m[1], m[2]))
         for batch in batches:
             column = batch.column(2)
             for part in _batches(column):
@@ -268,10 +369,10 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: i
                 each, cold = memo.logs_of(packed)
                 scores = np.add.reduceat(each, starts)
                 ends_at = np.searchsorted(cold, np.append(starts, len(packed))).astype(np.int32)
-                others = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(packed[cold].astype(np.int64)))
+                others = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(packed[cold]))
                 tokens, known, base, rare, times = [], [], [], [], []
                 for t in texts:
-                    seen = Counter(t[:-1].split())
+                    seen = Counter(map(_name, t[:-1].split()))
                     here = [(k, c) for w, k in seen.items() if (c := counts.get(w))]
                     rest = {w: k for w, k in seen.items() if w not in counts}
                     tokens.append(sum(seen.values()) + 1)
@@ -288,6 +389,7 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = 6, grain: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     scored = stage(numbered.mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, known long, base double, score double, n_bytes long, rare array<binary>, times array<int>, cold array<bigint>"))
+    model.destroy()
     rest = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     more = rest.join(words, "word").groupBy("uid").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("plus"))
     colder = scored.select("uid", F.explode("cold").alias("g")).join(logs.where(F.col("m") < least), "g").groupBy("uid").agg(F.sum("lp").alias("colder"))
