@@ -5,9 +5,12 @@ A group is one line's points (a trail of some thousand); lines spread over the c
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def douglas_peucker(x: np.ndarray, z: np.ndarray, tolerance: float) -> np.ndarray:
@@ -31,17 +34,29 @@ def douglas_peucker(x: np.ndarray, z: np.ndarray, tolerance: float) -> np.ndarra
 
 
 def visvalingam(x: np.ndarray, z: np.ndarray, least_area: float, keep: int = 3) -> np.ndarray:
-    """Positions of the corners that stay of a ring: the corner with the smallest triangle goes first."""
-    at = list(range(len(x)))
-    while len(at) > max(3, keep):
-        i = np.array(at)
-        p, n = np.roll(i, 1), np.roll(i, -1)
-        area = np.abs((x[i] - x[p]) * (z[n] - z[p]) - (x[n] - x[p]) * (z[i] - z[p])) / 2
-        k = int(area.argmin())
-        if area[k] >= least_area:
+    """Positions of the corners that stay of a ring: the corner with the smallest triangle goes first, the earlier one on ties, while it is `least_area` at most."""
+    n = len(x)
+    before, after, turn = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)], [0] * n
+    def area(i: int) -> float:
+        p, q = before[i], after[i]
+        return abs((x[i] - x[p]) * (z[q] - z[p]) - (x[q] - x[p]) * (z[i] - z[p])) / 2
+    heap = [(area(i), i, 0) for i in range(n)]
+    heapq.heapify(heap)
+    gone, left = set(), n
+    while heap and left > max(3, keep):
+        a, i, t = heapq.heappop(heap)
+        if i in gone or t != turn[i]:  # the area was measured before a neighbour went
+            continue
+        if a > least_area:
             break
-        at.pop(k)
-    return np.array(at, int)
+        gone.add(i)
+        left -= 1
+        p, q = before[i], after[i]
+        after[p], before[q] = q, p
+        for k in (p, q):
+            turn[k] += 1
+            heapq.heappush(heap, (area(k), k, turn[k]))
+    return np.array([i for i in range(n) if i not in gone], int)
 
 
 def hull(x: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -57,14 +72,14 @@ def hull(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.array(half(order) + half(order[::-1]), int) if len(x) > 2 else order
 
 
-def _grouped(points: DataFrame, key: str, order: str, pick) -> DataFrame:
+def _grouped(points: DataFrame, keys: list[str], order: str, pick) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, ignore_index=True)
         out = pdf.iloc[pick(pdf["x"].to_numpy(float), pdf["z"].to_numpy(float))].reset_index(drop=True)
         return out.assign(at=np.arange(len(out)))
 
-    kinds = ", ".join(f"{n} {t}" for n, t in points.select(key, order, "x", "z").dtypes)
-    return points.select(key, order, "x", "z").groupBy(key).applyInPandas(run, f"{kinds}, at long")
+    kinds = ", ".join(f"{n} {t}" for n, t in points.select(*keys, order, "x", "z").dtypes)
+    return points.select(*keys, order, "x", "z").groupBy(*keys).applyInPandas(run, f"{kinds}, at long")
 
 
 def simplify_lines(points: DataFrame, key: str, order: str, tolerance: float = 2.0, most: int = 64, loosen: float = 1.5) -> DataFrame:
@@ -73,15 +88,18 @@ def simplify_lines(points: DataFrame, key: str, order: str, tolerance: float = 2
     def pick(x: np.ndarray, z: np.ndarray) -> np.ndarray:
         width = tolerance
         while (keep := douglas_peucker(x, z, width)).sum() > most:
-            width *= loosen
+            width = width * loosen or 1e-6
         return np.flatnonzero(keep)
 
-    return _grouped(points, key, order, pick)
+    return _grouped(points, [key], order, pick)
 
 
 def simplify_rings(points: DataFrame, key: str, order: str, least_area: float = 4.0, keep: int = 3) -> DataFrame:
-    return _grouped(points, key, order, lambda x, z: visvalingam(x, z, least_area, keep))
+    return _grouped(points, [key], order, lambda x, z: visvalingam(x, z, least_area, keep))
 
 
-def hulls(points: DataFrame, key: str, order: str) -> DataFrame:
-    return _grouped(points, key, order, hull)
+def hulls(points: DataFrame, key: str, order: str, salts: int = 16) -> DataFrame:
+    """Corners of each key's convex hull: of parts of its points first, then of these parts' corners, so that no task holds a hot key."""
+    part = F.pmod(F.xxhash64(order), F.lit(salts))
+    some = _grouped(points.withColumn("w_part", part), [key, "w_part"], order, hull).drop("w_part", "at")
+    return _grouped(some, [key], order, hull)

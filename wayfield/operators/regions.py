@@ -12,32 +12,45 @@ from wayfield.functions import geometry as G
 
 def region_cells(regions: DataFrame, cell: float) -> DataFrame:
     """Each region once for every grid cell its box touches: what a containment join meets points by."""
-    b = regions.withColumn("b", G.box(F.element_at("rings", 1)))
+    b = regions.where(F.size(F.element_at("rings", 1)) >= 3).withColumn("b", G.box(F.element_at("rings", 1)))
     across = F.sequence(G.cell(F.col("b.x0"), cell), G.cell(F.col("b.x1"), cell))
     return b.withColumn("ix", F.explode(across)).withColumn("iz", F.explode(F.sequence(G.cell(F.col("b.z0"), cell), G.cell(F.col("b.z1"), cell))))
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, cell: float = 50.0) -> DataFrame:
-    """points' columns with name, floor and box of every region that contains them: an equi-join by cell, then the exact test."""
+def in_box(x: Column, z: Column, b: Column) -> Column:
+    """A cheap test that spares most points the walk along a ring's edges."""
+    return (x >= b["x0"]) & (x <= b["x1"]) & (z >= b["z0"]) & (z <= b["z1"])
+
+
+def points_in_regions(points: DataFrame, regions: DataFrame, cell: float = 50.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """points' columns with name, nr, rings and box of every region that contains them: an equi-join by cell (and keys), the box, then the exact test."""
     placed = points.withColumns({"ix": G.cell(F.col("x"), cell), "iz": G.cell(F.col("z"), cell)})
-    met = placed.join(region_cells(regions, cell), ["ix", "iz"])
-    return met.where(G.contains(F.col("x"), F.col("z"), F.col("rings"))).select(*points.columns, "name", "floor", "b")
+    met = placed.join(region_cells(regions.select(*keys, "name", "nr", "rings"), cell), [*keys, "ix", "iz"])
+    x, z = F.col("x"), F.col("z")
+    return met.where(in_box(x, z, F.col("b")) & G.contains(x, z, F.col("rings"))).select(*points.columns, "name", "nr", "rings", "b")
 
 
-def region_at(points: DataFrame, regions: DataFrame, key: str, same_floor: float = 5.0, cell: float = 50.0) -> DataFrame:
-    """key and name: of the regions around a point those on the nearest floor (within `same_floor` of it), of these the one with the smallest box."""
-    found = points_in_regions(points, regions, cell).withColumn("dy", F.abs(F.col("y") - F.col("floor")))
-    span = F.greatest(F.col("b.x1") - F.col("b.x0"), F.col("b.z1") - F.col("b.z0"))
-    near = found.groupBy(key).agg(F.collect_list(F.struct(span.alias("span"), "name", "dy")).alias("r"))  # the few regions around one point
+def region_at(points: DataFrame, regions: DataFrame, key: str, same_floor: float = 5.0, cell: float = 50.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, key and name: of the regions around a point those on the nearest floor (within `same_floor` of it), of these the one with the smallest box, the first (nr) on ties.
+
+    A region's floor at a point is the height of its outline's nearest corner.
+    """
+    found = points_in_regions(points, regions, cell, keys)
+    found = found.withColumn("dy", F.abs(F.col("y") - G.nearest_height(F.col("x"), F.col("z"), F.element_at("rings", 1))))
+    span = (F.col("b.x1") - F.col("b.x0")) * (F.col("b.z1") - F.col("b.z0"))
+    near = found.groupBy(*keys, key).agg(F.collect_list(F.struct(span.alias("span"), "nr", "name", "dy")).alias("r"))  # the few regions around one point
     best = F.array_min(F.transform("r", lambda r: r["dy"])) + same_floor
-    return near.select(key, F.array_min(F.filter("r", lambda r: r["dy"] <= best))["name"].alias("name"))
+    return near.select(*keys, key, F.array_min(F.filter("r", lambda r: r["dy"] <= best))["name"].alias("name"))
 
 
 def coverage(spawns: DataFrame, points: DataFrame, regions: DataFrame) -> DataFrame:
     """region, total, inside and level: how many points of a region's own mobs lie inside it."""
     members = spawns.select(F.col("id").alias("mob_id"), F.explode("regions").alias("name"))
-    met = points.select("mob_id", "x", "z").join(members, "mob_id").join(regions.select("name", "rings"), "name")
-    sums = met.groupBy(F.col("name").alias("region")).agg(F.count(F.lit(1)).alias("total"), F.count_if(G.contains(F.col("x"), F.col("z"), F.col("rings"))).alias("inside"))
+    boxed = regions.select("name", "rings", G.box(F.element_at("rings", 1)).alias("b"))
+    met = points.select("mob_id", "x", "z").join(members, "mob_id").join(boxed, "name")
+    x, z = F.col("x"), F.col("z")
+    held = in_box(x, z, F.col("b")) & G.contains(x, z, F.col("rings"))
+    sums = met.groupBy(F.col("name").alias("region")).agg(F.count(F.lit(1)).alias("total"), F.count_if(held).alias("inside"))
     share = F.col("inside") / F.col("total")
     return sums.withColumn("level", F.when(share < 0.7, "warn").when(share < 0.9, "info").otherwise("ok"))
 

@@ -15,21 +15,35 @@ def so_far() -> WindowSpec:
     return trail().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def upper_median(values: Column) -> Column:
-    """Of an even number of values the upper of the middle two."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.count(values) / 2).cast("int") + 1)
+def upper_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key and the middle value, of an even number the upper of the middle two; from counts of distinct values, so nothing is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(key)
+    so_far = counts.withColumn("upto", F.sum("n").over(w.orderBy(value))).withColumn("all", F.sum("n").over(w))
+    return so_far.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(F.min(value).alias(name))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """key and interpolated percentiles by name, from counts of distinct values."""
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(key).agg(*(F.percentile(value, share, F.col("n")).alias(name) for name, share in shares.items()))
 
 
 def captures(points: DataFrame, least_gap: float = 20, times: float = 6, shortest: int = 8) -> DataFrame:
-    """mob_id, capture, n, t0 and t1: runs between steps longer than both a least gap and some times the mob's upper median step.
+    """mob_id, capture, n, t0 and t1: the runs of with_captures that aren't short."""
+    runs = with_captures(points, least_gap, times)
+    return runs.groupBy("mob_id", "capture").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where(F.col("n") >= shortest)
 
-    Short runs go.  A mob's steps are gathered for its median: a mob is a trail of some thousand points.
-    """
+
+def with_captures(points: DataFrame, least_gap: float = 20, times: float = 6, leap: float = 50) -> DataFrame:
+    """points with capture: runs between steps longer than both a least gap and some times the mob's upper median step; without a time, between leaps in the plane."""
     steps = points.withColumn("step", F.col("t") - F.lag("t").over(trail()))
-    typical = steps.where("step is not null").groupBy("mob_id").agg(upper_median(F.col("step")).alias("mid"))
-    broken = F.coalesce((F.col("step") > F.greatest(F.lit(least_gap), F.col("mid") * times)), F.lit(False)).cast("int")
-    runs = steps.join(typical, "mob_id", "left").withColumn("capture", F.sum(broken).over(so_far()))
-    return runs.groupBy("mob_id", "capture").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where(F.col("n") >= shortest)
+    leapt = F.hypot(F.col("x") - F.lag("x").over(trail()), F.col("z") - F.lag("z").over(trail())) > leap
+    steps = steps.withColumn("leapt", leapt)
+    typical = upper_median(steps, "mob_id", "step", "mid")
+    late = F.col("step") > F.greatest(F.lit(least_gap), F.col("mid") * times)
+    broken = F.coalesce(F.when(F.col("t").isNull(), F.col("leapt")).otherwise(late), F.lit(False)).cast("int")
+    return steps.join(typical, "mob_id", "left").withColumn("capture", F.sum(broken).over(so_far())).drop("step", "leapt", "mid")
 
 
 def legs(points: DataFrame, gap: float = 20, heading: Column | None = None) -> DataFrame:
@@ -60,14 +74,19 @@ def longest(points: DataFrame, key: list[str], capture: Column) -> DataFrame:
     return best.select(*key, F.col("b.capture").alias("capture"), (-F.col("b.col1")).alias("n"))
 
 
-def radius_histogram(distances: DataFrame, value: str, key: str, width: float = 0.25) -> DataFrame:
-    """key, mode (of bins summed by three), pile and p95 of distances: where trails stop."""
-    bins = distances.groupBy(key, F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("k"))
-    around = Window.partitionBy(key).orderBy("bin").rangeBetween(-1, 1)
-    smooth = bins.withColumn("pile", F.sum("k").over(around))
-    top = smooth.groupBy(key).agg(F.max(F.struct(F.col("pile"), -F.col("bin"))).alias("m"))
-    wide = distances.groupBy(key).agg(F.percentile(value, 0.95).alias("p95"))
-    return top.join(wide, key).select(key, ((-F.col("m.col2") + 0.5) * width).alias("mode"), F.col("m.pile").alias("pile"), "p95")
+def stop_radius(distances: DataFrame, value: str, key: str, width: float = 0.25, reach: float = 12.0) -> DataFrame:
+    """key, mode, pile and r of distances: the middle of the fullest bin (with both neighbours, the first on ties), how many lie from 0.9 below to 0.4 above it, and their 95th percentile.
+
+    Only distances between -1 and `reach` count.
+    """
+    bins = -int(-(reach + 1) // width)
+    kept = distances.where((F.col(value) > -1) & (F.col(value) < reach)).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    place = F.least(F.lit(bins - 1), F.floor((F.col(value) + 1) / width).cast("int"))
+    near = kept.groupBy(key, place.alias("bin")).agg(F.sum("n").alias("n")).withColumn("bin", F.explode(F.sequence(F.greatest(F.col("bin") - 1, F.lit(0)), F.least(F.col("bin") + 1, F.lit(bins - 1)))))
+    best = near.groupBy(key, "bin").agg(F.sum("n").alias("score")).groupBy(key).agg(F.max(F.struct("score", -F.col("bin"))).alias("m"))
+    mode = best.select(key, ((-F.col("m.col2") + 0.5) * width - 1).alias("mode"))
+    pile = kept.join(mode, key).where((F.col(value) > F.col("mode") - 0.9) & (F.col(value) < F.col("mode") + 0.4))
+    return pile.groupBy(key, "mode").agg(F.sum("n").alias("pile"), F.percentile(value, 0.95, F.col("n")).alias("r"))
 
 
 def every_nth(points: DataFrame, n: int) -> DataFrame:

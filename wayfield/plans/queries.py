@@ -15,8 +15,8 @@ SQL: dict[str, str] = {}
 
 _TRAIL = """trail AS (SELECT user_id % 5 AS zone, user_id AS mob_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS t,
   value AS x, CAST(hour(ts) AS DOUBLE) AS y, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS z, event_id % 256 AS dir FROM events)"""
-_REGIONS = """sq AS (SELECT n_name AS name, n_regionkey * 5.0 AS floor, n_nationkey % 3 = 0 AS holed, (n_nationkey % 5) * 100 AS gx, (n_nationkey // 5) * 20 AS gz FROM nation),
-reg AS (SELECT name, floor, holed, gx - 10 AS x0, gx + 110 AS x1, gz - 2 AS z0, gz + 22 AS z1, gx + 30 AS hx0, gx + 60 AS hx1, gz + 5 AS hz0, gz + 15 AS hz1 FROM sq)"""
+_REGIONS = """sq AS (SELECT n_name AS name, n_nationkey AS nr, n_regionkey * 5.0 AS floor, n_nationkey % 3 = 0 AS holed, (n_nationkey % 5) * 100 AS gx, (n_nationkey // 5) * 20 AS gz FROM nation),
+reg AS (SELECT name, nr, floor, holed, gx - 10 AS x0, gx + 110 AS x1, gz - 2 AS z0, gz + 22 AS z1, gx + 30 AS hx0, gx + 60 AS hx1, gz + 5 AS hz0, gz + 15 AS hz1 FROM sq)"""
 _INSIDE = "(p.x >= r.x0 AND p.x < r.x1 AND p.z >= r.z0 AND p.z < r.z1 AND NOT (r.holed AND p.x >= r.hx0 AND p.x < r.hx1 AND p.z >= r.hz0 AND p.z < r.hz1))"
 _SPAWNS = """sp AS (SELECT c_custkey AS id, c_mktsegment AS template, c_acctbal / 20 AS x, CAST(c_nationkey AS DOUBLE) AS y, CAST(c_custkey % 100 AS DOUBLE) AS z, n_name AS name, c_nationkey AS k FROM customer JOIN nation ON n_nationkey = c_nationkey),
 member AS (SELECT id, x, z, name FROM sp UNION ALL SELECT id, x, z, n_name FROM sp JOIN nation ON n_nationkey = (k + 1) % 25 WHERE id % 13 = 0)"""
@@ -44,7 +44,7 @@ def region_points(spark: SparkSession, d: str) -> DataFrame:
     return regions.points_in_regions(E.trail_points(spark, d), E.regions(spark, d)).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mob_id").alias("mobs"))
 
 
-@query(f"WITH {_TRAIL}, {_REGIONS}, f AS (SELECT p.seq, r.name, abs(p.y - r.floor) AS dy, greatest(x1 - x0, z1 - z0) AS span FROM trail p JOIN reg r ON {_INSIDE}), m AS (SELECT *, min(dy) OVER (PARTITION BY seq) AS best FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY span, name) AS rn FROM m WHERE dy <= best + 5) SELECT seq, name FROM k WHERE rn = 1")
+@query(f"WITH {_TRAIL}, {_REGIONS}, f AS (SELECT p.seq, r.name, abs(p.y - r.floor) AS dy, (x1 - x0) * (z1 - z0) AS span, r.nr FROM trail p JOIN reg r ON {_INSIDE}), m AS (SELECT *, min(dy) OVER (PARTITION BY seq) AS best FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY span, nr) AS rn FROM m WHERE dy <= best + 5) SELECT seq, name FROM k WHERE rn = 1")
 def region_at_points(spark: SparkSession, d: str) -> DataFrame:
     return regions.region_at(E.trail_points(spark, d), E.regions(spark, d), "seq")
 
@@ -74,10 +74,10 @@ def longest_captures(spark: SparkSession, d: str) -> DataFrame:
     return trails.longest(E.trail_points(spark, d), ["mob_id"], F.floor(F.col("seq") / 1000))
 
 
-@query(f"WITH {_TRAIL}, h AS (SELECT zone, round(abs(x - 245) / 20, 4) AS v FROM trail), b AS (SELECT zone, CAST(floor(v / 0.25) AS BIGINT) AS bin, count(*) AS k FROM h GROUP BY ALL), s AS (SELECT *, sum(k) OVER (PARTITION BY zone ORDER BY bin RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS pile FROM b), m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY zone ORDER BY pile DESC, bin) = 1) SELECT zone, (bin + 0.5) * 0.25 AS mode, CAST(pile AS BIGINT) AS pile, round(p, 6) AS p95 FROM m JOIN (SELECT zone, quantile_cont(v, 0.95) AS p FROM h GROUP BY 1) USING (zone)")
+@query(f"WITH {_TRAIL}, h AS (SELECT zone, round(abs(x - 245) / 20 - 0.9, 4) AS v FROM trail), kept AS (SELECT * FROM h WHERE v > -1 AND v < 12), b AS (SELECT zone, least(51, floor((v + 1) / 0.25)::BIGINT) AS bin, count(*) AS k FROM kept GROUP BY ALL), g AS (SELECT zone, unnest(range(52)) AS bin FROM (SELECT DISTINCT zone FROM kept)), s AS (SELECT g.zone, g.bin, coalesce(sum(b.k), 0) AS score FROM g LEFT JOIN b ON b.zone = g.zone AND abs(b.bin - g.bin) <= 1 GROUP BY ALL), m AS (SELECT zone, -1 + (bin + 0.5) * 0.25 AS mode FROM s QUALIFY row_number() OVER (PARTITION BY zone ORDER BY score DESC, bin) = 1) SELECT m.zone, mode, count(*) AS pile, round(quantile_cont(v, 0.95), 6) AS r FROM m JOIN kept ON kept.zone = m.zone AND v > mode - 0.9 AND v < mode + 0.4 GROUP BY ALL")
 def stop_radius(spark: SparkSession, d: str) -> DataFrame:
-    far = E.trail_points(spark, d).select("zone", F.round(F.abs(F.col("x") - 245) / 20, 4).alias("v"))
-    return trails.radius_histogram(far, "v", "zone").withColumn("p95", F.round("p95", 6))
+    far = E.trail_points(spark, d).select("zone", F.round(F.abs(F.col("x") - 245) / 20 - 0.9, 4).alias("v"))
+    return trails.stop_radius(far, "v", "zone").withColumn("r", F.round("r", 6))
 
 
 @query(f"WITH {_TRAIL}, a AS (SELECT *, row_number() OVER (PARTITION BY mob_id ORDER BY seq) - 1 AS pos FROM trail) SELECT mob_id, seq FROM a WHERE pos % 3 = 0")
@@ -100,20 +100,11 @@ def closed_cells(spark: SparkSession, d: str) -> DataFrame:
     return grid.close(grid.cells(E.trail_points(spark, d), 3, "zone"), "zone")
 
 
-def _walked(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of zone 0, thinned so that they form several pieces."""
-    return grid.cells(E.trail_points(spark, d).where("zone = 0 AND seq % 4 = 0"), 10)
-
-
-@query(f"WITH RECURSIVE {_TRAIL}, c AS (SELECT DISTINCT CAST(floor(x / 10) AS INT) AS ix, CAST(floor(z / 10) AS INT) AS iz FROM trail WHERE zone = 0 AND seq % 4 = 0), reach AS (SELECT ix, iz, ix AS rx, iz AS rz FROM c UNION SELECT c.ix, c.iz, r.rx, r.rz FROM reach r JOIN c ON abs(c.ix - r.ix) + abs(c.iz - r.iz) = 1), l AS (SELECT ix, iz, min((rx + 65536)::BIGINT * 131072 + rz + 65536) AS root FROM reach GROUP BY ALL) SELECT root, count(*) AS cells FROM l GROUP BY 1")
+@query(f"""WITH RECURSIVE {_TRAIL}, c AS (SELECT DISTINCT zone, CAST(floor(x / 10) AS BIGINT) AS ix, CAST(floor(z / 10) AS BIGINT) AS iz FROM trail), k AS (SELECT zone, ix, iz, (ix + 65536) * 131072 + iz + 65536 AS id FROM c),
+e AS (SELECT a.zone, a.id AS u, b.id AS v FROM k a JOIN k b ON a.zone = b.zone AND abs(a.ix - b.ix) + abs(a.iz - b.iz) = 1),
+l(zone, id, root) USING KEY (zone, id) AS (SELECT zone, id, id FROM k UNION SELECT e.zone, e.u, min(l.root) FROM l JOIN e ON e.zone = l.zone AND e.v = l.id JOIN recurring.l AS own ON own.zone = e.zone AND own.id = e.u WHERE l.root < own.root GROUP BY e.zone, e.u)
+SELECT zone, root, count(*) AS cells FROM l GROUP BY ALL""")
 def walked_pieces(spark: SparkSession, d: str) -> DataFrame:
-    c = _walked(spark, d)
-    link = grid.neighbours(c, diagonal=False).select(grid.cell_key(F.col("ux"), F.col("uz")).alias("u"), grid.cell_key(F.col("ix"), F.col("iz")).alias("v"))
-    return graph.components(c.select(grid.cell_key(F.col("ix"), F.col("iz")).alias("node")), link).groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
-
-
-@query()
-def zone_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of touching cells over all points of all zones."""
     c = grid.cells(E.trail_points(spark, d), 10, "zone")
     key = lambda ix, iz: F.shiftleft(F.col("zone").cast("long"), 36) + grid.cell_key(F.col(ix), F.col(iz))  # noqa: E731  cell_key is under 2**36
@@ -157,19 +148,15 @@ def outline_distance(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", "name", F.round(G.ring_distance(F.col("x"), F.col("z"), F.element_at("rings", 1)), 6).alias("distance"))
 
 
-@query(f"WITH {_TRAIL} SELECT seq, chr(CAST(65 + greatest(trunc((x / 4.0 - 20) / 16), 0) AS INT)) || '-' || CAST(CAST(greatest(trunc((z / 4.0 - 20) / 16), 0) + 1 AS INT) AS VARCHAR) AS square FROM trail")
-def map_squares(spark: SparkSession, d: str) -> DataFrame:
-    return E.trail_points(spark, d).select("seq", G.map_square(F.col("x"), F.col("z"), 4.0, -20.0, -20.0).alias("square"))
-
-
-@query("SELECT c_mktsegment AS template, list_reduce(list_prepend(0::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(c_mktsegment, '')]), lambda h, c: (h * 31 + c) % 4294967296) % 360 AS hue, count(*) AS n FROM customer GROUP BY ALL")
+@query("SELECT c_mktsegment AS template, (list_reduce(list_prepend(0::BIGINT, [unicode(x)::BIGINT FOR x IN string_split(c_mktsegment, '')]), lambda h, c: (h * 31 + c) % 65536) / 65535 * 0.87 + 0.18) % 1.0 AS hue, count(*) AS n FROM customer GROUP BY ALL")
 def template_hues(spark: SparkSession, d: str) -> DataFrame:
     return E.spawns(spark, d).groupBy("template").agg(F.count(F.lit(1)).alias("n")).select("template", G.string_hue(F.col("template")).alias("hue"), "n")
 
 
 @query(f"WITH {_TRAIL} SELECT mob_id, median(x) AS median, round(quantile_cont(x, 0.9), 6) AS p90, list_sort(list(x))[count(x) // 2 + 1] AS upper FROM trail GROUP BY 1")
 def trail_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return E.trail_points(spark, d).groupBy("mob_id").agg(F.median("x").alias("median"), F.round(F.percentile("x", 0.9), 6).alias("p90"), trails.upper_median(F.col("x")).alias("upper"))
+    points = E.trail_points(spark, d)
+    return trails.percentiles(points, "mob_id", "x", {"median": 0.5, "p90": 0.9}).withColumn("p90", F.round("p90", 6)).join(trails.upper_median(points, "mob_id", "x", "upper"), "mob_id")
 
 
 @query("WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]+/([^/?#]+)', 1) AS zone, length(url) AS additions, length(html) AS deletions FROM pages) SELECT zone, count(*) AS files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM p WHERE zone <> '' GROUP BY 1")
