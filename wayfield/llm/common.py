@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 from typing import Any
 
 from pyspark import Broadcast
@@ -38,11 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Spark hand texts to Python `rows` at a time at most, which bounds what a task holds; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    spark.conf.set(name, str(rows if now <= 0 else min(now, rows)))
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Has Spark hand texts to Python `rows` at a time, and about `size` bytes, at most, which bounds what a task holds.
+
+    Spark reads these settings when a plan runs, so they stay set; a session that sets either itself keeps its own.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(most))
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -70,21 +75,31 @@ def held_out(doc_id: str | Column, mod: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % mod == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, sample: int) -> tuple[list[Row], float]:
-    """text and y of up to `sample` labelled documents of each class outside the held-out part, the first by a hash of the doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, sample: int, most_bytes: int, value: Callable[[Column], Column] | None = None) -> tuple[list[Row], float]:
+    """x (the text, or value of it) and y of up to `sample` labelled texts of each class outside the held-out part, the first by a hash of the doc_id.
 
+    Of these, texts beyond the first `most_bytes` of a class are left out (one at least stays).  Labels of documents that docs lacks don't count.
     Also what the logarithm of the odds in this sample lacks to that of all such labels.
     """
     learn = labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod)).dropDuplicates()
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
-    total = {r.y: r["count"] for r in learn.groupBy("y").count().collect()}
-    ids = [r for y in (0, 1) for r in learn.where(F.col("y") == y).orderBy(*order).limit(sample).collect()]  # 2 * sample rows at most
-    if not ids:
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    known = stage(texts.select("doc_id", "h", F.octet_length("text").cast("long").alias("size")).distinct().join(learn, "doc_id"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen, found = [], {}
+    for y in (0, 1):
+        rows = known.where(F.col("y") == y).orderBy(*order).limit(sample).collect()  # four numbers each
+        upto = list(accumulate(r.size for r in rows))
+        rows = [r for r, n in zip(rows, upto, strict=True) if n <= most_bytes] or rows[:1]
+        chosen += rows
+        found[y] = len(rows)
+    if not chosen:
         return [], 0.0
-    shift = math.log(total[1] * min(sample, total[0]) / total[0] / min(sample, total[1])) if len(total) == 2 else 0.0
-    few = values(docs.sparkSession, "doc_id bigint, y int", [(r.doc_id, r.y) for r in ids])
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return found.orderBy(*order, "text").limit(2 * sample).collect(), shift
+    shift = math.log(total[1] * found[0] / total[0] / found[1]) if len(total) == 2 else 0.0
+    few = values(docs.sparkSession, "doc_id bigint, h bigint, y int", [(r.doc_id, r.h, r.y) for r in chosen])
+    one = texts.join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "y"])  # 2 * sample rows of numbers
+    rows = one.select(*(c.alias(f"o{i}") for i, c in enumerate(order)), "y", (F.col("text") if value is None else value(F.col("text"))).alias("x")).collect()
+    return sorted(rows, key=lambda r: (r.o0, r.o1, r.o2, r.y)), shift
 
 
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:

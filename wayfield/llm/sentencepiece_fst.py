@@ -1,33 +1,40 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-``compile_model`` reads a public model file and makes one machine of its normaliser (blanks become U+2581,
-with one in front), its pieces and its byte fallback.  The pieces' trie, closed under failure links, is
-the part that reads characters; composed with a text it gives a lattice whose arcs are pieces (and
-bytes for characters outside the vocabulary).  The encoding is the lattice's shortest path in the tropical
-semiring (weights add along a path, the least path wins):
+``compile_model`` reads a public model file and composes its parts into one machine that reads raw text:
+
+- the normaliser (a blank and U+2581 are one symbol, and one stands before the text) is composed with the pieces, whose labels
+  are therefore raw characters, so no text is rewritten on the way;
+- the pieces are the paths of a trie, which is closed under failure links, so that it reads a text once for all starts;
+- byte fallback is an arc for any character that is no piece: it writes the character's bytes (or the unknown piece) at the
+  weight of an unknown character.
+
+Composed with a text the machine gives a lattice, whose arcs are pieces and fallbacks.  The encoding is the lattice's shortest
+path in the tropical semiring (weights add along a path, the least path wins), by one routine for both kinds of model,
+which differ in their arcs' weights alone:
 
 - unigram models weigh a piece with its negative log-probability;
 - BPE models weigh pieces with 0 and every *pair* of neighbouring pieces with 0 or infinity: a pair is
   finite if merging by rank, in the order that BPE takes, never joins characters across it.  Just one
   path is then finite, and it is BPE's own result.
 
-As each position keeps the last piece of its least path, the composition is done on the fly and
-takes time in proportion to the lattice.  Where no piece has a blank after another character, a text falls
-into chunks (blanks and what follows them) that never share an arc, and chunks seen before are
-looked up.
+A pair's weight asks for the piece before, and every prefix of a text has one least path, so a position keeps the last
+piece of its least path.  Where no piece has a blank after another character, a text falls into chunks (blanks
+and what follows them) that never share an arc, and chunks seen before are looked up.
 
 How it scales.  One pass over the texts with no shuffle; the machine, bounded by the vocabulary, is compiled
-on the driver and broadcast, so executors need no model file; tables of chunks are bounded.
+on the driver and broadcast, so executors need no model file; tables of chunks and pairs are bounded.
 
 Nulls and odd cases: null and empty texts have no ids and decode to an empty text; U+2581 in a text
-reads as a blank, as the format has it; any other text decodes to itself.
+reads as a blank, as the format has it; any other text decodes to itself; very long texts are read in one piece; of paths of equal
+weight the one found first stays; equal texts get equal ids, repeated rows are encoded on their own; the column of ids (or of decoded text) is the
+only one added, and replaces one of its name (round_trip reads doc_id and text alone); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -36,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import kept, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -66,10 +73,10 @@ def last_merge(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
 
 @dataclass
 class Machine:
-    """What is broadcast: pieces by id, the ids that arcs may carry, weights, and the merges for pairs."""
+    """What is broadcast: the trie's labels (raw text, a blank for U+2581) with their pieces, fallback arcs, weights, and the merges for pairs."""
 
     pieces: list[str]
-    arcs: dict[str, int]
+    labels: dict[str, int]
     weights: dict[int, float]  # empty for BPE
     unknown: float
     merges: dict[str, tuple[str, str]]  # empty for unigram
@@ -97,7 +104,7 @@ def compile_model(path: str = MODEL) -> Machine:
     merges = {p: m for p in usable if len(p) > 1 and (m := last_merge(p, rank))} if bpe else {}
     return Machine(
         pieces=pieces,
-        arcs={p: i for p, (i, _) in usable.items() if not bpe or len(p) == 1 or p in merges},
+        labels={p.replace(BLANK, " "): i for p, (i, _) in usable.items() if not bpe or len(p) == 1 or p in merges},
         weights={} if bpe else {i: -s for i, s in usable.values()},
         unknown=10.0 - min(s for _, s in usable.values()),
         merges=merges,
@@ -109,23 +116,42 @@ def compile_model(path: str = MODEL) -> Machine:
     )
 
 
+class _Pairs(dict):
+    """The weight of a piece (second) after another (first; None after a fallback or at the start), worked out when first asked for."""
+
+    def __init__(self, weigh: Callable[[int | None, int], float], most: int):
+        super().__init__()
+        self.weigh, self.most = weigh, most
+
+    def __missing__(self, pair: tuple[int | None, int]) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        w = self[pair] = self.weigh(*pair)
+        return w
+
+
 class Transducer:
     """A machine ready to run, with its tables of what it has seen."""
 
     def __init__(self, machine: Machine, most: int = 1 << 18):
         self.m, self.most = machine, most
         self.trie = ahocorasick.Automaton()
-        for p, i in machine.arcs.items():
-            self.trie.add_word(p, (len(p), i))
+        for label, i in machine.labels.items():
+            self.trie.add_word(label, (len(label), i))
         self.trie.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = _Pairs(self.weight, most)
         self.chunks: dict[str, bytes] = {}
-        self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if machine.chunked else re.compile(".+", re.S)
+        self.cut = re.compile(" *[^ ]+| +") if machine.chunked else re.compile(".+", re.S)
         plain = {i: p.replace(BLANK, " ").encode() for i, p in enumerate(machine.pieces)}
         for b, i in enumerate(machine.byte_ids):
             plain[i] = bytes([b])
         self.plain = [plain[i] for i in range(len(machine.pieces))]
 
+    def weight(self, before: int | None, piece: int) -> float:
+        if self.m.weights:
+            return self.m.weights[piece]
+        return 0.0 if before is None or self.finite(before, piece) else INFINITY
+
     def _spine(self, piece: str, side: int) -> list[tuple[str, float]]:
         """Symbols at one end of a piece, the smallest first, with the rank at which each is merged on."""
         out, above = [], INFINITY
@@ -156,33 +182,23 @@ class Transducer:
         return [self.m.byte_ids[b] for b in c.encode()] if self.m.byte_ids else [self.m.unk]
 
     def shortest_path(self, text: str) -> list[int]:
-        """Ids of a normalised text."""
-        n = len(text)
-        last: list[int | None] = [None] * (n + 1)  # the last piece of the least path to a position; None: a fallback or the start
-        length, cost, bpe, pairs = [0] * (n + 1), [0.0] + [INFINITY] * n, bool(self.m.rank), self.pairs
-        known = 0
+        """Ids of the least path through the lattice of a text that starts with the normaliser's blank."""
+        n, pairs = len(text), self.pairs
+        last: list[int | None] = [None] * (n + 1)  # the last piece of the least path to a position; None: a fallback, or the start
+        length, cost = [0] * (n + 1), [0.0] + [INFINITY] * n
+        known = 0  # up to here all arcs have come in
         for end, (size, piece) in self.trie.iter(text):
             end += 1
             start = end - size
-            while known < start:  # positions that no piece reached
+            while known < start:  # a position that no piece reached: its character has the fallback arc
                 known += 1
                 if cost[known] == INFINITY:
                     cost[known], length[known] = cost[known - 1] + self.m.unknown, 1
-            if bpe:
-                if cost[end] < INFINITY or cost[start] == INFINITY:
-                    continue
-                before = last[start]
-                if before is not None:
-                    fits = pairs.get((before, piece))
-                    if fits is None:
-                        if len(pairs) >= self.most:
-                            pairs.clear()
-                        fits = pairs[before, piece] = self.finite(before, piece)
-                    if not fits:
-                        continue
-                last[end], length[end], cost[end] = piece, size, cost[start]
-            elif cost[start] + self.m.weights[piece] < cost[end]:
-                last[end], length[end], cost[end] = piece, size, cost[start] + self.m.weights[piece]
+            if cost[start] >= cost[end]:  # no weight is below 0
+                continue
+            c = cost[start] + pairs[last[start], piece]
+            if c < cost[end]:
+                last[end], length[end], cost[end] = piece, size, c
         while known < n:
             known += 1
             if cost[known] == INFINITY:
@@ -193,11 +209,11 @@ class Transducer:
             at -= length[at]
         return [i for ids in reversed(out) for i in ids]
 
-    def normalise(self, text: str) -> str:
-        return (BLANK if self.m.prefix and text else "") + text.replace(" ", BLANK)
-
     def encode(self, text: str | None) -> np.ndarray:
-        chunks, known = self.cut.findall(self.normalise(text or "")), self.chunks
+        text = text or ""
+        if BLANK in text:  # the other label of the blank's arcs
+            text = text.replace(BLANK, " ")
+        chunks, known = self.cut.findall(" " + text if self.m.prefix and text else text), self.chunks
         try:
             found = b"".join(map(known.__getitem__, chunks))
         except KeyError:
@@ -219,18 +235,6 @@ class Transducer:
         return text[1:] if self.m.prefix and text[:1] == " " else text
 
 
-_ready: dict[int, Transducer] = {}
-
-
-def _transducer(shared) -> Transducer:
-    """One for each Python process and broadcast machine, so that its tables last from task to task."""
-    key = shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared.value)
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Transducer(shared.value)
-    return _ready[key]
-
-
 def _lists(found: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
@@ -243,7 +247,7 @@ def encode(docs: DataFrame, column: str = "ids", model: str | Machine = MODEL, t
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        machine = _transducer(shared)
+        machine = kept(shared, Transducer)
         return _lists([machine.encode(t.as_py()) for t in texts])
 
     return docs.withColumn(column, ids(F.col(text)))
@@ -256,7 +260,7 @@ def decode(docs: DataFrame, column: str = "decoded", model: str | Machine = MODE
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        machine = _transducer(shared)
+        machine = kept(shared, Transducer)
         return pa.array([machine.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x.values) else "" for x in lists], pa.string())
 
     return docs.withColumn(column, text(F.col(ids)))
@@ -268,7 +272,7 @@ def round_trip(docs: DataFrame, model: str | Machine = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Machine) else compile_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _transducer(shared)
+        machine = kept(shared, Transducer)
         for batch in batches:
             found, crcs, same = [], [], []
             for text in batch.column(1).to_pylist():

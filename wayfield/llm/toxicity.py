@@ -11,12 +11,15 @@ is therefore built from the segments of words whose k-byte parts are far more fr
 ordinary texts.  Both share the ordinary content at equal distances, so that only toxic segments make a
 difference.
 
-How it scales.  The fit uses a bounded sample of labelled rows (``sample`` for each class, the first by a hash
-of the doc_id); scoring is one pass over all texts with no shuffle, and what is broadcast is bounded by
+How it scales.  The fit uses a bounded sample of labelled texts (``sample`` for each class, the first by a hash
+of the doc_id, and ``most_bytes`` of each class), of whose windows ``most_windows``, evenly spaced, train the ordinary dictionary, and
+segments go into the toxic one, the most frequent first, while ``toxic_size`` has room; scoring is one pass over all texts with no shuffle, and what is broadcast is bounded by
 the sizes of the dictionaries.
 
-Nulls and odd cases: a null text counts as empty and has no saving; labels that are null or belong to no
-document are left out; without labels of both classes every score is the share of 1s (0.5 without any).
+Nulls and odd cases: a null text counts as empty and has no saving; very long texts are scored whole, window by window; equal
+texts get equal scores, repeated rows are scored on their own and count once in the sample; labels that are null or belong to no
+document are left out; without labels of both classes every score is the share of 1s (0.5 without any); the column of scores is the only
+one added, and replaces one of its name in with_score (classify reads doc_id and text alone); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, text_batches
+from .common import held_out, kept, labelled_sample, text_batches
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _WINDOW = re.compile(rb"\S.{0,96}(?=\s|$)|\S{1,200}", re.S)  # up to 97 bytes to a blank; words beyond that in parts
@@ -63,7 +66,7 @@ def _parts(words: set[bytes], k: int) -> set[bytes]:
     return {w[i : i + k] for w in (b" " + x + b" " for x in words) for i in range(len(w) - k + 1)}
 
 
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes], k: int = 5, ratio: float = 5.0, least: float = 0.01, size: int = 8192) -> bytes:
+def toxic_segments(toxic: list[bytes], ordinary: list[bytes], k: int = 5, ratio: float = 5.0, least: float = 0.01, toxic_size: int = 8192) -> bytes:
     """Segments of words, the most frequent last, all of whose k-byte parts are in `ratio` times as many toxic texts as an upper bound from the ordinary ones gives."""
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
@@ -82,7 +85,7 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], k: int = 5, ratio:
                 elif start is not None:
                     found[w[start : i + k - 1]] += 1
                     start = None
-    kept, room = [], size
+    kept, room = [], toxic_size
     for s, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
         room -= len(s)
         if room < 0:
@@ -91,9 +94,9 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes], k: int = 5, ratio:
     return b"".join(reversed(kept))
 
 
-def ordinary_dictionary(texts: list[str], size: int = 65536, most: int = 30_000) -> bytes:
+def ordinary_dictionary(texts: list[str], size: int = 65536, most_windows: int = 30_000) -> bytes:
     samples = [w for t in texts for w in windows(t)]
-    step = max(1, len(samples) // most)
+    step = max(1, len(samples) // most_windows)
     try:
         return zstandard.train_dictionary(size, samples[::step]).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer: their plain text
@@ -149,15 +152,15 @@ def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> Model:
     return model
 
 
-def with_score(docs: DataFrame, labels: DataFrame, column: str = "score", label: str = "toxic", mod: int = 4, sample: int = 2500) -> DataFrame:
+def with_score(docs: DataFrame, labels: DataFrame, column: str = "score", label: str = "toxic", mod: int = 4, sample: int = 2500, most_bytes: int = 32 << 20) -> DataFrame:
     """docs with one more column: the score of each text, from 0 to 1."""
     text_batches(docs.sparkSession)
-    rows, shift = labelled_sample(docs, labels, label, mod, sample)
-    model = docs.sparkSession.sparkContext.broadcast(fit([(r.text, r.y) for r in rows], shift))
+    rows, shift = labelled_sample(docs, labels, label, mod, sample, most_bytes)
+    model = docs.sparkSession.sparkContext.broadcast(fit([(r.x, r.y) for r in rows], shift))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        one = model.value.scorer()
+        one = kept(model, Model.scorer)
         return pd.Series([one(t) for t in texts], index=texts.index, dtype=float)
 
     return docs.withColumn(column, score("text"))
