@@ -10,14 +10,15 @@ hold is a node, so the tree grows with the corpus.
 
 How it scales.  The distinct n-grams of all rows are counted in bounded memory in each task, then summed in a
 shuffle by their nearest ``split`` bytes of context.  One such key has 2**24 distinct n-grams at most (two
-more bytes of context and the byte itself), whatever the corpus, and only distinct ones travel, so no key is hot.
-Within a key the levels below ``split`` are a Python function over sorted arrays; the levels above, which are
+more bytes of context and the byte itself), whatever the corpus, and only distinct ones travel, so no key is hot;
+keys are dealt into buckets, twice as many as shuffle partitions, and a task's n-grams of a bucket travel as one packed row.
+Within a bucket the levels below ``split`` are a Python function over sorted arrays; the levels above, which are
 few rows, are group-bys on the way up and joins on the way down.  Going up, only each node's counts and weighted
 probability leave a task; going down, each decision's mixture is linear in that of the level below, so two
-numbers a node come back.  Scoring is one pass over the texts: n-grams with at least 2**-23 of all bytes (so
-8,388,608 at most, of 12 bytes) are broadcast, the others meet their logarithms in a join; none of them is
-frequent.  The base score needs the count of each word: words with at least 2**-17 of all tokens (so
-131,072 at most; a word over 64 bytes goes by its digest) are broadcast, the others meet their counts in a join.
+numbers a node come back.  Scoring is one pass over the texts: the ``2**hot_grams`` most frequent n-grams at most (2,097,152
+of 12 bytes) are broadcast, the others meet their logarithms in a join.  The base score needs the count of each
+word: words with at least 2**-17 of all tokens (so 131,072 at most; a word over 64 bytes goes by its digest) are broadcast,
+the others meet their counts in a join.
 
 Nulls and odd cases: a null text counts as empty and has the end mark alone; very long texts are read in one piece
 each; a null doc_id is in the training part; ties do not occur; repeated rows are scored and counted on their own;
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,8 +111,33 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return g[first], np.add.reduceat(n[order], first) if len(g) else n, np.add.reduceat(m[order], first) if len(g) else m
 
 
-def gram_counts(docs: DataFrame, depth: int, flush: int = 1 << 20) -> DataFrame:
-    """g (depth + 1 bytes), n in the rows to learn from (column t) and m in all rows; a gram comes from a task once for each `flush` distinct ones."""
+def packed(g: np.ndarray, n: np.ndarray, m: np.ndarray) -> bytes:
+    """Sorted n-grams with both counts: differences, byte by byte, compressed."""
+    columns = [np.diff(g, prepend=0), n.astype(np.int64), m.astype(np.int64)]
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(3, 8, -1)
+    d, n, m = (np.ascontiguousarray(c.T).view(np.int64).ravel() for c in planes)
+    return np.cumsum(d), n, m
+
+
+def _bucket(near: np.ndarray, buckets: int) -> np.ndarray:
+    return (((near.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+
+def gram_counts(docs: DataFrame, depth: int, split: int, buckets: int, flush: int = 3 << 19) -> DataFrame:
+    """bucket and n-grams (depth + 1 bytes), packed with n in the rows to learn from (column t) and m in all rows; a gram comes from a task once for each `flush` distinct ones."""
+
+    def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = _summed(parts)
+        at = _bucket(columns[0] >> (8 * (depth - split + 1)), buckets)
+        order = np.argsort(at, kind="stable")
+        at, columns = at[order], [c[order] for c in columns]
+        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(at[a])], pa.int32()), pa.array([packed(*(c[a:b] for c in columns))], pa.binary())], ["bucket", "grams"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -121,18 +148,19 @@ def gram_counts(docs: DataFrame, depth: int, flush: int = 1 << 20) -> DataFrame:
                     texts = [canonical(column[i].as_py()) for i in run if bool(learn[i]) == t]
                     if texts:
                         g, k = np.unique(_grams(texts, depth)[0], return_counts=True)
-                        parts.append((g, k * t, k))
+                        k = k.astype(np.int32)
+                        parts.append((g, k * np.int32(t), k))
                         size += len(g)
                 if size >= 2 * flush:
                     parts = [_summed(parts)]
                     size = len(parts[0][0])
                     if size >= flush:
-                        yield pa.record_batch(dict(zip("gnm", parts[0], strict=True)))
+                        yield from out(parts)
                         parts, size = [], 0
         if parts:
-            yield pa.record_batch(dict(zip("gnm", _summed(parts), strict=True)))
+            yield from out(parts)
 
-    return docs.select("text", "t").mapInArrow(count, "g long, n long, m long")
+    return docs.select("text", "t").mapInArrow(count, "bucket int, grams binary")
 
 
 def _sums_of_logs(first: float, step: float, n: int = 1 << 16) -> np.ndarray:
@@ -216,52 +244,70 @@ def _levels(g: np.ndarray, n: np.ndarray, depth: int, split: int) -> list[tuple[
     return levels
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], key: Callable[[list[np.ndarray]], np.ndarray], least: int = 1 << 17) -> Iterator[list[np.ndarray]]:
-    """Columns of rows that come sorted by a key, in runs of whole keys with at least so many rows."""
-    held, size, enough = [], 0, least
+def _runs_of_keys(keys: np.ndarray, least: int = 1 << 17) -> Iterator[slice]:
+    """Sorted keys in runs of whole keys with at least so many rows (but for the last)."""
+    at = 0
+    while at < len(keys):
+        last = min(at + least, len(keys)) - 1
+        end = int(np.searchsorted(keys, keys[last], "right"))
+        yield slice(at, end)
+        at = end
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each bucket (the first column), which come sorted by it."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        size += batch.num_rows
-        if size < enough:
-            continue
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        k = key(columns)
-        end = int(np.searchsorted(k, k[-1]))
-        if end:
-            yield [c[:end] for c in columns]
-        held, size = [[c[end:] for c in columns]], len(k) - end
-        enough = max(least, 2 * size)  # a key that goes on isn't joined anew for each batch
+        while batch.num_rows:
+            of = batch.column(0).to_numpy()
+            if held and held[0].column(0)[0].as_py() != of[0]:
+                yield held[0].column(0)[0].as_py(), held
+                held = []
+            end = int(np.searchsorted(of, of[0], "right"))
+            held.append(batch.slice(0, end))
+            batch = batch.slice(end)
     if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield held[0].column(0)[0].as_py(), held
 
 
 GRAM, NODE = 1, 0
+_ROWS = "bucket int, kind int, k long, n long, m long, lw double, grams binary"
 
 
-def first_pass(counts: DataFrame, depth: int, split: int) -> DataFrame:
-    """Rows of kind GRAM: k (the gram), n and m; rows of kind NODE, for the level `split`: k (the node), n (zeros), m (ones) and lw."""
+def first_pass(counts: DataFrame, depth: int, split: int, flush: int = 3 << 19) -> DataFrame:
+    """Rows of kind GRAM: a bucket's n-grams, packed in runs of whole keys; rows of kind NODE, for the level `split`: k (the node), n (zeros), m (ones) and lw."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, k: np.ndarray, n: np.ndarray, m: np.ndarray, lw: np.ndarray | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n), pa.array(m), pa.array(lw) if lw is not None else pa.nulls(len(k), pa.float64())], ["kind", "k", "n", "m", "lw"])
+    def rows(bucket: int, kind: int, *columns: np.ndarray | bytes) -> pa.RecordBatch:
+        size = 1 if kind == GRAM else len(columns[0])
+        head = [pa.array(np.full(size, bucket, np.int32)), pa.array(np.full(size, kind, np.int32))]
+        none = [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())]
+        body = [*none, pa.array([columns[0]], pa.binary())] if kind == GRAM else [*(pa.array(c) for c in columns), pa.nulls(size, pa.binary())]
+        return pa.RecordBatch.from_arrays([*head, *body], ["bucket", "kind", "k", "n", "m", "lw", "grams"])
 
-        for columns in _whole_keys(batches, lambda c: c[0] >> (8 * (depth - split + 1))):
-            g, n, m = _summed([tuple(columns)])
-            yield rows(GRAM, g, n, m)
-            levels = _levels(g, n, depth, split)
-            for i in range(8):
-                top = _nodes(levels, i)[0][-1]
-                yield rows(NODE, top.ids, top.n0, top.n1, top.weighted)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, part in _buckets(batches):
+            parts, size = [], 0
+            for blob in (x for batch in part for x in batch.column(1)):
+                parts.append(unpacked(blob.as_py()))
+                size += len(parts[-1][0])
+                if size >= 2 * flush:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+            whole = _summed(parts)
+            for at in _runs_of_keys(whole[0] >> (8 * (depth - split + 1))):
+                g, n, m = (c[at] for c in whole)
+                yield rows(bucket, GRAM, packed(g, n, m))
+                levels = _levels(g, n, depth, split)
+                for i in range(8):
+                    top = _nodes(levels, i)[0][-1]
+                    yield rows(bucket, NODE, top.ids, top.n0, top.n1, top.weighted)
 
-    near = F.shiftright("g", 8 * (depth - split + 1))
-    return counts.repartition(near).sortWithinPartitions("g").mapInArrow(run, "kind int, k long, n long, m long, lw double")
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ROWS)
 
 
 def upper_levels(nodes: DataFrame, split: int) -> DataFrame:
-    """k, a and b of each node of the level `split`: its decision's probability of a 1 is a + b times that of the subtree from there on."""
-    levels = [nodes.select("k", "n", "m", "lw")]
+    """bucket, k, a and b of each node of the level `split`: its decision's probability of a 1 is a + b times that of the subtree from there on."""
+    levels = [nodes.select("bucket", "k", "n", "m", "lw")]
     own = log_estimate(F.col("n"), F.col("m"))
     parent = F.shiftleft(F.shiftright("k", 16), 8) + F.col("k").bitwiseAND(255)
     for _ in range(split):
@@ -269,48 +315,67 @@ def upper_levels(nodes: DataFrame, split: int) -> DataFrame:
         top = F.greatest("own", "kids")
         lw = top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("kids") - top)) - math.log(2)
         levels.append(stage(kids.withColumn("lw", lw).withColumn("w", F.exp(F.col("own") - math.log(2) - F.col("lw")))))
-    found = levels.pop().select("*", F.lit(0.0).alias("a"), F.lit(1.0).alias("b")) if split else levels.pop().select("k", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    found = levels.pop().withColumns({"a": F.lit(0.0), "b": F.lit(1.0)})
     while levels:
         one = (F.col("m") + 0.5) / (F.col("n") + F.col("m") + 1.0)
         above = found.select(F.col("k").alias("up"), (F.col("a") + F.col("b") * F.col("w") * one).alias("a"), (F.col("b") * (1.0 - F.col("w"))).alias("b"))
         found = levels.pop().withColumn("up", parent).join(above, "up").drop("up")
-    return found.select("k", "a", "b")
+    return found.select("bucket", "k", "a", "b")
 
 
 def second_pass(grams: DataFrame, upper: DataFrame, depth: int, split: int) -> DataFrame:
     """g, m and the logarithm of its last byte's probability."""
 
+    def logs(g: np.ndarray, n: np.ndarray, nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        levels, lp = _levels(g, n, depth, split), np.zeros(len(g))
+        for i in range(8):
+            path, place = _nodes(levels, i)
+            p = (path[0].n1 + 0.5) / (path[0].n0 + path[0].n1 + 1.0)
+            to = np.arange(len(p))
+            for below, here in zip(path, path[1:], strict=False):
+                to = below.up[to]
+                w = np.exp(here.own - math.log(2) - here.weighted)
+                own = w * (here.n1 + 0.5) / (here.n0 + here.n1 + 1.0)
+                p = own[to] + (1.0 - w[to]) * p
+            top = np.searchsorted(nodes, path[-1].ids)[to]
+            p = np.clip(a[top] + b[top] * p, 1e-7, 1 - 1e-7)[place]
+            lp += np.log10(np.where(g >> (7 - i) & 1, p, 1.0 - p))
+        return lp
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, kind, k, x, y in _whole_keys(batches, lambda c: c[0]):
-            at = kind == NODE
-            order = np.argsort(k[at])
-            nodes, a, b = (c[at][order] for c in (k, x, y))
-            g, n, m = k[~at], x[~at].astype(np.int64), y[~at].astype(np.int64)
-            levels, lp = _levels(g, n, depth, split), np.zeros(len(g))
-            for i in range(8):
-                path, place = _nodes(levels, i)
-                p = (path[0].n1 + 0.5) / (path[0].n0 + path[0].n1 + 1.0)
-                to = np.arange(len(p))
-                for below, here in zip(path, path[1:], strict=False):
-                    to = below.up[to]
-                    w = np.exp(here.own - math.log(2) - here.weighted)
-                    own = w * (here.n1 + 0.5) / (here.n0 + here.n1 + 1.0)
-                    p = own[to] + (1.0 - w[to]) * p
-                top = np.searchsorted(nodes, path[-1].ids)[to]
-                p = np.clip(a[top] + b[top] * p, 1e-7, 1 - 1e-7)[place]
-                lp += np.log10(np.where(g >> (7 - i) & 1, p, 1.0 - p))
-            yield pa.record_batch({"g": g, "m": m, "lp": lp})
-
-    rows = grams.select(F.shiftright("k", 8 * (depth - split + 1)).alias("c"), F.lit(GRAM).alias("kind"), "k", F.col("n").cast("double").alias("x"), F.col("m").cast("double").alias("y"))
-    both = rows.unionByName(upper.select(F.shiftright("k", 8).alias("c"), F.lit(NODE).alias("kind"), "k", F.col("a").alias("x"), F.col("b").alias("y")))
-    return both.repartition("c").sortWithinPartitions("c", "kind", "k").mapInArrow(run, "g long, m long, lp double")
-
-
-def gram_logs(counts: DataFrame, depth: int, split: int = 4) -> DataFrame:
-    """g, m and the logarithm of its last byte's probability for each distinct gram of the counts."""
-    split = min(split, depth)
-    rows = stage(first_pass(counts, depth, split))
-    return second_pass(rows.where(F.col("kind") == GRAM), upper_levels(rows.where(F.col("kind") == NODE), split), depth, split)
+        for _, part in _buckets(batches):
+            rows = pa.Table.from_batches([x.select(["kind", "k", "a", "b"]) for x in part])
+            at = rows.column("kind").to_numpy() == NODE
+            k, a, b = (rows.column(c).to_numpy()[at] for c in ("k", "a", "b"))
+            order = np.argsort(k)
+            nodes, a, b = k[order].astype(np.int64), a[order], b[order]
+            for blob in (x for batch in part for x in batch.column("grams") if x.is_valid):
+                g, n, m = unpacked(blob.as_py())
+                yield pa.record_batch({"g": g, "m": m, "lp": logs(g, n, nodes, a, b)})
+
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = grams.select("bucket", F.lit(GRAM).alias("kind"), none("long").alias("k"), none("double").alias("a"), none("double").alias("b"), "grams")
+    both = rows.unionByName(upper.select("bucket", F.lit(NODE).alias("kind"), "k", "a", "b", none("binary").alias("grams")))
+    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "g long, m long, lp double")
+
+
+def gram_logs(rows: DataFrame, depth: int, split: int = 4) -> DataFrame:
+    """g, m and the logarithm of its last byte's probability for each distinct gram of the texts; rows: text and t (whether to learn from it)."""
+    split, buckets = min(split, depth), 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stage(first_pass(gram_counts(rows, depth, split, buckets), depth, split))
+    return second_pass(found.where(F.col("kind") == GRAM), upper_levels(found.where(F.col("kind") == NODE), split), depth, split)
+
+
+def least_of_most(counts: DataFrame, column: str, most: int) -> int:
+    """The least count such that at most `most` rows have it or more, to a sixteenth of a doubling."""
+    step = F.floor(F.log2(column) * 16)
+    total, least = 0, 1 << 62
+    for r in sorted(counts.where(F.col(column) > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("least")).collect(), key=lambda r: -r.step):  # 1008 rows at most
+        total += r.n
+        if total > most:
+            break
+        least = r.least
+    return least
 
 
 class Memo:
@@ -337,7 +402,7 @@ class Memo:
         return out, cold
 
 
-def score(docs: DataFrame, train: Column | None = None, depth: int = 6, hot: int = 17, hot_grams: int = 23) -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, depth: int = 6, hot: int = 17, hot_grams: int = 21) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and n_bytes (of the text as read) for every row of docs.
 
     train: whether the model learns from a row; all rows by default.
@@ -351,8 +416,8 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = 6, hot: int
     n, v = words.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = (n or 0) + ends, v + (ends > 0)
     often = words.where(F.col("n") >= max(2, n * 2.0**-hot)).toArrow()  # at most 2**hot words
-    logs = stage(gram_logs(gram_counts(rows, depth), depth))
-    least = (logs.agg(F.sum("m")).first()[0] or 0) * 2.0**-hot_grams
+    logs = stage(gram_logs(rows, depth))
+    least = least_of_most(logs, "m", 1 << hot_grams)
     top = logs.where(F.col("m") >= least).select("g", F.col("lp").cast("float").alias("lp")).toArrow()  # at most 2**hot_grams
     keys, lps = top.column("g").to_numpy(), top.column("lp").to_numpy()
     order = np.argsort(keys)
