@@ -297,8 +297,9 @@ def test_join_by_brute_force(spark):
                 a, b = find(i), find(j)
                 place[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.join(docs, large=20).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+    for o in ({"large": 20}, {"large": 10**9, "block": 7, "hot_entries": 9}):  # the second: no large families, all but short lists dealt
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in set_join.join(docs, **o).collect()}
+        assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
     assert set_join.one_of_each(docs, large=20).count() == len({find(i) for i in range(len(sets))})
 
 
@@ -307,6 +308,30 @@ def test_components(spark):
     assert {r.node: r.root for r in components.components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
 
 
+def test_components_of_a_hot_star(spark):
+    links = spark.range(1, 6000).selectExpr("id AS u", "id % 3 * 0 AS v").unionByName(spark.createDataFrame([(7000, 7001), (7001, 5999)], "u long, v long"))
+    roots = components.components(links)
+    assert roots.count() == 6002 and roots.agg(F.max("root")).first()[0] == 0
+
+
+def test_overlaps_are_derived_right():
+    rng = np.random.default_rng(4)
+    common = np.arange(300, dtype=np.uint64) * np.uint64(7)
+    sets = [np.unique(np.concatenate([rng.choice(common, 280, replace=False), rng.integers(10**6, 10**6 + 60, 12).astype(np.uint64)])) for _ in range(30)] + [np.empty(0, np.uint64)]
+    for left, right in ((np.arange(12), np.arange(12, 31)), (np.arange(31), np.arange(31))):
+        got = set_join.overlaps(sets, left, right, columns=64)
+        assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+
+
+def test_one_of_each_keeps_clashing_names(spark):
+    rows = [(2, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (3, "", "z"), (None, "q r s t u", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d string")
+    for c in ("t", "row", "words", "w_digest", "root", "component_id", "one"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), "d"))
+    got = {(r.doc_id, r.d, r.t, r.w_digest) for r in set_join.one_of_each(docs).collect()}
+    assert got == {(1, "y", "ty", "w_digesty"), (3, "z", "tz", "w_digestz"), (None, "n", "tn", "w_digestn")}
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 

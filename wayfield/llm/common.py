@@ -62,6 +62,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with `one`, which has one row for each key and, in column `size`, how many of the `total` rows have it.
+
+    Keys with 2**-12 of all rows or more, 4096 of them at most, meet their rows by a broadcast, so no task of the shuffle holds a hot key.
+    """
+    if total < 4096:
+        return rows.join(one.drop(size), keys, how)
+    least = total * 2.0**-12
+    hot, cold = one.where(F.col(size) >= least).drop(size), one.where(F.col(size) < least).drop(size)
+    if how == "left_semi":
+        return rows.join(F.broadcast(hot), keys, how).unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(cold, keys, how))
+    met = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return met.unionByName(rest)
+
+
 def kept(shared: Broadcast, make: Callable[[Any], Any]) -> Any:
     """What is made of a broadcast value, once for each Python worker; it goes when the worker drops the broadcast."""
     if not hasattr(shared, "w_made"):
@@ -102,6 +118,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, sa
     return sorted(rows, key=lambda r: (r.o0, r.o1, r.o2, r.y)), shift
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or with as many underscores behind it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A few rows that the driver holds, as a relation of literals (numbers only)."""
     names = [x.strip().split(" ") for x in schema.split(",")]

@@ -14,17 +14,22 @@ link with, and skips entries whose position leaves too few shingles for a link.
 Answer-level skipping.  Sets of a family are highly similar, so their answers differ little.  Members of long
 lists are first compared with one hub of their family alone (the member that stands in most lists);
 those that link take over the hub's answer, the component.  What is left to derive are links between
-different components: in large families by a product of blocks of sets, each against each, in which
-blocks of the answered part aren't compared with each other, and which gives only as many links as join
-components; elsewhere by comparing the remaining candidates of the lists.  No link between components is lost.
+different components.  In large families blocks of sets meet blocks; in each block one set's overlaps with the other block are
+counted, and every other set's overlaps are derived from these by the shingles in which it differs from that set; it gives only
+as many links as join components, and blocks of the answered part aren't compared with each other.
+Elsewhere the remaining candidates of the lists are compared.  No link between components is lost.
 
 How it scales.  Sets never leave a task, and are made again from texts.  The shuffles hold first parts
 (a fifth of the shingles) and, for candidates, their texts.  Shingles that come last are
-broadcast: those in more than ``common`` first parts, where ``common`` doubles until they are ``bound`` at most.
+broadcast: those in more than ``common`` first parts, where ``common`` doubles until they are ``bound`` at most.  Lists
+with 2**-12 of all entries or more (4096 at most) are dealt over ``salts`` tasks and meet what belongs to them by a broadcast; a long list is
+streamed, and in the second round lists of more than ``block`` entries are dealt into pairs of blocks as rows, so no task holds a whole one.
+A class of copies, however large, is one row until the end, where its rows meet its answer in the same way.
 
 Nulls and odd cases: null, empty and blank texts have an empty set (n 0) and link with nothing; fewer
-than five words make one shingle; a null doc_id takes part and is never a component's id unless all
-are null; repeated rows are a class; an empty table gives no rows.
+than five words make one shingle; very long texts are read whole, one at a time in their part of a batch; a null doc_id takes part and is never a
+component's id unless all are null; repeated rows are a class; ties do not occur (a link is met or not); columns other than doc_id and text are not
+read by join, and one_of_each names its own columns apart from docs', so no name can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_batches
+from .common import fresh, hot_join, stage, text_batches
 from .components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,14 +169,17 @@ def _eligible(n: np.ndarray, pos: np.ndarray, i, j, threshold: int) -> np.ndarra
     return (np.minimum(a, b) * 100 >= threshold * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= need)
 
 
-def other_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, family: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of a list that may link and lie in different components, but for those of one large family (-1: none)."""
+def other_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, family: np.ndarray, role: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of a list that may link and lie in different components, but for those of one large family (-1: none).
+
+    role: entries of role 1 meet those of role 0; in a list that isn't dealt all have role 2 and meet those before them.
+    """
     if len(root) < 2 or (root == root[0]).all():
         return
-    start = np.searchsorted(n, -(-n * threshold // 100))
-    for j in range(1, len(node)):
-        i = np.arange(start[j], j)
-        i = i[(root[i] != root[j]) & ((family[i] != family[j]) | (family[j] < 0))]
+    start, end = np.searchsorted(n, -(-n * threshold // 100)), np.searchsorted(n, n * 100 // threshold, "right")
+    for j in np.flatnonzero(role > 0):
+        i = np.arange(start[j], j if role[j] == 2 else end[j])
+        i = i[(root[i] != root[j]) & ((family[i] != family[j]) | (family[j] < 0)) & (role[i] != 1)]
         i = i[_eligible(n, pos, i, j, threshold)]
         if len(i):
             yield node[i], np.full(len(i), node[j])
@@ -179,90 +187,134 @@ def other_pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarr
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of each list with two entries or more, from rows sorted by their first column."""
-    rest: list[np.ndarray] | None = None
+    rest: list[list[np.ndarray]] = []
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        cut = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-        edges = np.concatenate([[0], cut])
+        if not len(columns[0]):
+            continue
+        if rest and rest[-1][0][-1] == columns[0][0] == columns[0][-1]:
+            rest.append(columns)
+            continue
+        columns = _packed([*rest, columns])
+        edges = np.concatenate([[0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1])
         for a, b in zip(edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1], strict=True):
             yield [c[a:b] for c in columns]
-        rest = [c[edges[-1] :] for c in columns] if len(columns[0]) else rest
-    if rest is not None and len(rest[0]) > 1:
-        yield rest
+        rest = [[c[edges[-1] :] for c in columns]]
+    if rest and sum(len(r[0]) for r in rest) > 1:
+        yield _packed(rest)
 
 
 def _packed(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _index(nodes: DataFrame, threshold: int, short: int) -> DataFrame:
-    """The entries of all lists of two or more (pair false), and the pairs of short ones (pair true)."""
+def _index(nodes: DataFrame, threshold: int, short: int, hot_entries: int = 1024, salts: int = 64) -> DataFrame:
+    """The entries of all lists of two or more (pair false; long: of a list with more than `short`), and the pairs of short ones (pair true)."""
+
+    def rows(pair: bool, g: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), pair)), *(pa.array(x) for x in (g, node, n, pos, long))], ["pair", "g", "node", "n", "pos", "long"])
 
-    def entries_and_pairs(g: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    def entries_and_pairs(g: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         """From whole lists."""
         edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
         length = np.repeat(np.diff(edges), np.diff(edges))
         g, n, node, pos, length = (x[length > 1] for x in (g, n, node, pos, length))
-        parts = [(np.zeros(len(g), bool), g, node, n, pos)]
+        yield rows(False, g, node, n, pos, length > short)
         for k in range(1, short):  # entries of short lists that stand k apart
             i = np.flatnonzero((g[:-k] == g[k:]) & (length[k:] <= short))
             i = i[_eligible(n, pos, i, i + k, threshold)]
             a, b = node[i], node[i + k]
-            parts.append((np.ones(len(i), bool), np.minimum(a, b), np.maximum(a, b), np.zeros(len(i), n.dtype), np.zeros(len(i), pos.dtype)))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in _packed(parts)], ["pair", "g", "node", "n", "pos"])
+            yield rows(True, np.minimum(a, b), np.maximum(a, b), n[i], pos[i], np.zeros(len(i), bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[list[np.ndarray]] = []
+        rest: list[list[np.ndarray]] = []  # the last list so far, while it may be short
+        flowing = None  # the long list that goes on
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
+            g, n, node, pos, hot = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if hot.any():
+                yield rows(False, g[hot], node[hot], n[hot], pos[hot], np.ones(hot.sum(), bool))
+                g, n, node, pos = (x[~hot] for x in (g, n, node, pos))
+            if flowing is not None and len(g):
+                k = int(np.searchsorted(g, flowing, "right"))
+                yield rows(False, g[:k], node[:k], n[:k], pos[:k], np.ones(k, bool))
+                if k < len(g):
+                    flowing = None
+                g, n, node, pos = (x[k:] for x in (g, n, node, pos))
+            if not len(g):
                 continue
-            end = len(columns[0]) - int(np.argmax(columns[0][::-1] != columns[0][-1])) if columns[0][0] != columns[0][-1] else 0
+            columns = _packed([*rest, [g, n, node, pos]])
+            end = int(np.searchsorted(columns[0], columns[0][-1]))
             if end:
-                yield entries_and_pairs(*_packed([*rest, [c[:end] for c in columns]]))
+                yield from entries_and_pairs(*(c[:end] for c in columns))
+            rest = [[c[end:] for c in columns]]
+            if len(rest[0][0]) > short:
+                flowing = rest[0][0][0]
+                yield rows(False, rest[0][0], rest[0][2], rest[0][1], rest[0][3], np.ones(len(rest[0][0]), bool))
                 rest = []
-            elif rest and rest[-1][0][-1] != columns[0][0]:
-                yield entries_and_pairs(*_packed(rest))
-                rest = []
-            rest.append([c[end:] for c in columns])
         if rest:
-            yield entries_and_pairs(*_packed(rest))
+            yield from entries_and_pairs(*_packed(rest))
 
-    entries = nodes.select("node", "n", F.posexplode("part").alias("pos", "g")).select("g", "n", "node", "pos")
-    return entries.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(run, "pair boolean, g long, node long, n long, pos int")
+    entries = nodes.select("node", "n", F.posexplode("part").alias("pos", "g"))
+    total = nodes.agg(F.sum(F.size("part"))).first()[0] or 0
+    least = max(total * 2.0**-12, hot_entries)
+    hot = stage(entries.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("g", F.lit(True).alias("hot")))  # 4096 at most
+    dealt = entries.join(F.broadcast(hot), "g", "left").select("g", "n", "node", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0)
+    return dealt.repartition("g", salt).sortWithinPartitions("g", "n", "node").mapInArrow(run, "pair boolean, g long, node long, n long, pos int, long boolean")
 
 
-def _families(entries: DataFrame, short: int) -> DataFrame:
+def _families(entries: DataFrame) -> DataFrame:
     """node and hub: of the hubs of the long lists that hold a node, the most frequent.
 
     A list's hub is its entry that stands in most long lists for its size, and so has most in common with the others.
     """
-    long = entries.join(entries.groupBy("g").count().where(F.col("count") > short).select("g"), "g", "left_semi")
+    long = entries.where("long")
     share = long.groupBy("node").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
-    hubs = long.join(share, "node").groupBy("g").agg(F.max(F.struct("share", "node")).alias("hub")).select("g", F.col("hub.node").alias("hub"))
-    votes = long.join(hubs, "g").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    hubs = stage(long.join(share, "node").groupBy("g").agg(F.max(F.struct("share", "node")).alias("hub"), F.count(F.lit(1)).alias("w_size")).select("g", F.col("hub.node").alias("hub"), "w_size"))
+    total = hubs.agg(F.sum("w_size")).first()[0] or 0
+    votes = hot_join(long.select("g", "node"), hubs, ["g"], "w_size", total).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("node").agg(F.max(F.struct("votes", "hub")).alias("x")).select("node", F.col("x.hub").alias("hub"))
 
 
-def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """Links between two groups of sets (positions), as many as join what the links join."""
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of two groups of sets (positions).
+
+    The first left set's are counted; those of the others are derived from them: a shingle that a set has and the first lacks adds
+    its right sets' memberships, one that the first has and a set lacks takes them away.  Shingles on which the left sets agree cost nothing.
+    """
     sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(n > 1) - 1  # shingles of one set alone add to no intersection
-    keep = n[at] > 1
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    is_left, is_right = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+    is_left[left], is_right[right] = True, True
+    first = at[owner == left[0]]
+    base = np.zeros(at.max() + 1 if len(at) else 0, bool)
+    base[first] = True
+    known = np.bincount(owner, weights=base[at], minlength=len(sets))[right]
+    n_left = np.bincount(at, weights=is_left[owner], minlength=len(base))
+    n_right = np.bincount(at, weights=is_right[owner], minlength=len(base))
+    differ = (n_left > 0) & (n_left < len(left)) & (n_right > 0)
+    rank = np.cumsum(differ) - 1
+    keep = differ[at]
     owner, at = owner[keep], rank[at[keep]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    place = np.full(len(sets), -1)
-    for start in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+    sign = base[differ]
+    for start in range(0, int(differ.sum()), columns):
         a, b = np.searchsorted(at, [start, start + columns])
         dense = np.zeros((len(sets), columns), np.float32)
         dense[owner[a:b], at[a:b] - start] = 1
-        both += dense[left] @ dense[right].T
+        from_first = dense[left]
+        from_first[:, : len(sign[start : start + columns])] -= sign[start : start + columns]
+        both += from_first @ dense[right].T
+    return both + known[None, :].astype(np.float32)
+
+
+def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between two groups of sets (positions), as many as join what the links join."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = overlaps(sets, left, right)
     u, v = np.nonzero(100 * both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both))
     place = np.arange(len(sets))
 
@@ -313,24 +365,44 @@ def _family_links(families: DataFrame, nodes: DataFrame, roots: DataFrame, docs:
     return dealt.join(texts, "node").groupBy("hub", "i", "j").applyInArrow(run, "u long, v long").where("u <> v")
 
 
-def _second_pairs(entries: DataFrame, roots: DataFrame, families: DataFrame, threshold: int) -> DataFrame:
+def _second_pairs(entries: DataFrame, roots: DataFrame, families: DataFrame, threshold: int, block: int = 4096) -> DataFrame:
+    """Candidates of the lists between different components.
+
+    A list of more than `block` entries is dealt: of its groups (large families, else components) the largest holds no candidates within
+    itself, so blocks of the other groups' entries (role 1) meet blocks of all entries (role 0).
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for _, n, node, pos, root, family in _lists(batches):
-            for a, b in other_pairs(node, n, pos, root, family, threshold):
+        for _, n, node, pos, root, family, role in _lists(batches):
+            for a, b in other_pairs(node, n, pos, root, family, role, threshold):
                 parts.append((np.minimum(a, b), np.maximum(a, b)))
                 size += len(a)
-            if size > 100_000:
-                u, v = np.unique(np.stack(_packed(parts)), axis=1)
-                yield pa.record_batch({"u": u, "v": v})
-                parts, size = [], 0
+                if size > 100_000:
+                    u, v = np.unique(np.stack(_packed(parts)), axis=1)
+                    yield pa.record_batch({"u": u, "v": v})
+                    parts, size = [], 0
         if parts:
             u, v = np.unique(np.stack(_packed(parts)), axis=1)
             yield pa.record_batch({"u": u, "v": v})
 
     placed = entries.join(roots, "node", "left").join(families, "node", "left").select("g", "n", "node", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("hub", F.lit(-1)).alias("family"))
-    mixed = placed.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
-    return placed.join(mixed, "g", "left_semi").repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(run, "u long, v long").distinct()
+    placed = placed.withColumn("group", F.when(F.col("family") >= 0, -F.col("family") - 1).otherwise(F.col("root")))
+    groups = placed.groupBy("g", "group").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("a"), F.max("root").alias("b"))
+    lists = groups.groupBy("g").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("k").alias("w_size"), F.max(F.struct("k", "group")).alias("top")).where("a <> b")
+    blocks = lambda k: F.ceil(k / block).cast("int")
+    lists = stage(lists.select("g", "w_size", F.col("top.group").alias("top"), blocks(F.col("w_size")).alias("i"), blocks(F.col("w_size") - F.col("top.k")).alias("j")))
+    met = hot_join(placed, lists, ["g"], "w_size", lists.agg(F.sum("w_size")).first()[0] or 0)
+    spot = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+    h = F.xxhash64("node")
+    as_all = F.transform(F.sequence(F.lit(0), F.col("j") - 1), lambda j: spot(F.pmod(h, F.col("i")), j, 0))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("i") - 1), lambda i: spot(i, F.pmod(h, F.col("j")), 1))
+    none = F.array().cast("array<struct<i:int,j:int,role:int>>")
+    dealt = F.when(F.col("i") == 1, F.array(spot(F.lit(0), F.lit(0), 2))).when(F.col("j") == 0, none).otherwise(F.concat(as_all, F.when(F.col("group") != F.col("top"), as_other).otherwise(none)))
+    rows = met.select("g", "n", "node", "pos", "root", "family", F.explode(dealt).alias("x"))
+    key = F.when((F.col("x.i") == 0) & (F.col("x.j") == 0), F.col("g")).otherwise(F.xxhash64("g", "x.i", "x.j"))
+    rows = rows.select(key.alias("key"), "n", "node", "pos", "root", "family", "x.role")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, few: int = 1_000_000) -> DataFrame:
@@ -361,7 +433,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int
     return both.mapInArrow(run, "u long, v long")
 
 
-def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1 << 21, short: int = 8, large: int = 64) -> DataFrame:
+def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1 << 21, short: int = 8, large: int = 64, block: int = 4096, hot_entries: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, root (the component's own number; null without words) and digest (of the text) for each row of docs.
 
     component_id is the smallest doc_id that links lead to.
@@ -386,12 +458,13 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(sets, f"doc_id {kind}, digest long, n long, high long, low long, part array<long>"))
-    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min(F.struct("doc_id", "digest")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("part").alias("part"))
-    nodes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "one.*", "least", "n", "part"))
+    last.destroy()
+    classes = rows.where("n > 0").groupBy("high", "low").agg(F.count(F.lit(1)).alias("w_size"), F.min(F.struct("doc_id", "digest")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("part").alias("part"))
+    nodes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "w_size", "one.*", "least", "n", "part"))
     known = nodes.select("node", "doc_id", "digest", "n")
-    index = stage(_index(nodes, threshold, short))
+    index = stage(_index(nodes, threshold, short, hot_entries))
     entries = index.where(~F.col("pair")).drop("pair")
-    families = stage(_families(entries, short).join(nodes.select("node", "n"), "node"))
+    families = stage(_families(entries).join(nodes.select("node", "n"), "node"))
     hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
     near = families.join(hub, "hub").where((F.col("node") != F.col("hub")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold))
     pairs = index.where("pair").select(F.col("g").alias("u"), F.col("node").alias("v"))
@@ -402,29 +475,32 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
     if large.count():
         links = links.unionByName(stage(_family_links(large, known, roots, docs, threshold)))
         roots = stage(components(links))
-    more = stage(_second_pairs(entries, roots, large, threshold).join(pairs, ["u", "v"], "left_anti"))
+    more = stage(_second_pairs(entries, roots, large, threshold, block).join(pairs, ["u", "v"], "left_anti"))
     if more.count():
         links = links.unionByName(stage(verified(more, known, docs, threshold)))
         roots = stage(components(links))
-    placed = nodes.select("node", "high", "low", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    answers = stage(placed.join(ids, "root").select("high", "low", "root", "component_id"))
-    return rows.select("doc_id", "digest", "n", "high", "low").join(answers, ["high", "low"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "digest"
-    )
+    placed = nodes.select("node", "high", "low", "w_size", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = stage(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    answers = hot_join(placed, ids, ["root"], "members", nodes.count())
+    answers = stage(answers.select("high", "low", "w_size", "root", "component_id"))
+    met = hot_join(rows.select("doc_id", "digest", "n", "high", "low"), answers, ["high", "low"], "w_size", rows.count(), "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "digest")
 
 
 def one_of_each(docs: DataFrame, few: int = 1_000_000, **options) -> DataFrame:
-    """docs without the rows that link, directly or not, with a row of smaller doc_id; rows without words stay."""
+    """docs without the rows that link, directly or not, with a row of smaller doc_id; rows without words stay.
+
+    Of rows with one doc_id in a component the one with the least digest of its text stays, and one of its repetitions.
+    """
     found = stage(join(docs, **options))
-    grouped = found.where("root is not null")
-    kept = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
-    gone = grouped.join(kept, "root").where(~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))))
-    gone = stage(gone.select(F.col("doc_id").alias("d"), F.col("digest").alias("t")).distinct())
-    small = F.broadcast(gone) if gone.count() <= few else gone  # beyond that a shuffle
-    left = docs.withColumn("w_digest", F.xxhash64("text")).join(small, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("w_digest") == F.col("t")), "left_anti")
-    repeated = grouped.join(kept, "root").where(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("digest") == F.col("one.digest"))).count() > kept.count()
-    if repeated:  # rows with the doc_id and the text of the one that stays
-        words = left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-        left = words.dropDuplicates(["doc_id", "w_digest"]).unionByName(left.where(F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))))
-    return left.select(*docs.columns)
+    least = found.where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))  # join gives each component its least doc_id
+    stay = stage(least.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("one")).select(F.col("one.doc_id").alias("d"), F.col("one.digest").alias("t")))
+    n = stay.count()
+    small = F.broadcast(stay) if n <= few else stay  # beyond that a shuffle
+    d, t, words = (fresh(docs, c) for c in ("w_doc", "w_digest", "w_words"))
+    small = small.select(F.col("d").alias(d), F.col("t").alias(t + "_"))
+    rows = docs.withColumns({t: F.xxhash64("text"), words: F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
+    left = rows.where(words).join(small, rows["doc_id"].eqNullSafe(small[d]) & (rows[t] == small[t + "_"]), "left_semi")
+    if least.join(stay, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t")), "left_semi").count() > n:  # rows with the doc_id and the text of one that stays
+        left = left.dropDuplicates(["doc_id", t])
+    return left.unionByName(rows.where(~F.col(words))).select(*docs.columns)
