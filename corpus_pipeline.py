@@ -13,13 +13,15 @@ TOXIC, GOOD = 0.3, 0.7  # scores from which a text is rejected as toxic, and kep
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: documents scored as toxic go; texts without words, which say nothing toxic, stay if their score is low."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.with_score(docs, labels, "w_score").where(F.col("w_score") < TOXIC).select(*docs.columns)
+    score = common.fresh(docs, "score")
+    return toxicity.with_score(docs, labels, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents of poor quality go.  It learns from the labels of documents that are still there."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.with_score(docs, labels, "w_score").where(F.col("w_score") >= GOOD).select(*docs.columns)
+    score = common.fresh(docs, "score")
+    return quality.with_score(docs, labels, score).where(F.col(score) >= GOOD).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
