@@ -161,6 +161,36 @@ def test_url_models_on_held_out_hosts(spark):
     assert sum((s > found.most) == bad for s, bad in found.out_of_fold) >= 0.9 * len(found.out_of_fold)
 
 
+def plain_checksum(data):
+    """The Ogg checksum bit by bit: polynomial 0x04C11DB7 from 0, highest bit first."""
+    c = 0
+    for b in data:
+        c ^= b << 24
+        for _ in range(8):
+            c = (c << 1 ^ 0x04C11DB7 if c & 1 << 31 else c << 1) & 0xFFFFFFFF
+    return c
+
+
+def plain_page(flags, granule, serial, sequence, lacing, body):
+    head = b"OggS" + bytes([0, flags]) + granule.to_bytes(8, "little", signed=True) + serial.to_bytes(4, "little") + sequence.to_bytes(4, "little")
+    rest = bytes([len(lacing), *lacing]) + body
+    return head + plain_checksum(head + bytes(4) + rest).to_bytes(4, "little") + rest
+
+
+def test_ogg_reads_pages_written_by_hand(spark):
+    a, b, c = b"A" * 300, b"B" * 255, b"C" * 10
+    data = plain_page(2, 0, 7, 0, [4], b"head") + plain_page(2, 5, 9, 0, [3], b"two")
+    data += plain_page(0, -1, 7, 1, [255], a[:255]) + plain_page(1, 565, 7, 2, [45, 255, 0, 10], a[255:] + b + c)
+    pages, lost = ogg_media.read_pages(data)
+    assert lost == 0 and [p.sequence for p in pages] == [0, 0, 1, 2] and all(ogg_media.page_checksum(x) == plain_checksum(x) for x in (b"", b"abc", data))
+    streams = ogg_media.demultiplex(pages)
+    assert [p.data for p in streams[7]] == [b"head", a, b, c] and [p.data for p in streams[9]] == [b"two"]
+    got = ogg_media.packets(spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray())], "k long, media binary"), "k", rate=10).collect()
+    assert {(r.serial, r.packet): (r.granule, r.seconds) for r in got} == {(7, 0): (0, 0.0), (7, 1): (None, 30.0), (7, 2): (None, 55.5), (7, 3): (565, 56.5), (9, 0): (5, 0.5)}
+    broken = ogg_media.demultiplex([p for p in pages if p.sequence != 1])[7]
+    assert [p.whole for p in broken] == [True, False, True, True] and ogg_media.ends(broken) == [0, 300, 555, 565]
+
+
 def test_ogg_survives_damage():
     payload = bytes(range(256)) * 300
     media = ogg_media.store(payload)

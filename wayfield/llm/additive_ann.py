@@ -15,7 +15,8 @@ query, ``k`` rows are shuffled.
 Nulls and odd cases: vectors that are null, of another length than most, zero, or that hold null or non-finite
 components take no part, as queries or candidates; equal vectors have equal codes and scores, and ties
 go to the smaller vec_id at each step; repeated vec_ids are rows of their own, and only the query's own
-row is no candidate; an empty table gives no rows.
+row is no candidate; very long vectors are read like any other; columns other than vec_id and the vector are not read, so their names cannot clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

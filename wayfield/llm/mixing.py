@@ -5,14 +5,17 @@ is the row's quality weight.  In each source, rows in key order are taken until
 of words is met; the sizes are prefix sums in that order.  A budget above the source's size first
 takes the whole source (complete epochs), and only the rest is selected.
 
-How it scales.  Nothing sorts a whole source in one task: keys fall into buckets of equal width in
-log(key), whose shares (under 0.2 % of a source) don't depend on the weights' scale.  Sums of buckets
-are ordered within their source; single rows are ordered within one bucket only.  Targets come from
+How it scales.  What a source takes in key order is a prefix, so a source's answer is one cut: its last key taken.  Keys fall into
+buckets of equal width in log(key), of some 65,536 rows at most whatever the source's size (0.14 % of a small one); sums of buckets
+are ordered within their source, and rows only within the one bucket that holds the cut.  Every row then meets its source's cut,
+sources with 2**-12 of all rows or more by a broadcast, so no source, however large, is sorted or held by a task, and whole
+documents pass no window and no sort.  Targets come from
 repeated sums over the table of sources, which itself stays distributed.
 
 Nulls and odd cases: a null text has size 0; null is a source of its own, last in order; sources of
-size 0 have target 0; rows of size 0 are never taken; repeated rows are drawn on their own; an empty
-table gives no rows.
+size 0 have target 0; rows of size 0 are never taken; very long texts are taken whole or not at all; ties of keys go to the smaller doc_id, a
+null one first; repeated rows (equal in doc_id and text) have one key and are taken together; columns are named apart from docs', so no name can
+clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, values
+from .common import WORD, fresh, hot_join, stage, values
 
 #: Share of these characters in a text lowers its quality weight.
 JUNK = "#$%&*!|<>{}[]\\^~=+_@"
@@ -39,15 +42,19 @@ def quality_weight(text: str = "text") -> Column:
     return F.greatest(F.lit(0.1), 1.0 - 5.0 * junk / F.greatest(F.length(t), F.lit(1)))
 
 
-def _keyed(docs: DataFrame, size: Column, weight: Column, seed: int) -> DataFrame:
-    """docs with m_size, m_key, m_bucket and m_sk, a source's key that is never null."""
+def source_key() -> Column:
+    """A source's key, which is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
+def exponential_key(weight: Column, seed: int) -> Column:
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11)  # 53 of them
-    return (
-        docs.withColumn("m_size", size)
-        .withColumn("m_key", -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / weight)
-        .withColumn("m_bucket", F.floor(F.log("m_key") * 256).cast("int"))
-        .withColumn("m_sk", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
-    )
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / weight
+
+
+def bucket(key: Column, scale: float) -> Column:
+    """e**-1 / scale of a source's rows at most, as keys are exponential."""
+    return F.floor(F.log(key) * scale).cast("long")
 
 
 def targets(buckets: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -77,6 +84,36 @@ def targets(buckets: DataFrame, weights: tuple[int, ...], share: float, most: fl
     return sources.select("m_sk", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
+def cuts(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, bucket_rows: int) -> tuple[DataFrame, float, int]:
+    """For each source key its size, target, complete epochs, and the place up to which it takes rows (bucket, then key and doc_id); the buckets' scale; and the rows' number.
+
+    rows: m_sk, m_size, m_key, m_doc.
+    """
+    n = rows.count()
+    scale = max(256.0, n * 0.37 / bucket_rows)
+    placed = rows.withColumn("m_bucket", bucket(F.col("m_key"), scale))
+    buckets = stage(placed.groupBy("m_sk", "m_bucket").agg(F.sum("m_size").alias("m_sum"), F.count(F.lit(1)).alias("m_n")))
+    sources = targets(buckets, weights, share, most).join(buckets.groupBy("m_sk").agg(F.sum("m_n").alias("w_size")), "m_sk")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    sources = stage(sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+    before = F.sum("m_sum").over(Window.partitionBy("m_sk").orderBy("m_bucket")) - F.col("m_sum")
+    edge = buckets.withColumn("before", before).join(sources.select("m_sk", "rest"), "m_sk").where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("m_sum")))
+    edge = stage(edge.select("m_sk", "m_bucket", "before", "rest", F.col("m_n").alias("w_size")))  # one bucket of each source
+    inside = hot_join(placed, edge, ["m_sk", "m_bucket"], "w_size", n)
+    order = Window.partitionBy("m_sk", "m_bucket").orderBy("m_key", "m_doc")
+    middle = F.col("before") + F.sum("m_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m_size") / 2
+    last = inside.withColumn("middle", middle).where("middle <= rest").groupBy("m_sk").agg(F.max(F.struct("m_key", "m_doc")).alias("last"))
+    return stage(sources.drop("rest").join(edge.select("m_sk", F.col("m_bucket").alias("edge")), "m_sk", "left").join(last, "m_sk", "left")), scale, n
+
+
+def times_taken(size: Column, key: Column, doc: Column, cut: str, scale: float) -> Column:
+    """How often a row is taken, from its source's cut."""
+    place, last = bucket(key, scale), f"{cut}.last"
+    within = (key < F.col(f"{last}.m_key")) | ((key == F.col(f"{last}.m_key")) & (doc <= F.col(f"{last}.m_doc")))
+    more = (place < F.col(f"{cut}.edge")) | ((place == F.col(f"{cut}.edge")) & F.coalesce(within, F.lit(False)))
+    return F.when(size > 0, F.col(f"{cut}.epochs") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).otherwise(0).cast("int")
+
+
 def mix(
     docs: DataFrame,
     keep: list[str],
@@ -86,29 +123,29 @@ def mix(
     seed: int = 17,
     size: Column | None = None,
     weight: Column | None = None,
+    bucket_rows: int = 1 << 16,
+    rows_of_mix: bool = False,
 ) -> DataFrame:
-    """keep's columns of docs, with m_size, m_source_size, m_target and m_taken: the words the mix takes of a row."""
-    wide = _keyed(docs, n_words() if size is None else size, quality_weight() if weight is None else weight, seed)
-    rows = stage(wide.select(*{"doc_id": 0} | dict.fromkeys(keep), "m_size", "m_key", "m_bucket", "m_sk"))
-    buckets = stage(rows.groupBy("m_sk", "m_bucket").agg(F.sum("m_size").alias("m_sum")))
-    plan = (
-        buckets.join(targets(buckets, weights, share, most), "m_sk")
-        .withColumn("before", F.sum("m_sum").over(Window.partitionBy("m_sk").orderBy("m_bucket")) - F.col("m_sum"))
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .drop("m_sum")
-    )
-    in_bucket = Window.partitionBy("m_sk", "m_bucket").orderBy("m_key", "doc_id")
-    ahead = F.col("before") + F.sum("m_size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m_size") / 2
-    return (
-        rows.join(plan, ["m_sk", "m_bucket"])
-        .withColumn("m_taken", F.col("m_size") * (F.col("epochs") + F.when(ahead <= F.col("rest"), 1).otherwise(0)))
-        .select(*keep, "m_size", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), F.col("m_taken").cast("long").alias("m_taken"))
-    )
+    """keep's columns of docs, with m_size, m_source_size, m_target and m_taken: the words the mix takes of a row.
+
+    rows_of_mix: the mix itself instead, keep's columns of each row as often as it is taken.
+    """
+    size, key = n_words() if size is None else size, exponential_key(quality_weight() if weight is None else weight, seed)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = [] if rows_of_mix else [F.col(c).alias(f"k_{c}") for c in keep]
+    narrow = stage(docs.select(source_key().alias("m_sk"), size.alias("m_size"), key.alias("m_key"), doc.alias("m_doc"), *kept))
+    found, scale, n = cuts(narrow.select("m_sk", "m_size", "m_key", "m_doc"), weights, share, most, bucket_rows)
+    if rows_of_mix:
+        sk, cut, copy = (fresh(docs, c) for c in ("m_sk", "m_cut", "m_copy"))
+        one = found.select(F.col("m_sk").alias(sk), F.struct("epochs", "edge", "last").alias(cut), "w_size")
+        met = hot_join(docs.withColumn(sk, source_key()), one, [sk], "w_size", n)
+        times = times_taken(size, key, doc, cut, scale)
+        return met.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*keep)
+    met = hot_join(narrow, found.select("m_sk", F.struct("epochs", "edge", "last", "source_size", "target").alias("m_cut"), "w_size"), ["m_sk"], "w_size", n)
+    times = times_taken(F.col("m_size"), F.col("m_key"), F.col("m_doc"), "m_cut", scale)
+    return met.select(*(F.col(f"k_{c}").alias(c) for c in keep), "m_size", F.col("m_cut.source_size").alias("m_source_size"), F.col("m_cut.target").alias("m_target"), (F.col("m_size") * times).cast("long").alias("m_taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken."""
-    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("m_row"))  # so that no column's name clashes
-    out = mix(packed, ["m_row"], **options).where("m_taken > 0")
-    return out.withColumn("m_copy", F.explode(F.sequence(F.lit(1), (F.col("m_taken") / F.col("m_size")).cast("int")))).select("m_row.*")
+    return mix(docs, docs.columns, rows_of_mix=True, **options)

@@ -12,7 +12,9 @@ How it scales.  One pass over the rows with no shuffle; a file is handled on its
 batches, and checksums run in zlib (the Ogg checksum is the CRC-32 of bit-reversed bytes).
 
 Nulls and odd cases: null and empty texts give a payload of 64 zero bytes; equal texts give equal
-bytes, since serial numbers come from the payload; null or empty media give no packets.
+bytes, since serial numbers come from the payload; very long texts go over as many pages as they need; a null doc_id is kept; repeated rows are stored each on
+their own; null or empty media give no packets; columns other than doc_id and text (or the key and the media) are not read, so their names cannot clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -176,16 +178,34 @@ def feature(samples: bytes, about: dict) -> str:
     )
 
 
+def ends(stream: list[Packet], samples: Callable[[bytes], int] = len) -> list[int | None]:
+    """Granule at the end of each packet of a logical stream: where a page gives none, counted back from the next one that is given by the packets between.
+
+    None after the last that is given, and before a packet that isn't whole.  samples: how many granules a packet lasts.
+    """
+    out, at = [], None
+    for p in reversed(stream):
+        at = p.granule if p.granule != NO_GRANULE else at
+        out.append(at)
+        at = at - samples(p.data) if at is not None and p.whole and at >= samples(p.data) else None
+    return out[::-1]
+
+
 PACKETS = "serial long, packet long, whole boolean, granule long, seconds double, data binary"
 
 
-def packets(media: DataFrame, key: str, column: str = "media", rate: int = RATE) -> DataFrame:
-    """One row for each packet of each Ogg file in a binary column: the general reader."""
+def packets(media: DataFrame, key: str, column: str = "media", rate: int = RATE, samples: Callable[[bytes], int] = len) -> DataFrame:
+    """One row for each packet of each Ogg file in a binary column: the general reader.
+
+    granule is what the page says (null unless the packet is the last to end on it); seconds at the packet's end are derived for the others too.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in zip(batch.column(0), batch.column(1), strict=True):
-                found = [p for s in demultiplex(read_pages(data.as_py() or b"")[0]).values() for p in s]
+                streams = demultiplex(read_pages(data.as_py() or b"")[0]).values()
+                found = [p for s in streams for p in s]
+                times = [None if at is None else at / rate for s in streams for at in ends(s, samples)]
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -194,7 +214,7 @@ def packets(media: DataFrame, key: str, column: str = "media", rate: int = RATE)
                             pa.array([p.number for p in found], pa.int64()),
                             pa.array([p.whole for p in found]),
                             pa.array([p.granule if p.granule != NO_GRANULE else None for p in found], pa.int64()),
-                            pa.array([p.granule / rate if p.granule != NO_GRANULE else None for p in found], pa.float64()),
+                            pa.array(times, pa.float64()),
                             pa.array([p.data for p in found], pa.binary()),
                         ],
                         [key, "serial", "packet", "whole", "granule", "seconds", "data"],

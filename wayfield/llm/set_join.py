@@ -343,10 +343,10 @@ def _family_links(families: DataFrame, nodes: DataFrame, roots: DataFrame, docs:
     by_root = placed.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
     main = by_root.groupBy("hub").agg(F.max(F.struct("k", "w", "root")).alias("main"), F.sum("k").alias("k"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     blocks = lambda k, w: F.ceil(F.greatest(k / most, w / weight)).cast("int")
-    main = main.select("hub", F.col("main.root").alias("main"), blocks(F.col("main.k"), F.col("main.w")).alias("a"), blocks(F.col("k") - F.col("main.k"), F.col("w") - F.col("main.w")).alias("b"))
+    main = main.select("hub", F.col("k").alias("w_size"), F.col("main.root").alias("main"), blocks(F.col("main.k"), F.col("main.w")).alias("a"), blocks(F.col("k") - F.col("main.k"), F.col("w") - F.col("main.w")).alias("b"))
     inside = F.col("root") == F.col("main")
     at = F.pmod(F.xxhash64("node"), F.when(inside, F.col("a")).otherwise(F.col("b"))).cast("int")
-    member = placed.join(main, "hub").withColumn("at", F.when(inside, F.col("b") + at).otherwise(at))
+    member = hot_join(placed, stage(main), ["hub"], "w_size", families.count()).withColumn("at", F.when(inside, F.col("b") + at).otherwise(at))
     # Blocks 0 to b-1 hold the others, b to a+b-1 the main component; block i meets every block j >= i, if i is below b.
     own = F.when(F.col("at") < F.col("b"), F.sequence(F.col("at"), F.col("a") + F.col("b") - 1)).otherwise(F.array().cast("array<int>"))
     met = F.sequence(F.lit(0), F.least("at", F.col("b") - 1))
@@ -465,13 +465,14 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
     index = stage(_index(nodes, threshold, short, hot_entries))
     entries = index.where(~F.col("pair")).drop("pair")
     families = stage(_families(entries).join(nodes.select("node", "n"), "node"))
-    hub = nodes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
-    near = families.join(hub, "hub").where((F.col("node") != F.col("hub")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold))
+    hubs = families.groupBy("hub").agg(F.count(F.lit(1)).alias("w_size")).join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
+    families = stage(hot_join(families, stage(hubs.withColumn("members", F.col("w_size"))), ["hub"], "w_size", families.count()))
+    near = families.where((F.col("node") != F.col("hub")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold))
     pairs = index.where("pair").select(F.col("g").alias("u"), F.col("node").alias("v"))
     pairs = stage(pairs.unionByName(near.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))).distinct())
     links = stage(verified(pairs, known, docs, threshold))
     roots = stage(components(links))
-    large = stage(families.join(families.groupBy("hub").count().where(F.col("count") >= large).select("hub"), "hub", "left_semi").select("node", "hub"))
+    large = stage(families.where(F.col("members") >= large).select("node", "hub"))
     if large.count():
         links = links.unionByName(stage(_family_links(large, known, roots, docs, threshold)))
         roots = stage(components(links))

@@ -12,9 +12,10 @@ prefix sums are windows within a block, and the driver keeps one sum for each bl
 ``16**digits`` numbers, whatever the input).  One job answers one greedy step for ``ways`` capacities
 at once, so the search takes ``log(max group)/log(ways) * shards`` short jobs over the group table.
 
-Nulls and odd cases: a null text counts as an empty one (size 1) and shares its group; a null doc_id
-is kept; repeated rows each get a slot; an empty table gives no rows; groups larger than a fair share
-make capacity equal to the largest group.
+Nulls and odd cases: a null text counts as an empty one (size 1) and shares its group; very long texts are groups like any other; a null doc_id
+is kept; repeated rows each get a slot and are spread like other copies; within a group slots go by salt, then doc_id; an empty table gives no rows;
+groups larger than a fair share make capacity equal to the largest group; columns other than doc_id and text are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", salts: int = 64
             (F.octet_length(body) + 1).cast("long").alias("size"),
             F.crc32(body).alias("text_crc32"),
             F.md5(body).alias("fp"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+            F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"),
         )
     )
     parts = rows.groupBy("fp", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
