@@ -1,34 +1,43 @@
-"""Connected components by the least label, with labels that jump; rounds are checkpointed to the shared folder."""
+"""Connected components by the least label, with labels that jump; rounds are written to the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names (one of its own where that is unset, on one machine)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+def kept(df: DataFrame) -> DataFrame:
+    """df, written as a table to the folder that spark.checkpoint.dir names (one that lasts as long as this process where that is unset, on one machine).
+
+    That cuts the lineage, survives lost executors, and gives the plans that follow the table's true size.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for every node; links have columns u and v."""
-    both = _kept(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct())
-    labels, total = nodes.select("node", F.col("node").alias("root")), None
+    both = kept(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct())
+    labels = nodes.select("node", F.col("node").alias("root"))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("offer"))
-        moved = labels.join(near, "node", "left").select("node", F.least("root", F.coalesce("offer", "root")).alias("root"))
+        moved = labels.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("root"))
         jump = moved.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        labels = _kept(moved.join(jump, "root").select("node", F.col("further").alias("root")))
-        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]  # roots only fall
-        if now == total:
+        rows = kept(moved.join(jump, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("was")).alias("fell")))
+        labels = rows.select("node", "root")
+        if not rows.where("fell").limit(1).count():
             return labels
-        total = now

@@ -101,7 +101,7 @@ def closed_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_TRAIL}, c AS (SELECT DISTINCT zone, CAST(floor(x / 10) AS BIGINT) AS ix, CAST(floor(z / 10) AS BIGINT) AS iz FROM trail), k AS (SELECT zone, ix, iz, (ix + 65536) * 131072 + iz + 65536 AS id FROM c),
-e AS (SELECT a.zone, a.id AS u, b.id AS v FROM k a JOIN k b ON a.zone = b.zone AND abs(a.ix - b.ix) + abs(a.iz - b.iz) = 1),
+o4 AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(da, db)), e AS (SELECT a.zone, a.id AS u, b.id AS v FROM k a, o4 JOIN k b ON a.zone = b.zone AND b.ix = a.ix + da AND b.iz = a.iz + db),
 l(zone, id, root) USING KEY (zone, id) AS (SELECT zone, id, id FROM k UNION SELECT e.zone, e.u, min(l.root) FROM l JOIN e ON e.zone = l.zone AND e.v = l.id JOIN recurring.l AS own ON own.zone = e.zone AND own.id = e.u WHERE l.root < own.root GROUP BY e.zone, e.u)
 SELECT zone, root, count(*) AS cells FROM l GROUP BY ALL""")
 def walked_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ def _zs(v: int) -> str:
     first = "CASE WHEN i % 11 = 2 THEN [first] WHEN" if v else "CASE WHEN"
     leg = lambda k: f"{{'x': x + 10 * {k}{' + (CASE WHEN i % 18 = 0 THEN 3 ELSE 0 END)' if v else ''}, 'y': y, 'z': z + 5 * {k}}}"
     return f"""f{v} AS (SELECT n_regionkey AS zone, min(n_name) AS first FROM nation GROUP BY 1),
-c{v} AS (SELECT n_regionkey AS zone, c_custkey AS i, c_mktsegment AS name, n_name AS own, first, round(c_acctbal / 20, 3) AS x, c_nationkey * 1.0::DOUBLE AS y, (c_custkey % 100) * 1.0::DOUBLE AS z FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN f{v} ON f{v}.zone = n_regionkey{' WHERE c_custkey % 10 <> 9' if v else ''}),
+c{v} AS (SELECT n_regionkey AS zone, c_custkey AS i, c_mktsegment AS name, n_name AS own, first, round(c_acctbal / 25, 3) AS x, c_nationkey * 1.0::DOUBLE AS y, (c_custkey % 100) * 1.0::DOUBLE AS z FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN f{v} ON f{v}.zone = n_regionkey{' WHERE c_custkey % 10 <> 9' if v else ''}),
 zs{v} AS (SELECT zone, i AS id, name, CASE WHEN i % 6 <> 0 THEN [x{' + (CASE WHEN i % 7 = 1 THEN 3 ELSE 0 END)' if v else ''}, y, z] END AS pt,
   CASE WHEN i % 4 <> 0{' OR i % 11 = 2' if v else ''} THEN {first} i % 17 = 0 THEN [own, 'NOWHERE'] WHEN i % 13 = 0 THEN [own, first] ELSE [own] END END AS regions,
   CASE WHEN i % 27 = 0 THEN [{leg(0)}] WHEN i % 9 = 0 THEN [{leg(0)}, {leg(1)}, {leg(2)}] END AS path, CASE WHEN i % 9 = 0 AND i % 2 = 0 THEN false END AS loop FROM c{v})"""
@@ -51,7 +51,7 @@ dd AS (SELECT d.zone, d.name, d.kind, CASE WHEN kind = 'reshaped' THEN len(b.out
   CASE WHEN kind = 'reshaped' THEN CASE WHEN b.a > 0 THEN h.a / b.a ELSE 'inf'::DOUBLE END END AS area_ratio, CASE WHEN kind = 'reshaped' THEN b.holed::INT END AS from_holes, CASE WHEN kind = 'reshaped' THEN h.holed::INT END AS to_holes
   FROM dr d LEFT JOIN hull b ON b.v = 0 AND b.zone = d.zone AND b.name = d.name LEFT JOIN hull h ON h.v = 1 AND h.zone = d.zone AND h.name = d.name)"""
 _DIFF_S = f"""{_zs(0)}, {_zs(1)}, js AS (SELECT coalesce(b.zone, h.zone) AS zone, coalesce(b.id, h.id) AS id, coalesce(h.name, b.name) AS name, b.id IS NULL AS nb, h.id IS NULL AS nh, coalesce(array_to_string(b.regions, ', '), '') AS was, coalesce(array_to_string(h.regions, ', '), '') AS now,
-  b.path AS bp, h.path AS hp, b.path IS DISTINCT FROM h.path OR coalesce(b.loop, false) <> coalesce(h.loop, false) AS routed, b.at AS ba, h.at AS ha FROM zs0 b FULL OUTER JOIN zs1 h ON b.zone = h.zone AND b.id = h.id),
+  b.path AS bp, h.path AS hp, b.path IS DISTINCT FROM h.path OR coalesce(b.loop, false) <> coalesce(h.loop, false) AS routed, b.pt AS ba, h.pt AS ha FROM zs0 b FULL OUTER JOIN zs1 h ON b.zone = h.zone AND b.id = h.id),
 ks AS (SELECT *, CASE WHEN nb THEN ['added'] WHEN nh THEN ['removed'] ELSE list_filter([CASE WHEN was <> now THEN 'moved' END, CASE WHEN routed THEN 'rerouted' END, CASE WHEN NOT routed AND was = '' AND now = '' AND hp IS NULL AND ba <> ha THEN 'relocated' END], lambda x: x IS NOT NULL) END AS kinds FROM js),
 es AS (SELECT *, unnest(kinds) AS kind FROM ks),
 ds AS (SELECT zone, id, name, kind, CASE WHEN kind = 'moved' AND was <> '' THEN was END AS "from", CASE WHEN kind = 'moved' AND now <> '' THEN now END AS "to", CASE WHEN kind = 'rerouted' THEN coalesce(len(bp), 0) END AS from_legs, CASE WHEN kind = 'rerouted' THEN coalesce(len(hp), 0) END AS to_legs FROM es)"""

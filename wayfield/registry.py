@@ -1,7 +1,7 @@
 """All queries of the library and their SQL, by name."""
 
 from wayfield.plans import queries as plans
-from wayfield.plans import zone_queries  # noqa: F401  registers its queries
+from wayfield.plans import node_queries, zone_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict:

@@ -80,7 +80,7 @@ def zone_spawns(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame
     one = c.join(F.broadcast(nation), "c_nationkey").join(F.broadcast(first), "zone")  # 25 and 5 rows
     i = F.col("c_custkey")
     moved = lambda rule: F.when(rule & F.lit(version == 1), 3.0).otherwise(0.0)
-    x, y, z = F.round(F.col("c_acctbal") / 20, 3), F.col("c_nationkey") * 1.0, (i % 100) * 1.0
+    x, y, z = F.round(F.col("c_acctbal") / 25, 3), F.col("c_nationkey") * 1.0, (i % 100) * 1.0
     point = F.array(x + moved(i % 7 == 1), y, z)
     leg = lambda k: F.struct((x + 10 * k + moved(i % 18 == 0)).alias("x"), y.alias("y"), (z + 5 * k).alias("z"))
     path = F.when(i % 27 == 0, F.array(leg(0))).when(i % 9 == 0, F.array(leg(0), leg(1), leg(2)))
