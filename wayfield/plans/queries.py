@@ -113,6 +113,9 @@ def walked_pieces(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.shiftright("root", 36).alias("zone"), F.col("root").bitwiseAND((1 << 36) - 1).alias("root"), "cells")
 
 
+QUERIES["zone_pieces"], SQL["zone_pieces"] = walked_pieces, SQL["walked_pieces"]  # an older name of the same
+
+
 @query(f"WITH {_SIDES} SELECT id, b.template AS base_template, b.region AS base_region, h.template AS head_template, h.region AS head_region, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' WHEN b.template IS NOT DISTINCT FROM h.template AND b.region IS NOT DISTINCT FROM h.region THEN 'unchanged' ELSE 'changed' END AS kind FROM b FULL OUTER JOIN h USING (id)")
 def spawn_diff(spark: SparkSession, d: str) -> DataFrame:
     return regions.diff(*E.sides(spark, d))
