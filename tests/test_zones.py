@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfield import registry
 from wayfield.functions import geometry as G
-from wayfield.operators import graph, lines, maps, nodes, raster, trails, zones
+from wayfield.operators import graph, lines, maps, nodes, raster, routes, trails, zones
 from wayfield.sources import texts
 
 DATA = "/root/testdata/sf0.001"
@@ -155,3 +155,23 @@ def test_crossing_and_turning(spark):
     ring = lambda *c: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(z)).alias("z"), F.lit(0.0).alias("y")) for x, z in c])
     r = spark.range(1).select(G.crosses_itself(ring((0, 0), (4, 4), (4, 0), (0, 4))).alias("bow"), G.crosses_itself(ring((0, 0), (4, 0), (4, 4), (0, 4))).alias("square"), F.size(G.circle(F.lit(1.0), F.lit(0.0), F.lit(2.0), F.lit(3.0))).alias("n"), F.round(G.turned(F.lit(1.0), F.lit(0.0), F.lit(math.pi / 2))[1], 6).alias("z")).first()
     assert tuple(r) == (True, False, 16, 1.0)
+
+
+def test_routes_are_traced(spark):
+    def around(corners, laps, step=3.0):
+        out = []
+        for _ in range(laps):
+            for (ax, az), (bx, bz) in zip(corners, corners[1:] + corners[:1]):
+                n = max(1, int(math.hypot(bx - ax, bz - az) / step))
+                out += [(ax + (bx - ax) * k / n, az + (bz - az) * k / n) for k in range(n)]
+        return out
+    rng = random.Random(4)
+    square, spur = around([(0, 0), (60, 0), (60, 60), (0, 60)], 3), around([(0, 0), (60, 0), (60, 30), (100, 30), (60, 30), (60, 60), (0, 60)], 6)
+    blob = [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(400)]
+    still = [(rng.uniform(0, 3), rng.uniform(0, 3)) for _ in range(200)]
+    rows = [(mob, k, 4 * k, x, 0.0, z) for mob, line in enumerate((square, spur, blob, still)) for k, (x, z) in enumerate(line)]
+    got = {r.mob_id: r for r in routes.traced(spark.createDataFrame(rows, "mob_id long, seq long, t long, x double, y double, z double")).collect()}
+    assert set(got) == {0, 1} and got[0].coverage > 0.95 and got[1].coverage > 0.9 and 4 <= len(got[0].legs) <= 8
+    assert any(math.hypot(v.x - 100, v.z - 30) < 4 for v in got[1].legs)
+    lap = routes.laps(routes.placed(spark.createDataFrame(rows, "mob_id long, seq long, t long, x double, y double, z double")).where("mob_id = 0 and capture = -1")).collect()
+    assert [(r.i0, r.i1) for r in lap][0][0] == 0 and len(lap) == 3

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry as G
-from wayfield.operators import graph, grid, nodes, raster
+from wayfield.operators import graph, grid, nodes, raster, routes
 from wayfield.plans.queries import _TRAIL, query
 from wayfield.sources import entities as E
 
@@ -220,3 +220,17 @@ def obstacles_at(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     points = E.table(spark, d, "supplier").select((k % 5).alias("zone"), k.alias("id"), ((k * 7 % 97) * 2.0 + 0.6).alias("x"), ((k * 7 % 89) * 2.0 + 0.7).alias("z"))
     return raster.obstacle_at(points, _obstacle_cells(spark, d), "zone", 3.0)
+
+
+@query(f"""WITH {_TRAIL}, r AS (SELECT mob_id, row_number() OVER (PARTITION BY mob_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY mob_id) AS n, x, z FROM trail), g AS (SELECT mob_id, n, unnest(range(10, least(800, n // 3) + 1)) AS lag FROM (SELECT DISTINCT mob_id, n FROM r WHERE n // 3 >= 10)), a AS (SELECT *, unnest(range(0, n - lag, greatest(1, (n - lag) // 120))) AS i FROM g),
+d AS (SELECT a.mob_id, a.n, lag, sqrt((p.x - q.x) ** 2 + (p.z - q.z) ** 2) AS d FROM a JOIN r p ON p.mob_id = a.mob_id AND p.i = a.i JOIN r q ON q.mob_id = a.mob_id AND q.i = a.i + lag), m AS (SELECT mob_id, n, lag, list_sort(list(d))[count(*) // 2 + 1] AS med FROM d GROUP BY ALL) SELECT mob_id, n, CAST(lag AS INT) AS lag FROM m QUALIFY row_number() OVER (PARTITION BY mob_id ORDER BY med, lag) <= 4""")
+def repeat_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The best repeat periods of whole trails."""
+    return routes.periods(routes.placed(E.trail_points(spark, d)).where("capture = -1")).drop("capture")
+
+
+@query()
+def traced_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Routes of all trails; gaps between events are hours, so captures break at more than a day."""
+    found = routes.traced(E.trail_points(spark, d), close=40.0, least_gap=86400)
+    return found.select("mob_id", F.round("coverage", 6).alias("coverage"), F.posexplode("legs").alias("at", "v")).select("mob_id", "coverage", "at", "v.x", "v.y", "v.z")
