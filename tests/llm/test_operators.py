@@ -333,6 +333,111 @@ def test_join_by_brute_force(spark):
     assert set_join.one_of_each(docs, large=20).count() == len({find(i) for i in range(len(sets))})
 
 
+def test_values_of_odd_rows(spark, odd, empty, labels):
+    by = lambda df: {(r.doc_id, i): r for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)))}
+    shards = by(sharding.shard(odd))
+    assert sorted(r["size"] for r in shards.values()) == sorted(len((t or "").encode()) + 1 for _, t in ODD) and {r.shard for k, r in shards.items() if k[0] in (None, 1, 8)}.__len__() == 1
+    n = {}
+    for r in set_join.join(odd).collect():
+        n.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
+    assert n == {None: {(0, None)}, 1: {(0, 1)}, 2: {(0, 2)}, 3: {(1, 3)}, 4: {(1, 3)}, 5: {(1, 5)}, 6: {(1, 6)}, 7: {(4, 7)}, 8: {(0, 8)}}
+    for f in (toxicity.classify, quality.classify):
+        scores = {}
+        for r in f(odd, labels).collect():
+            scores.setdefault(r.doc_id, set()).add(r.score)
+        assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in scores.values()) and scores[None] == scores[1] == scores[8]
+    lm = by(ctw.score_held_out(odd, depth=2))
+    assert {r.n_tokens for k, r in lm.items() if k[0] in (None, 1, 2, 8)} == {1} and {r.n_tokens for k, r in lm.items() if k[0] == 5} == {20001}
+    assert all(r.score < 0 and r.base_score < 0 for r in lm.values()) and len({r.score for k, r in lm.items() if k[0] in (3, 4)}) == 1
+    mix = by(mixing.mix(odd, ["doc_id"]))
+    assert all(r.m_taken == 0 for k, r in mix.items() if k[0] in (None, 1, 2, 8)) and all(r.m_taken in (0, r.m_size, 2 * r.m_size) for r in mix.values())
+    media = by(ogg_media.stored_texts(odd, keep_media=True))
+    assert all((r.n_bytes, r.payload_bytes) == (0, 64) and r.media == media[(1, 1)].media for k, r in media.items() if k[0] in (None, 1, 8))
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert additive_ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    clash = spark.createDataFrame([(1, "https://a.net/x", "h", "r", 1.0)] * 2, "page_id long, url string, host string, rule string, score double")
+    assert [(r.host, r.rule, r.verdict) for r in url_filter.judge(clash).collect()] == [("a.net", "net/", "block")] * 2
+
+
+def test_mix_by_brute_force(spark):
+    rnd = random.Random(21)
+    docs = spark.createDataFrame([(i, "w " * rnd.randint(0, 30) + "#$" * rnd.randint(0, 2), rnd.choice(["a", "b", "c", "d", None])) for i in range(900)], "doc_id long, text string, source string")
+    keyed = docs.select("doc_id", "source", mixing.n_words().alias("n"), mixing.exponential_key(mixing.quality_weight(), 17).alias("key")).toPandas()
+    names = [*sorted(s for s in keyed.source.unique() if s is not None), None]
+    size = {s: int(keyed[keyed.source.isna() if s is None else keyed.source == s].n.sum()) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, free, budget = {}, set(names), 1.5 * sum(size.values())
+    while True:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    want = {}
+    for s in names:
+        rows = keyed[keyed.source.isna() if s is None else keyed.source == s].sort_values(["key", "doc_id"])
+        epochs = int(target[s] // size[s])
+        ahead = 0
+        for r in rows.itertuples():
+            want[r.doc_id] = r.n * (epochs + (ahead + r.n / 2 <= target[s] - epochs * size[s]))
+            ahead += r.n
+    for o in ({}, {"bucket_rows": 3}):
+        got = mixing.mix(docs, ["doc_id", "source"], **o).toPandas()
+        assert got.set_index("doc_id").m_taken.to_dict() == want
+        assert all(abs(t - target[None if s is None or s != s else s]) < 1e-6 for s, t in zip(got.source, got.m_target))
+    taken = mixing.mixed_documents(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    n = keyed.set_index("doc_id").n.to_dict()
+    assert taken == {d: w // n[d] for d, w in want.items() if w}
+
+
+def test_discriminant_by_brute_force():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(200, 4)), rng.normal(size=(150, 4)) @ np.diag([1, 2, 0.5, 1]) + 1])
+    y = np.repeat([0, 1], [200, 150])
+    model = quality.fit(x, y, shrinkage=0.2)
+    turn = np.concatenate([np.arange(200), np.arange(150)])
+    own = turn % 4 != 3
+    z = lambda a: np.clip((a - x[own].mean(0)) / (x[own].std(0) + 1e-6), -8, 8)
+    logs = []
+    for k in (0, 1):
+        part = z(x)[own & (y == k)]
+        cov = np.cov(part.T, bias=True)
+        cov = 0.8 * cov + 0.2 * (np.trace(cov) / 4 + 1e-3) * np.eye(4)
+        d = z(x) - part.mean(0)
+        logs.append(-0.5 * np.einsum("ni,ni->n", d, np.linalg.solve(cov, d.T).T) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(model.difference(x), logs[1] - logs[0]) and ((model.score(x) > 0.5) == y).mean() > 0.8
+
+
+def test_savings_by_brute_force():
+    import zstandard
+
+    ordinary, toxic = b" the cat sat on a mat and looked at the sun " * 9, b" wretchedly awful "
+    parameters = zstandard.ZstdCompressionParameters(**toxicity._PARAMETERS)
+    def length(content, w):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=parameters).compress(w))
+    text = "The cat looked wretchedly awful " * 3 + "and sat on a mat " * 9
+    saved = [length(ordinary, w) - length(toxic + ordinary, w) for w in toxicity.windows(text)]
+    assert toxicity.Savings(ordinary, toxic).features(text) == (max(saved), pytest.approx(sum(x for x in saved if x > 0) / (1 + len(saved)) ** 0.5))
+    assert max(saved) > 5 and b"".join(w[1:-1].replace(b" ", b"") for w in toxicity.windows(text)) == text.lower().replace(" ", "").encode()
+
+
+def test_sample_counts_documents_that_exist(spark):
+    from wayfield.llm import common
+
+    docs = spark.createDataFrame([(i, f"text {i}", 0) for i in range(0, 60, 2)] + [(4, "text 4", 1), (6, "other", 0)], "doc_id long, text string, x int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, y int")
+    rows, shift = common.labelled_sample(docs, labels, "y", 4, 5, 1 << 30)
+    assert Counter(r.y for r in rows) == {0: 5, 1: 5} and all(r.x == "other" or int(r.x.split()[1]) % 2 == 0 for r in rows)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    n = Counter(int(i % 4 == 0) for i in range(0, 60, 2) if not held(i)) + Counter([0] * (not held(6)))
+    assert shift == pytest.approx(math.log(n[1] / n[0]))
+    few, _ = common.labelled_sample(docs, labels, "y", 4, 5, 14)
+    assert Counter(r.y for r in few)[0] <= 3 and Counter(r.y for r in few)[1] >= 1
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 3), (7, 8), (2, 2)], "u long, v long")
     assert {r.node: r.root for r in components.components(links).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
@@ -362,6 +467,31 @@ def test_one_of_each_keeps_clashing_names(spark):
     assert got == {(1, "y", "ty", "w_digesty"), (3, "z", "tz", "w_digestz"), (None, "n", "tn", "w_digestn")}
 
 
+def test_pipeline_stages_by_brute_force(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("score", F.lit("mine"))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    for stage, classify, keeps in ((P.drop_toxic, toxicity.classify, lambda s: s < 0.3), (P.keep_good, quality.classify, lambda s: s >= 0.7)):
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and ids(out) == sorted(r.doc_id for r in classify(docs, labels).collect() if keeps(r.score)) and {r.score for r in out.collect()} == {"mine"}
+    found = set_join.join(docs).collect()
+    assert ids(P.one_of_each_group(spark, docs, DATA)) == sorted(r.doc_id for r in found if r.n_shingles == 0 or r.doc_id == r.component_id)
+    mix = {r.doc_id: r.m_taken // max(1, r.m_size) for r in mixing.mix(docs, ["doc_id"]).collect()}
+    assert ids(P.mix_sources(spark, docs, DATA)) == sorted(d for d, k in mix.items() for _ in range(k))
+    ids_of = {r.doc_id: list(r.ids) for r in sentencepiece_fst.round_trip(docs).collect()}
+    assert {r.doc_id: list(r.ids) for r in P.encode(spark, docs, DATA).collect()} == ids_of
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty):
+    import corpus_pipeline as P
+
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, empty, DATA).count() == 0 and stage(spark, odd, DATA).columns == odd.columns
+    assert P.encode(spark, odd, DATA).columns == [*odd.columns, "ids"]
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
