@@ -50,13 +50,15 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(name, str(most))
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
     That cuts the lineage: what was written survives lost executors, and passes that follow
-    don't repeat what made it.
+    don't repeat what made it.  rows: about how many narrow rows it has, if known; it is written in files of some 250,000.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // 250_000 + 1)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

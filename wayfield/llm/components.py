@@ -2,7 +2,7 @@
 
 Each round is two group-bys and joins; minima are summed up before the shuffle, and nodes with very many
 links meet their minimum by a broadcast of 4096 rows at most, so a star's centre is no hot key.  Every round is written to the
-shared folder, which cuts the lineage; the driver keeps a count and a checksum alone.
+shared folder, in files by its number of links, which cuts the lineage; the driver keeps a count and a checksum alone.
 
 Nulls and odd cases: a link needs two nodes (rows with a null are left out); links of a node with itself and repeated links change nothing; no links give no rows.
 """
@@ -38,5 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = stage(_small_star(stage(_large_star(edges, seen[0])), seen[0]))
+        edges = stage(_small_star(stage(_large_star(edges, seen[0]), seen[0]), seen[0]), seen[0])
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

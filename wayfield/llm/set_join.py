@@ -461,29 +461,29 @@ def join(docs: DataFrame, threshold: int = 80, common: int = 32, bound: int = 1
     last.destroy()
     classes = rows.where("n > 0").groupBy("high", "low").agg(F.count(F.lit(1)).alias("w_size"), F.min(F.struct("doc_id", "digest")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("part").alias("part"))
     nodes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "high", "low", "w_size", "one.*", "least", "n", "part"))
-    known = nodes.select("node", "doc_id", "digest", "n")
+    known, total = nodes.select("node", "doc_id", "digest", "n"), nodes.count()
     index = stage(_index(nodes, threshold, short, hot_entries))
     entries = index.where(~F.col("pair")).drop("pair")
-    families = stage(_families(entries).join(nodes.select("node", "n"), "node"))
+    families = stage(_families(entries).join(nodes.select("node", "n"), "node"), total)
     hubs = families.groupBy("hub").agg(F.count(F.lit(1)).alias("w_size")).join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
-    families = stage(hot_join(families, stage(hubs.withColumn("members", F.col("w_size"))), ["hub"], "w_size", families.count()))
+    families = stage(hot_join(families, stage(hubs.withColumn("members", F.col("w_size")), total), ["hub"], "w_size", families.count()), total)
     near = families.where((F.col("node") != F.col("hub")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold))
     pairs = index.where("pair").select(F.col("g").alias("u"), F.col("node").alias("v"))
     pairs = stage(pairs.unionByName(near.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))).distinct())
     links = stage(verified(pairs, known, docs, threshold))
-    roots = stage(components(links))
-    large = stage(families.where(F.col("members") >= large).select("node", "hub"))
+    roots = stage(components(links), total)
+    large = stage(families.where(F.col("members") >= large).select("node", "hub"), total)
     if large.count():
         links = links.unionByName(stage(_family_links(large, known, roots, docs, threshold)))
-        roots = stage(components(links))
+        roots = stage(components(links), total)
     more = stage(_second_pairs(entries, roots, large, threshold, block).join(pairs, ["u", "v"], "left_anti"))
     if more.count():
         links = links.unionByName(stage(verified(more, known, docs, threshold)))
-        roots = stage(components(links))
+        roots = stage(components(links), total)
     placed = nodes.select("node", "high", "low", "w_size", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = stage(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
-    answers = hot_join(placed, ids, ["root"], "members", nodes.count())
-    answers = stage(answers.select("high", "low", "w_size", "root", "component_id"))
+    ids = stage(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), total)
+    answers = hot_join(placed, ids, ["root"], "members", total)
+    answers = stage(answers.select("high", "low", "w_size", "root", "component_id"), total)
     met = hot_join(rows.select("doc_id", "digest", "n", "high", "low"), answers, ["high", "low"], "w_size", rows.count(), "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "digest")
 
