@@ -7,7 +7,6 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.functions import geometry as G
 from wayfield.operators import graph, grid, nodes, raster, routes
 from wayfield.plans.queries import _TRAIL, query
 from wayfield.sources import entities as E
