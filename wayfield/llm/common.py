@@ -136,3 +136,16 @@ def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     body = ", ".join("(" + ", ".join(str(x) for x in r) + ")" for r in rows)
     cast = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in names)
     return spark.sql(f"SELECT {cast} FROM VALUES {body} AS t({', '.join(n for n, _ in names)})")
+
+
+def finite_vectors(vectors: DataFrame, column: str, most: float, *keep: str) -> DataFrame:
+    """keep's columns and v (doubles) of the rows whose vector is there and holds neither nulls nor non-finite components.
+
+    Vectors of another length than most (the shorter on ties) and empty ones are left out, and a component beyond `most` stops the query, as it fits no exact integer.
+    """
+    v = F.col(column).cast("array<double>")
+    rows = vectors.select(*keep, v.alias("v")).where((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    wide = F.exists("v", lambda x: F.abs(x) > most)
+    fits = F.when(wide, F.raise_error(F.lit(f"a component is beyond {most}")).cast("array<double>")).otherwise(F.col("v"))
+    return rows.where(F.size("v") == (size.n if size else 0)).withColumn("v", fits)
