@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfield.llm import additive_ann, components, ctw, mixing, ogg_media, quality, sentencepiece_fst, set_join, sharding, toxicity, url_filter
+from wayfield.llm import additive_ann, components, ctw, mixing, ogg_media, part_codes, quality, sentencepiece_fst, set_join, sharding, token_files, toxicity, url_filter, whitening
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, m_size long, score string"
@@ -303,6 +303,19 @@ def test_mix_meets_targets(spark):
     assert p.sort_values("doc_id").m_taken.tolist() == mixing.mix(docs, ["doc_id"]).toPandas().sort_values("doc_id").m_taken.tolist()
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(i, "w " * 10, s) for i, s in enumerate(["a"] * 240 + ["c"] * 240)] + [(1000, "w " * 10, "b")] * 240
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    p = mixing.mix(docs, ["doc_id", "source"]).toPandas()
+    assert len(p) == 720 and (p.m_taken <= 2 * p.m_size).all()
+    for _, s in p.groupby("source"):
+        assert abs(s.m_taken.sum() - s.m_target.iloc[0]) <= 10
+    again = mixing.mix(docs.repartition(3), ["doc_id", "source"]).toPandas()
+    assert sorted(zip(p.doc_id, p.m_taken)) == sorted(zip(again.doc_id, again.m_taken))
+    n = mixing.mixed_documents(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    assert n == {d: k // 10 for d, k in p.groupby("doc_id").m_taken.sum().items() if k}
+
+
 def test_join_by_brute_force(spark):
     rnd = random.Random(9)
     base = [[f"w{rnd.randint(0, 400)}" for _ in range(rnd.randint(3, 90))] for _ in range(12)]
@@ -498,3 +511,159 @@ def test_pipeline_keeps_columns(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"]
     assert 0 < out.count() and out.where(F.size("ids") == 0).count() == 0
+
+
+def read_ids(spark, docs, path, **options):
+    token_files.write(docs, str(path), **options)
+    return sorted(((r.start, r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in token_files.read(spark, str(path)).collect()))
+
+
+def test_token_files_equal_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib, rnd = Tokenizer.from_file(token_files.tokenizer_path()), random.Random(31)
+    texts = ["".join(rnd.choice("ab c  d\t\n'stre.,12é日 😀 \x1c\xa0　<|endoftext|>") for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + [t for _, t in ODD]
+    ids = [rnd.choice([None, *range(1200)]) for _ in texts]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], "doc_id long, text string, start string").repartition(5)
+    got = read_ids(spark, docs, tmp_path / "a")
+    assert [g[1] for g in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    at = 0
+    for start, _, n, x in got:
+        assert start == at and len(x) == n and x[-1] == 0
+        at += n
+    want = sorted((str(i), lib.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in zip(ids, texts))
+    assert sorted((str(g[1]), g[3]) for g in got) == want
+    flat = [i for g in got for i in g[3]]
+    for a, n in ((0, 1), (100, 257), (at - 70, 999), (5, at)):
+        parts = sorted(token_files.spans(spark, str(tmp_path / "a"), a, n).collect())
+        assert [i for p in parts for i in p.ids] == flat[a : a + n]
+
+
+def test_token_files_of_odd_rows(spark, odd, empty, tmp_path):
+    got = read_ids(spark, odd, tmp_path / "a")
+    assert len(got) == len(ODD) and got[0][1] is None and [g[2] for g in got if g[1] in (None, 1, 8)] == [1, 1, 1] and got == read_ids(spark, odd.repartition(3), tmp_path / "b")
+    assert read_ids(spark, empty, tmp_path / "c") == []
+
+
+def test_code_lengths_are_the_best_under_their_limit():
+    import heapq
+
+    def huffman(n):
+        heap = [(k, i, [i]) for i, k in enumerate(n)]
+        heapq.heapify(heap)
+        length, at = [0] * len(n), len(n)
+        while len(heap) > 1:
+            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            for i in x + y:
+                length[i] += 1
+            heapq.heappush(heap, (a + b, at, x + y))
+            at += 1
+        return length
+
+    rnd = random.Random(8)
+    for size in (2, 3, 7, 40, 300):
+        n = np.array([1 + int(rnd.paretovariate(0.5)) % 10**6 for _ in range(size)])
+        free = np.array(huffman(n.tolist()))
+        assert (token_files.code_lengths(n, 40).astype(int) * n).sum() == (free * n).sum()
+        tight = token_files.code_lengths(n, max(1, (size - 1).bit_length())).astype(int)
+        assert tight.max() <= max(1, (size - 1).bit_length()) and (2.0**-tight).sum() == 1
+    best = min(sum(a * b for a, b in zip((9, 5, 2, 1), k)) for k in np.ndindex(4, 4, 4, 4) if all(k) and sum(2.0**-x for x in k) <= 1 and max(k) <= 2)
+    assert (token_files.code_lengths(np.array([9, 5, 2, 1]), 2) * np.array([9, 5, 2, 1])).sum() == best
+    for n in ([], [0, 0], [0, 7]):
+        c = token_files.Code(token_files.code_lengths(np.array(n, np.int64), 5))
+        ids = np.array([1] * 300 if n == [0, 7] else [], np.int64)
+        assert (c.decode(c.encode(ids)) == ids).all()
+
+
+def test_blocks_decode_by_checkpoint():
+    rnd = np.random.default_rng(4)
+    ids = np.minimum(rnd.geometric(0.01, 5000), 900)
+    c = token_files.Code(token_files.code_lengths(np.bincount(ids), 12))
+    block = c.encode(ids)
+    bits = "".join(format(int(c.codes[i]), f"0{c.lengths[i]}b") for i in ids)
+    words = np.frombuffer(block, ">u4", -1, 8 + 4 * 40)
+    assert "".join(format(w, "032b") for w in words)[: len(bits)] == bits and (np.frombuffer(block, "<u4", 2) == [5000, token_files.CHECKPOINT]).all()
+    for a, b in ((0, None), (0, 1), (127, 129), (128, 256), (4990, 9999), (700, 700)):
+        assert (c.decode(block, a, b) == ids[a:b]).all()
+
+
+def brute_codes(v, label, parts=8, entries=16, rounds=6):
+    """Part codes by plain loops over exact integers; v: vec_id -> list of floats."""
+    ids = sorted(v)
+    x = {i: [math.floor(4096 * c) for c in v[i]] for i in ids}
+    d = len(x[ids[0]]) // parts
+    cut = lambda i, p: x[i][p * d : p * d + d]
+    books = [[cut(i, p) for i in ids[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b))
+    near = lambda i, p: min(range(len(books[p])), key=lambda e: (far(cut(i, p), books[p][e]), e))
+    for _ in range(rounds):
+        at = {(i, p): near(i, p) for i in ids for p in range(parts)}
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [cut(i, p) for i in ids if at[i, p] == e]
+                if mine:
+                    books[p][e] = [sum(c) // len(mine) for c in zip(*mine)]
+    error = {i: sum(far(cut(i, p), books[p][near(i, p)]) for p in range(parts)) for i in ids}
+    total = Counter()
+    for i in ids:
+        total[label[i]] += error[i]
+    import hashlib
+
+    sha = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    return {i: ("".join(f"{near(i, p):02x}" for p in range(parts)), error[i], total[label[i]], sha) for i in ids}
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, code string"
+
+
+def test_part_codes_by_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.choice([-0.5, 0.25, 0.25, rnd.uniform(-1, 1)]) for _ in range(16)], rnd.choice([None, 1, 2]), "x") for i in range(3, 160)]
+    bad = [(1, None, 1, "x"), (2, [0.0] * 15 + [float("nan")], 1, "x"), (0, [0.0] * 15 + [None], None, "x"), (200, [], 1, "x"), (201, [float("inf")] * 16, 1, "x")]
+    got = {r.vec_id: (r.code, r.error, r.label_error, r.codebooks_sha256) for r in part_codes.encode(spark.createDataFrame(rows + bad, VECTORS)).collect()}
+    assert got == brute_codes({r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows})
+    few = [(5, [0.5] * 16, None, "x"), (4, [0.5] * 16, None, "x"), (9, [0.25] * 16, 1, "x")]
+    got = {r.vec_id: (r.code, r.error, r.label_error, r.codebooks_sha256) for r in part_codes.encode(spark.createDataFrame(few, VECTORS)).collect()}
+    assert got == brute_codes({r[0]: r[1] for r in few}, {r[0]: r[2] for r in few}) and got[5][0] == "00" * 8
+    assert part_codes.encode(spark.createDataFrame(few * 5, VECTORS)).count() == 15  # repeated rows
+    assert part_codes.encode(spark.createDataFrame(bad, VECTORS)).count() == 0
+    with pytest.raises(Exception, match="beyond"):
+        part_codes.encode(spark.createDataFrame([(1, [1e9] * 16, 1, "x")], VECTORS)).count()
+
+
+def test_trees_keep_lower_indexes_on_ties():
+    rnd = np.random.default_rng(6)
+    for k, d in ((1, 2), (5, 1), (16, 2), (40, 3)):
+        points, q = rnd.integers(0, 4, (k, d)), rnd.integers(-1, 5, (300, d))
+        far = ((q[:, None, :] - points) ** 2).sum(2)
+        which, best = part_codes.nearest(part_codes.build(points), points, q)
+        assert (which == far.argmin(1)).all() and (best == far.min(1)).all()
+    assert [s.stop - s.start for s in part_codes.cuts(10, 4)] == [3, 3, 2, 2]
+
+
+def test_whitening_by_brute_force(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(0, 1, (400, 12)) @ rnd.normal(0, 1, (12, 12)) / 4
+    rows = [(i, v.astype(np.float32).tolist(), 1, "x") for i, v in enumerate(x)] + [(None, [1.0] * 12, 1, "x"), (7, None, 1, "x"), (8, [float("inf")] * 12, 1, "x"), (9, [0.5] * 3, 1, "x")]
+    p = whitening.whiten(spark.createDataFrame(rows, VECTORS)).toPandas()
+    y = np.floor(1024 * np.array([r[1] for r in rows[:401]], np.float64)).astype(np.int64) + 100_000
+    n, c = len(y), y * len(y) - y.sum(0)
+    e, u = np.linalg.eigh((c / n).T @ (c / n) / n)
+    want = (c / n) @ u[:, ::-1][:, :8] / np.sqrt(e[::-1][:8])
+    assert len(p) == 401 * 8 and p.n.unique().tolist() == [401] and p.identity_error.max() < 1e-9
+    for k in range(8):
+        mine = p[(p.component == k + 1) & p.vec_id.notna()].sort_values("vec_id")
+        sign = np.sign(mine.whitened.iloc[0] * want[0, k])
+        assert np.abs(mine.whitened.to_numpy() - sign * want[:400, k]).max() < 1e-8 and abs(mine.explained.iloc[0] - e[::-1][k] / e.sum()) < 1e-12
+        assert mine.deviation.astype(object).tolist() == [int((r.astype(object) ** 2).sum()) for r in c[:400]]
+    one = [(1, [0.5, 0.25], 1, "x")]
+    assert whitening.whiten(spark.createDataFrame(one * 3, VECTORS)).count() == 0  # no variance
+    assert whitening.whiten(spark.createDataFrame([], VECTORS)).count() == 0
+    line = [(i, [i / 64, 0.5], 1, "x") for i in range(9)]
+    assert [r.component for r in whitening.whiten(spark.createDataFrame(line, VECTORS)).collect()] == [1] * 9  # one direction alone
+
+
+def test_deviations_beyond_64_bits_are_exact(spark):
+    row = spark.createDataFrame([([1_500_000_000_000, -4],)], "y array<long>")
+    assert [int(row.select(whitening.deviation(F.col("y"), f).alias("d")).first().d) for f in (False,)] == [1_500_000_000_000**2 + 16]
+    assert int(spark.createDataFrame([([3, -4],)], "y array<long>").select(whitening.deviation(F.col("y"), True).alias("d")).first().d) == 25
