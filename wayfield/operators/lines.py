@@ -98,8 +98,12 @@ def simplify_rings(points: DataFrame, key: str, order: str, least_area: float =
     return _grouped(points, [key], order, lambda x, z: visvalingam(x, z, least_area, keep))
 
 
-def hulls(points: DataFrame, key: str, order: str, salts: int = 16) -> DataFrame:
-    """Corners of each key's convex hull: of parts of its points first, then of these parts' corners, so that no task holds a hot key."""
-    part = F.pmod(F.xxhash64(order), F.lit(salts))
-    some = _grouped(points.withColumn("w_part", part), [key, "w_part"], order, hull).drop("w_part", "at")
-    return _grouped(some, [key], order, hull)
+def hulls(points: DataFrame, key: str, order: str, many: int = 100_000) -> DataFrame:
+    """Corners of each key's convex hull.  Points of a key with more than `many` are dealt into parts of about as many; the corners of the parts' hulls make the key's."""
+    rows = points.select(key, order, "x", "z")
+    size = points.groupBy(key).agg(F.count(F.lit(1)).alias("w_n")).where(F.col("w_n") > many)
+    if not size.limit(1).count():
+        return _grouped(rows, [key], order, hull)
+    big = rows.join(F.broadcast(size), key).withColumn("w_part", F.pmod(F.xxhash64(order), F.ceil(F.col("w_n") / many))).drop("w_n")  # at most one row of size for each `many` points
+    corners = _grouped(big, [key, "w_part"], order, hull).drop("w_part", "at")
+    return _grouped(rows.join(F.broadcast(size.select(key)), key, "left_anti").unionByName(corners), [key], order, hull)

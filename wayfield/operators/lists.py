@@ -44,23 +44,48 @@ def middle_half(rows: DataFrame, value: str, step: float) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, keys: tuple[str, ...], name: str, order: str) -> DataFrame:
-    """rows with unique: the name, with _2, _3 behind its second and third use within keys."""
+    """rows with unique: the name at its first use within keys, then with the least number from _2 on that no name in use has.
+
+    A name's own numbers that are taken (`a_3` for `a`) are few; the k-th free one is counted past them.
+    """
     k = F.row_number().over(Window.partitionBy(*keys, name).orderBy(order))
-    return rows.withColumn("unique", F.concat(F.col(name), F.when(k > 1, F.concat(F.lit("_"), k.cast("string"))).otherwise("")))
+    used = rows.select(*keys, F.col(name).alias("w_used")).distinct()
+    tail = F.regexp_extract("w_used", r"_([1-9]\d{0,8})$", 1)
+    taken = used.where(tail != "").select(*keys, F.substr("w_used", F.lit(1), F.length("w_used") - F.length(tail) - 1).alias(name), tail.cast("int").alias("w_n")).where("w_n > 1")
+    taken = taken.groupBy(*keys, name).agg(F.array_sort(F.collect_list("w_n")).alias("w_taken"))
+    free = F.aggregate(F.coalesce("w_taken", F.array().cast("array<int>")), F.col("w_k"), lambda n, t: n + F.when(t <= n, 1).otherwise(0))
+    numbered = rows.withColumn("w_k", k).join(taken, [*keys, name], "left")
+    return numbered.withColumn("unique", F.when(F.col("w_k") == 1, F.col(name)).otherwise(F.concat_ws("_", name, free))).select(*rows.columns, "unique")
+
+
+def _rounded(v: Column) -> Column:
+    return F.floor(v + 0.5).cast("long").cast("string")
 
 
 def duration_words(seconds: Column) -> Column:
-    """Seconds below 90, minutes below 90, hours beyond, rounded."""
-    n = lambda v, unit: F.concat(F.round(v).cast("long").cast("string"), F.lit(f" {unit}"))
-    return F.when(seconds < 90, n(seconds, "s")).when(seconds < 5400, n(seconds / 60, "min")).otherwise(n(seconds / 3600, "h"))
+    """Days beyond one, hours beyond one, else minutes; halves go up."""
+    n = lambda v, unit: F.concat(_rounded(v), F.lit(f" {unit}"))
+    return F.when(seconds > 86400, n(seconds / 86400, "days")).when(seconds > 3600, n(seconds / 3600, "hours")).otherwise(n(seconds / 60, "minutes"))
+
+
+def watched_words(gap: Column, walked: Column, most: float = 120.0) -> Column:
+    """How long a mob had been in view at a sample: walked seconds, unless the gap before the sample is beyond `most`."""
+    inside = F.when(walked < 60, F.concat(_rounded(walked), F.lit(" seconds"))).otherwise(duration_words(walked))
+    return F.when(gap > most, F.concat(F.lit("jumped, "), duration_words(gap), F.lit(" unwatched"))).otherwise(F.concat(inside, F.lit(" in")))
 
 
 def fingerprint(text: Column) -> Column:
-    """FNV-1a over UTF-8 bytes in 32 bits, in base 36."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    codes = F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+    """FNV-1a over UTF-16 units in 32 bits, in base 36."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1), lambda i: F.conv(F.substr(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
     # 32 bits times 16777619 fits 64 bits without a sign.
-    return F.lower(F.conv(F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * 16777619, F.lit(1 << 32))).cast("string"), 10, 36))
+    return F.lower(F.conv(F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * 16777619, F.lit(1 << 32))).cast("string"), 10, 36))
+
+
+def newest_drafts(drafts: DataFrame, key: str, when: str) -> DataFrame:
+    """The draft of each key saved last, with its columns."""
+    rest = [c for c in drafts.columns if c != key]
+    return drafts.groupBy(key).agg(F.max_by(F.struct(*rest), when).alias("d")).select(key, *(F.col(f"d.{c}").alias(c) for c in rest))
 
 
 def fuzzy(rows: DataFrame, name: str, asked: str, most: float = 0.1) -> DataFrame:
@@ -69,16 +94,19 @@ def fuzzy(rows: DataFrame, name: str, asked: str, most: float = 0.1) -> DataFram
     return rows.where(low.contains(asked.lower()) | (F.levenshtein(low, F.lit(asked.lower())) <= most * len(asked))).orderBy(name)
 
 
-def title(touched: Column, zones: Column, n: Column) -> Column:
-    """A pull request's title: one zone by name, two by both, more by their number."""
-    return F.concat(touched, F.lit(" in "), F.when(n <= 2, F.array_join(zones, " and ")).otherwise(F.concat(n.cast("string"), F.lit(" zones"))))
+def title(zones: Column) -> Column:
+    """A pull request's title: up to three zones by name, more by their number."""
+    n = F.size(zones)
+    return F.concat(F.lit("Roam regions: "), F.when(n == 0, "several zones").when(n <= 3, F.array_join(zones, ", ")).otherwise(F.concat(n.cast("string"), F.lit(" zones"))))
 
 
 def filled(template: Column, values: dict[str, Column]) -> Column:
-    """A template with {{name}} replaced."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{{" + name + "}}"), value)
-    return template
+    """A template with each {{ name }} replaced, blanks inside or not; a name without a value stays as it is written."""
+    mark = r"\{\{\s*\w+\s*\}\}"
+    marks = F.regexp_extract_all(template, F.lit(f"({mark})"))
+    by_name = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("string"))])
+    put = F.transform(marks, lambda m: F.coalesce(F.try_element_at(by_name, F.trim(F.translate(m, "{}", ""))), m))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(template, mark).alias("t"), put.alias("p")), lambda r: F.array(r["t"], F.coalesce(r["p"], F.lit(""))))), "")
 
 
 def trigger_call(id_: Column, low: tuple[Column, Column, Column], high: tuple[Column, Column, Column]) -> Column:
@@ -119,8 +147,8 @@ def island_ranks(sizes: DataFrame, least: int = 3) -> DataFrame:
 
 
 def map_id(bits: Column) -> Column:
-    """The map number in a mesh entry's bits."""
-    return F.shiftleft(F.shiftright(bits, 26).bitwiseAND(7), 3).bitwiseOR(F.shiftright(bits, 3).bitwiseAND(7))
+    """The map number in a mesh entry's bits: five bits, two from bit 26 and three from bit 3."""
+    return F.shiftleft(F.shiftright(bits, 26).bitwiseAND(3), 3).bitwiseOR(F.shiftright(bits, 3).bitwiseAND(7))
 
 
 def deep_water(meta: Column) -> Column:

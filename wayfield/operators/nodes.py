@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from wayfield.functions import geometry as G
 from wayfield.operators import graph, trails
 
-REACH = 12.0
-HEADING_SLOPE = math.tan(math.pi / 256)
+RAY_LENGTH = 12.0  # how far ahead of a ray a node may lie
+HALF_STEP = math.tan(math.pi / 256)  # how far a heading byte may be off, a yalm ahead
 
 
 def legs(points: DataFrame, gap: float, heading: Column | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def arrival_rays(points: DataFrame, gap: float = 20, heading: Column | None = No
     return rays.select("mob_id", "leg", "b.x", "b.z", "r.dx", "r.dz", "b.t", "r.from_heading")
 
 
-def votes(rays: DataFrame, cell: float = 0.5, reach: float = REACH) -> DataFrame:
+def votes(rays: DataFrame, cell: float = 0.5, reach: float = RAY_LENGTH) -> DataFrame:
     """mob_id, ix, iz and n: how many of a mob's rays pass a cell."""
     steps = F.sequence(F.lit(0), F.lit(int(reach / (cell / 2)) - 1))
     s = F.explode(steps).alias("s")
@@ -95,10 +95,10 @@ def _project(x: Column, z: Column) -> tuple[Column, Column]:
 
 
 def _tolerance(along: Column) -> Column:
-    return F.when(F.col("from_heading"), 0.03 + HEADING_SLOPE * F.abs(along)).otherwise(0.05)
+    return F.when(F.col("from_heading"), 0.03 + HALF_STEP * F.abs(along)).otherwise(0.05)
 
 
-def refined(candidates: DataFrame, rays: DataFrame, radii: tuple[float, ...] = (2.5, 1.5, 1, 0.6, 0.4), passes: int = 4, reach: float = REACH) -> DataFrame:
+def refined(candidates: DataFrame, rays: DataFrame, radii: tuple[float, ...] = (2.5, 1.5, 1, 0.6, 0.4), passes: int = 4, reach: float = RAY_LENGTH) -> DataFrame:
     """mob_id, id, x, z and the rays that meet there (one row each): the point closest to the ray lines near each candidate, by weighted least squares.
 
     Coarse radii first, then each ray's own tolerance; a candidate with fewer than three rays in a pass, or with parallel ones, goes.
@@ -216,9 +216,16 @@ def clusters(points: DataFrame, radius: float = 1.8) -> DataFrame:
     return graph.components(points.select(F.col("key").alias("node")), links).withColumnRenamed("node", "key")
 
 
-def matched_rays(rays: DataFrame, nodes: DataFrame, across: float = 0.25, reach: float = REACH) -> DataFrame:
-    """mob_id, leg, t and node: the nearest of the mob's own nodes ahead on each ray; null where there is none.  A mob's nodes are some hundred."""
-    met = rays.select("mob_id", "leg", F.col("x").alias("rx"), F.col("z").alias("rz"), "dx", "dz").join(nodes.select("mob_id", "node", "x", "z"), "mob_id")
+def matched_rays(rays: DataFrame, nodes: DataFrame, across: float = 0.25, reach: float = RAY_LENGTH) -> DataFrame:
+    """mob_id, leg, t and node: the nearest of the mob's own nodes ahead on each ray; null where there is none.
+
+    A ray looks into the buckets (of `reach`, and `across` at least) that its box touches, four or nine of them.
+    """
+    size = max(reach, across)
+    ends = {c: F.col(c) + reach * F.col("d" + c) for c in "xz"}
+    span = lambda c: F.explode(F.sequence(G.cell(F.least(F.col(c), ends[c]) - across, size), G.cell(F.greatest(F.col(c), ends[c]) + across, size)))
+    asked = rays.select("mob_id", "leg", F.col("x").alias("rx"), F.col("z").alias("rz"), "dx", "dz", span("x").alias("ix"), "z").withColumn("x", F.col("rx")).withColumn("iz", span("z")).drop("x", "z")
+    met = asked.join(nodes.select("mob_id", "node", "x", "z", G.cell(F.col("x"), size).alias("ix"), G.cell(F.col("z"), size).alias("iz")), ["mob_id", "ix", "iz"])
     along, side = _project(F.col("x"), F.col("z"))
     hit = met.withColumn("along", along).where((side < across) & (F.col("along") > 0) & (F.col("along") < reach)).groupBy("mob_id", "leg").agg(F.min_by("node", F.struct("along", "node")).alias("node"))
     return rays.select("mob_id", "leg", "t").join(hit, ["mob_id", "leg"], "left")
@@ -236,15 +243,20 @@ def visited_edges(matched: DataFrame, gap: float = 90) -> DataFrame:
 
 
 def node_heights(nodes: DataFrame, points: DataFrame, cell: float = 4.0, few: int = 5) -> DataFrame:
-    """zone, key, y: the median height of the nearest samples, from the least square of cells around the node (up to 4 away) that holds `few`."""
+    """zone, key, y: the median height of the nearest samples, from the least square of cells around the node (up to 4 away) that holds `few`.
+
+    Cells' counts decide on the square; only the samples of its cells are then met.
+    """
     near = F.explode(F.sequence(F.lit(-4), F.lit(4)))
     asked = nodes.select("zone", "key", "x", "z", near.alias("a")).select("*", near.alias("b"))
     asked = asked.select("zone", "key", "x", "z", F.greatest(F.lit(1), F.abs("a"), F.abs("b")).alias("ring"), (G.cell(F.col("x"), cell) + F.col("a")).alias("ix"), (G.cell(F.col("z"), cell) + F.col("b")).alias("iz"))
-    met = asked.join(points.select("zone", F.col("x").alias("sx"), "y", F.col("z").alias("sz"), G.cell(F.col("x"), cell).alias("ix"), G.cell(F.col("z"), cell).alias("iz")), ["zone", "ix", "iz"])
-    sums = met.groupBy("zone", "key", "ring").agg(F.count(F.lit(1)).alias("n"))
+    at = points.select("zone", F.col("x").alias("sx"), "y", F.col("z").alias("sz"), G.cell(F.col("x"), cell).alias("ix"), G.cell(F.col("z"), cell).alias("iz"))
+    counted = asked.join(at.groupBy("zone", "ix", "iz").agg(F.count(F.lit(1)).alias("n")), ["zone", "ix", "iz"])
+    sums = counted.groupBy("zone", "key", "ring").agg(F.sum("n").alias("n"))
     upto = sums.withColumn("n", F.sum("n").over(Window.partitionBy("zone", "key").orderBy("ring")))
     ring = upto.groupBy("zone", "key").agg(F.coalesce(F.min(F.when(F.col("n") >= few, F.col("ring"))), F.max("ring")).alias("most"))
-    ranked = met.join(ring, ["zone", "key"]).where("ring <= most").withColumn("k", F.row_number().over(Window.partitionBy("zone", "key").orderBy(F.hypot(F.col("sx") - F.col("x"), F.col("sz") - F.col("z")), "y")))
+    met = asked.join(ring, ["zone", "key"]).where("ring <= most").join(at, ["zone", "ix", "iz"])
+    ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("zone", "key").orderBy(F.hypot(F.col("sx") - F.col("x"), F.col("sz") - F.col("z")), "y")))
     return ranked.where(F.col("k") <= few).groupBy("zone", "key").agg(F.median("y").alias("y"))
 
 
@@ -287,11 +299,36 @@ def nearest_gap(points: DataFrame, reach: float) -> DataFrame:
     return points.select("zone", "key").join(near, ["zone", "key"], "left")
 
 
-def links(points: DataFrame, reach: float = 30.0, across: float = 0.5) -> DataFrame:
-    """zone, a, b, distance: nodes within `reach`, but for pairs with a third node between them, within `across` of the line and nearer to both."""
-    pairs = graph.kept(near_pairs(points, points, reach, ("zone",)).where("key < b_key"))
-    third = near_pairs(points, points, reach, ("zone",)).where("key <> b_key").select("zone", "key", F.col("b_key").alias("c"), F.col("b_x").alias("cx"), F.col("b_z").alias("cz"), F.col("distance").alias("dc"))
-    met = pairs.join(third, ["zone", "key"]).where("c <> b_key AND dc < distance")
-    off = G.segment_distance(F.col("cx"), F.col("cz"), F.col("x"), F.col("z"), F.col("b_x"), F.col("b_z"))
-    blocked = met.where((off < across) & (F.hypot(F.col("cx") - F.col("b_x"), F.col("cz") - F.col("b_z")) < F.col("distance"))).select("zone", "key", "b_key").distinct()
-    return pairs.join(blocked, ["zone", "key", "b_key"], "left_anti").select("zone", F.col("key").alias("a"), F.col("b_key").alias("b"), "distance")
+def links(points: DataFrame, reach: float = 30.0, cone: float = math.pi / 5) -> DataFrame:
+    """zone, a, b, distance: from each node (zone, key, x, y, z) the links to nodes within `reach` that no nearer node blocks.
+
+    A node blocks what lies further off within `cone` of its own direction on the plane, the circle closed; nodes at equal distance don't block each other, and a
+    blocked one still blocks.  Links go one way, as b may block a from b's side alone.
+    """
+    size = reach
+    near = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    placed = points.select("zone", "key", "x", "y", "z", *(G.cell(F.col(c), size).alias("w_" + c) for c in "xyz"))
+    others = points.select("zone", F.col("key").alias("b"), *(F.col(c).alias("b" + c) for c in "xyz"), *(G.cell(F.col(c), size).alias("c_" + c) for c in "xyz"))
+    for c in "xyz":
+        others = others.withColumn("w_" + c, near).withColumn("w_" + c, F.col("w_" + c) + F.col("c_" + c))
+    d = {c: F.col("b" + c) - F.col(c) for c in "xyz"}
+    square = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
+    met = placed.join(others, ["zone", "w_x", "w_y", "w_z"]).where(F.col("key") != F.col("b")).select("zone", "key", "b", square.alias("d"), F.atan2(d["x"], d["z"]).alias("way")).where(F.col("d") <= reach * reach)
+    # A node's neighbours within reach are few; each link looks for a nearer one in its cone.
+    around = met.groupBy("zone", "key").agg(F.collect_list(F.struct("b", "d", "way")).alias("all"))
+    apart = lambda p, q: F.abs(F.pmod(p - q + math.pi, F.lit(2 * math.pi)) - math.pi)
+    free = F.filter("all", lambda one: ~F.exists("all", lambda o: (o["d"] < one["d"]) & (apart(o["way"], one["way"]) < cone)))
+    return around.select("zone", F.col("key").alias("a"), F.explode(free).alias("l")).select("zone", "a", "l.b", F.sqrt("l.d").alias("distance"))
+
+
+def local_gaps(points: DataFrame, reach: float, window: float = 60.0, few: int = 5) -> DataFrame:
+    """zone, key and spacing: the median of the gaps (nearest_gap) of a node's own and its neighbours' within half a window each way; null where fewer than `few` are known."""
+    gaps = points.join(nearest_gap(points, reach), ["zone", "key"]).where("gap is not null").select("zone", F.col("x").alias("gx"), F.col("z").alias("gz"), "gap")
+    half = window / 2
+    near = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+    others = gaps.withColumn("w_a", near).withColumn("w_b", near)
+    others = others.withColumns({"w_x": G.cell(F.col("gx"), half) + F.col("w_a"), "w_z": G.cell(F.col("gz"), half) + F.col("w_b")}).drop("w_a", "w_b")
+    met = points.select("zone", "key", "x", "z", G.cell(F.col("x"), half).alias("w_x"), G.cell(F.col("z"), half).alias("w_z")).join(others, ["zone", "w_x", "w_z"])
+    inside = met.where((F.abs(F.col("gx") - F.col("x")) <= half) & (F.abs(F.col("gz") - F.col("z")) <= half))
+    found = inside.groupBy("zone", "key").agg(F.median("gap").alias("spacing"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= few)
+    return points.select("zone", "key").join(found.drop("n"), ["zone", "key"], "left")

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry as G
@@ -30,14 +30,17 @@ def covered(cells: DataFrame, key: str, close: int = 2) -> DataFrame:
     return grid.dilate(grid.erode(grid.dilate(cells, key, reach=close + 1), key, reach=close), key)
 
 
-def pieces(cells: DataFrame, key: str) -> DataFrame:
-    """cells with piece: the least cell of the connected piece (by edges) that a cell belongs to."""
+def pieces(cells: DataFrame, key: str, diagonal: bool = False) -> DataFrame:
+    """cells with piece: the least cell of the connected piece (by edges, or corners as well) that a cell belongs to."""
     c = graph.kept(cells.select(key, "ix", "iz").distinct())
-    # A node is a text, so that any key will do.
-    node = lambda ix, iz: F.concat_ws(":", F.col(key).cast("string"), F.lpad(grid.cell_key(F.col(ix), F.col(iz)).cast("string"), 12, "0"))
-    link = grid.neighbours(c, key, diagonal=False).select(node("ux", "uz").alias("u"), node("ix", "iz").alias("v"))
-    found = graph.components(c.select(node("ix", "iz").alias("node")), link)
-    return c.withColumn("node", node("ix", "iz")).join(found, "node").select(key, "ix", "iz", F.element_at(F.split("root", ":"), -1).cast("long").alias("piece"))
+    link = grid.neighbours(c, key, diagonal=diagonal).select(_node(key, "ux", "uz").alias("u"), _node(key, "ix", "iz").alias("v"))
+    found = graph.components(c.select(_node(key, "ix", "iz").alias("node")), link)
+    return found.select(F.col("node.k").alias(key), F.floor(F.col("node.c") / 131072 - 65536).cast("int").alias("ix"), (F.col("node.c") % 131072 - 65536).cast("int").alias("iz"), F.col("root.c").alias("piece"))
+
+
+def _node(key: str, ix: str, iz: str) -> Column:
+    """A key's cell as a node of a graph; it keeps the order of grid.cell_key."""
+    return F.struct(F.col(key).alias("k"), grid.cell_key(F.col(ix), F.col(iz)).alias("c"))
 
 
 def boundary(cells: DataFrame, *keys: str) -> DataFrame:
@@ -73,13 +76,18 @@ def chained(x: np.ndarray, z: np.ndarray, tx: np.ndarray, tz: np.ndarray) -> lis
     return rings
 
 
-def outlines(cells: DataFrame, *keys: str, least_area: float = 0.0) -> DataFrame:
-    """keys, ring, hole and corners (arrays x and z) of each ring around the cells; corners on straight lines are left out, and those whose triangle has `least_area` cells at most."""
+def outlines(cells: DataFrame, *keys: str, least_area: float = 0.0, cut: bool = False) -> DataFrame:
+    """keys, ring, hole and corners (arrays x and z) of each ring around the cells; corners on straight lines are left out, and those whose triangle has `least_area` cells at most.
+
+    cut: the ring goes through the middles of the cells' edges, as a contour between the cells' middles does, so its corners are cut at 45 degrees.
+    """
 
     def run(edges: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for ring in chained(*(edges[c].to_numpy() for c in ("x", "z", "tx", "tz"))):
             x, z = (np.array(v, float) for v in zip(*ring, strict=True))
+            if cut:
+                x, z = (x + np.roll(x, -1)) / 2, (z + np.roll(z, -1)) / 2
             area = (x * np.roll(z, -1) - np.roll(x, -1) * z).sum() / 2
             at = visvalingam(x, z, max(least_area, 1e-9))
             rows.append((*edges[list(keys)].iloc[0], len(rows), area < 0, abs(area), x[at].tolist(), z[at].tolist()))
@@ -102,19 +110,23 @@ def corner_heights(corners: DataFrame, cells: DataFrame, key: str) -> DataFrame:
 
 
 def regions_from_points(points: DataFrame, key: str, cell: float = 6.0, close: int = 2) -> DataFrame:
-    """key, piece, ring, hole, at, x, y, z: regions around each key's points, one for each connected piece; rings of under four cells go.
+    """key, place, piece, ring, hole, at, x, y, z: regions around each key's points, one for each connected piece, the biggest outline first; rings of under four cells go.
 
-    Corners are simplified while their triangle has four cells at most, and stand at the height of the samples near them.
+    Corners are cut at 45 degrees, simplified while their triangle has four cells at most, and stand at the height of the samples near them.  A key with
+    fewer than three points has no region.
     """
-    cells = graph.kept(rasterised(points, key, cell))
+    many = points.groupBy(key).count().where("count >= 3").select(key)
+    cells = graph.kept(rasterised(points.join(many, key, "left_semi"), key, cell))
     grown = pieces(covered(cells, key, close), key)
-    rings = outlines(grown, key, "piece", least_area=4.0).where("area >= 4")
-    outer = rings.where("NOT hole").select(key, "piece").distinct()
-    corners = rings.join(outer, [key, "piece"], "left_semi").select(key, "piece", "ring", "hole", F.posexplode(F.arrays_zip("xs", "zs")).alias("at", "v"))
-    corners = corners.select(key, "piece", "ring", "hole", "at", F.col("v.xs").cast("int").alias("cx"), F.col("v.zs").cast("int").alias("cz"))
+    rings = graph.kept(outlines(grown, key, "piece", least_area=4.0, cut=True).where("area >= 4"))
+    order = Window.partitionBy(key).orderBy(F.desc("area"), "piece")
+    outer = rings.where("NOT hole").groupBy(key, "piece").agg(F.max("area").alias("area")).select(key, "piece", F.row_number().over(order).alias("place"))
+    corners = rings.join(outer, [key, "piece"]).select(key, "place", "piece", "ring", "hole", F.posexplode(F.arrays_zip("xs", "zs")).alias("at", "v"))
+    corners = corners.withColumns({"cx": F.round("v.xs").cast("int"), "cz": F.round("v.zs").cast("int")})
     low = cells.groupBy(key).agg(F.first("x0").alias("x0"), F.first("z0").alias("z0"))
-    high = corner_heights(corners, cells, key).join(low, key)
-    return high.select(key, "piece", "ring", "hole", "at", (F.col("x0") + F.col("cx") * cell).alias("x"), "y", (F.col("z0") + F.col("cz") * cell).alias("z"))
+    high = corner_heights(corners.select(key, "cx", "cz").distinct(), cells, key)
+    met = corners.join(high, [key, "cx", "cz"]).join(low, key)
+    return met.select(key, "place", "piece", "ring", "hole", "at", (F.col("x0") + F.col("v.xs") * cell).alias("x"), "y", (F.col("z0") + F.col("v.zs") * cell).alias("z"))
 
 
 def ground_near(cells: DataFrame, clearance: float, cell: float, *keys: str) -> DataFrame:
@@ -171,20 +183,20 @@ def obstacle_cells(triangles: DataFrame, key: str, cell: float = 0.5, join: floa
     """key, obstacle, ix, iz, foot, top: the cells of faces too steep to stand on; cells within `join` of each other are one obstacle, named by its least cell."""
     cells = graph.kept(sampled(triangles.where(steep(up)), cell, key).where(F.col("foot") - F.col("top") >= least_span))
     reach = max(1, round(join / cell))
-    node = lambda ix, iz: F.concat_ws(":", F.col(key).cast("string"), F.lpad(grid.cell_key(F.col(ix), F.col(iz)).cast("string"), 12, "0"))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(reach + 1) for b in range(-reach, reach + 1) if (a, b) > (0, 0)])
     near = cells.select(key, F.col("ix").alias("ux"), F.col("iz").alias("uz"), F.explode(steps).alias("s")).select(key, "ux", "uz", (F.col("ux") + F.col("s.a")).alias("ix"), (F.col("uz") + F.col("s.b")).alias("iz"))
-    link = near.join(cells.select(key, "ix", "iz"), [key, "ix", "iz"]).select(node("ux", "uz").alias("u"), node("ix", "iz").alias("v"))
-    found = graph.components(cells.select(node("ix", "iz").alias("node")), link)
-    return cells.withColumn("node", node("ix", "iz")).join(found, "node").select(key, F.element_at(F.split("root", ":"), -1).cast("long").alias("obstacle"), "ix", "iz", "foot", "top")
+    link = near.join(cells.select(key, "ix", "iz"), [key, "ix", "iz"]).select(_node(key, "ux", "uz").alias("u"), _node(key, "ix", "iz").alias("v"))
+    found = graph.components(cells.select(_node(key, "ix", "iz").alias("node")), link)
+    return cells.withColumn("node", _node(key, "ix", "iz")).join(found, "node").select(key, F.col("root.c").alias("obstacle"), "ix", "iz", "foot", "top")
 
 
 def obstacles(cells: DataFrame, key: str, cell: float = 0.5) -> DataFrame:
-    """key, obstacle, cells, x, z, foot, top, area and elongation (longest side over the root of the area)."""
+    """key, obstacle, cells, x, z, foot, top, area, elongation (longest side over the root of the area) and place, the biggest first."""
     middle = lambda c: F.avg((F.col(c) + 0.5) * cell)
+    order = Window.partitionBy(key).orderBy(F.desc("cells"), "obstacle")
     one = cells.groupBy(key, "obstacle").agg(F.count(F.lit(1)).alias("cells"), middle("ix").alias("x"), middle("iz").alias("z"), F.max("foot").alias("foot"), F.min("top").alias("top"), (F.greatest(F.max("ix") - F.min("ix"), F.max("iz") - F.min("iz")) + 1).alias("side"))
     area = F.col("cells") * cell * cell
-    return one.withColumn("area", area).withColumn("elongation", F.col("side") * cell / F.sqrt(area)).drop("side")
+    return one.withColumn("area", area).withColumn("elongation", F.col("side") * cell / F.sqrt(area)).withColumn("place", F.row_number().over(order)).drop("side")
 
 
 def obstacle_at(points: DataFrame, cells: DataFrame, key: str, margin: float, cell: float = 0.5) -> DataFrame:
@@ -199,19 +211,49 @@ def obstacle_at(points: DataFrame, cells: DataFrame, key: str, margin: float, ce
     return met.join(size, [key, "obstacle"]).groupBy(key, "id").agg(F.min_by("obstacle", F.struct("k", "obstacle")).alias("obstacle"))
 
 
-def clearance(cells: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """key, ix, iz and d: how far a cell is from the nearest one that isn't there, in steps of 1 and sqrt 2 (chamfer), up to `most` rounds."""
+def clearance(cells: DataFrame, key: str) -> DataFrame:
+    """key, ix, iz and d: how far a cell is from the nearest one that isn't there, in steps of 1 and sqrt 2 (chamfer); rounds go on until no cell comes nearer."""
     c = cells.select(key, "ix", "iz").distinct()
     near = [(a, b, 1.0 if a == 0 or b == 0 else math.sqrt(2)) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in near])
     links = graph.kept(c.select(key, "ix", "iz", F.explode(steps).alias("s")).select(key, "ix", "iz", (F.col("ix") + F.col("s.a")).alias("nx"), (F.col("iz") + F.col("s.b")).alias("nz"), F.col("s.w").alias("w")))
     at = c.select(key, F.col("ix").alias("nx"), F.col("iz").alias("nz"))
     start = links.join(at, [key, "nx", "nz"], "left_anti").groupBy(key, "ix", "iz").agg(F.min("w").alias("d"))
-    d = graph.kept(c.join(start, [key, "ix", "iz"], "left"))
-    for _ in range(most - 1):
-        offer = links.join(d.select(key, F.col("ix").alias("nx"), F.col("iz").alias("nz"), "d"), [key, "nx", "nz"]).groupBy(key, "ix", "iz").agg(F.min(F.col("d") + F.col("w")).alias("offer"))
-        d = graph.kept(d.join(offer, [key, "ix", "iz"], "left").select(key, "ix", "iz", F.least("d", "offer").alias("d")))
-    return d
+    d = graph.kept(c.join(start, [key, "ix", "iz"], "left").withColumn("fell", F.lit(True)))
+    while True:
+        moved = d.where("fell and d is not null").select(key, F.col("ix").alias("nx"), F.col("iz").alias("nz"), "d")
+        offer = links.join(moved, [key, "nx", "nz"]).groupBy(key, "ix", "iz").agg(F.min(F.col("d") + F.col("w")).alias("offer"))
+        less = F.col("offer").isNotNull() & (F.col("d").isNull() | (F.col("offer") < F.col("d") - 1e-9))
+        d = graph.kept(d.drop("fell").join(offer, [key, "ix", "iz"], "left").select(key, "ix", "iz", F.when(less, F.col("offer")).otherwise(F.col("d")).alias("d"), less.alias("fell")))
+        if not d.where("fell").limit(1).count():
+            return d.drop("fell")
+
+
+_PLUS = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
+
+
+def _plus(cells: DataFrame, key: str) -> DataFrame:
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _PLUS])
+    near = cells.select(key, "ix", "iz", F.explode(steps).alias("s"))
+    return near.select(key, (F.col("ix") + F.col("s.a")).alias("ix"), (F.col("iz") + F.col("s.b")).alias("iz"))
+
+
+def closed_by_edges(cells: DataFrame, key: str, steps: int = 2) -> DataFrame:
+    """Cells grown by `steps` along edges and shrunk again."""
+    c = cells.select(key, "ix", "iz").distinct()
+    for _ in range(steps):
+        c = _plus(c, key).distinct()
+    for _ in range(steps):
+        c = _plus(c, key).groupBy(key, "ix", "iz").count().where(F.col("count") == len(_PLUS)).drop("count")
+    return c
+
+
+def walked_ground(cells: DataFrame, key: str, steps: int = 2, most_hole: int = 40, least_patch: int = 25) -> DataFrame:
+    """Where mobs walk: the cells they were seen in, closed over small gaps, holes of `most_hole` cells filled, patches under `least_patch` dropped, grown by one."""
+    whole = graph.kept(filled_holes(closed_by_edges(cells, key, steps), key, most_hole))
+    found = pieces(whole, key)
+    big = found.groupBy(key, "piece").count().where(F.col("count") >= least_patch).drop("count")
+    return _plus(found.join(big, [key, "piece"], "left_semi"), key).distinct()
 
 
 def filled_holes(cells: DataFrame, key: str, most: int) -> DataFrame:

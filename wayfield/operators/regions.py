@@ -55,6 +55,16 @@ def coverage(spawns: DataFrame, points: DataFrame, regions: DataFrame) -> DataFr
     return sums.withColumn("level", F.when(share < 0.7, "warn").when(share < 0.9, "info").otherwise("ok"))
 
 
+def member_coverage(spawns: DataFrame, points: DataFrame, regions: DataFrame) -> DataFrame:
+    """region, mob_id, n and coverage: for each member of a region how many points it has and which share of them lies inside."""
+    members = spawns.select(F.col("id").alias("mob_id"), F.explode("regions").alias("name"))
+    boxed = regions.select("name", "rings", G.box(F.element_at("rings", 1)).alias("b"))
+    met = points.select("mob_id", "x", "z").join(members, "mob_id").join(boxed, "name")
+    x, z = F.col("x"), F.col("z")
+    held = in_box(x, z, F.col("b")) & G.contains(x, z, F.col("rings"))
+    return met.groupBy(F.col("name").alias("region"), "mob_id").agg(F.count(F.lit(1)).alias("n"), F.avg(held.cast("double")).alias("coverage"))
+
+
 def status(regions: Column, path: Column, at: Column) -> Column:
     """How a spawn is placed: region, route, fixed or nowhere."""
     return F.when(F.size(regions) > 0, "region").when(F.size(path) > 0, "route").when(at.isNotNull(), "fixed").otherwise("nowhere")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfield.operators import lists as L
-from wayfield.operators import zones
-from wayfield.plans.queries import _TRAIL, query
-from wayfield.plans.zone_queries import _zr, _zs
+from wayfield.operators import regions, zones
+from wayfield.plans.queries import _INSIDE, _REGIONS, _SPAWNS, _TRAIL, query
+from wayfield.plans.zone_queries import _zr
 from wayfield.sources import entities as E
 
 
@@ -23,12 +23,13 @@ def option_labels(spark: SparkSession, d: str) -> DataFrame:
     return E.table(spark, d, "part").select(F.col("p_partkey").alias("id"), L.option_label(name).alias("label"))
 
 
-@query(f"WITH {_TRAIL}, {_zs(0)}, m AS (SELECT zone, id AS mob_id, unnest(regions) AS region FROM zs0), c AS (SELECT m.zone, region, mob_id, count(*) AS n, avg(CASE WHEN x < 245 THEN 1.0 ELSE 0.0 END) AS coverage FROM m JOIN trail USING (mob_id) GROUP BY m.zone, region, mob_id HAVING count(*) >= 30) SELECT zone, region, mob_id, n, round(coverage, 6) AS coverage FROM c QUALIFY row_number() OVER (PARTITION BY zone, region ORDER BY n DESC, mob_id) <= 3")
+@query(f"WITH {_TRAIL}, {_REGIONS}, {_SPAWNS}, c AS (SELECT m.name AS region, m.id AS mob_id, count(*) AS n, avg(CASE WHEN {_INSIDE} THEN 1.0 ELSE 0.0 END) AS coverage FROM member m JOIN trail p ON p.mob_id = m.id JOIN reg r ON r.name = m.name GROUP BY ALL HAVING count(*) >= 5), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, mob_id) <= 3) SELECT region, mob_id, n, round(coverage, 6) AS coverage, row_number() OVER (PARTITION BY region ORDER BY coverage DESC, n DESC, mob_id) AS place FROM t")
 def conversion_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """For each region the three of its mobs with most samples (30 at least); the western half stands for the region."""
-    m = E.zone_spawns(spark, d).select("zone", F.col("id").alias("mob_id"), F.explode("regions").alias("region"))
-    c = m.join(E.trail_points(spark, d).select("mob_id", "x"), "mob_id").groupBy("zone", "region", "mob_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("x") < 245).cast("double")).alias("coverage")).where("n >= 30")
-    return L.ranked(c, "n", "mob_id", True, ("zone", "region")).where("place <= 3").select("zone", "region", "mob_id", "n", F.round("coverage", 6).alias("coverage"))
+    """For each region the three of its mobs with most samples (five at least), the one that keeps to the region best first."""
+    c = regions.member_coverage(E.spawns(spark, d), E.trail_points(spark, d), E.regions(spark, d)).where("n >= 5")
+    top = L.ranked(c, "n", "mob_id", True, ("region",)).where("place <= 3").drop("place")
+    order = Window.partitionBy("region").orderBy(F.desc("coverage"), F.desc("n"), "mob_id")
+    return top.withColumn("place", F.row_number().over(order)).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
@@ -51,9 +52,9 @@ def middle_half(spark: SparkSession, d: str) -> DataFrame:
     return L.middle_half(E.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 50.0).select("c_custkey")
 
 
-@query("SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")
 def zones_on_both_sides(spark: SparkSession, d: str) -> DataFrame:
-    return E.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")).intersect(E.table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_nationkey"))
+    return E.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")).intersect(E.table(spark, d, "customer").select("c_nationkey"))
 
 
 @query(f"WITH {_zr(0)}, z AS (SELECT DISTINCT zone FROM zr0), s AS (SELECT DISTINCT zone FROM zr0 WHERE nr > 20) SELECT z.zone, s.zone IS NOT NULL AS started FROM z LEFT JOIN s USING (zone)")
@@ -63,21 +64,36 @@ def zone_listing(spark: SparkSession, d: str) -> DataFrame:
     return r.select("zone").distinct().join(r.where("nr > 20").select("zone").distinct().withColumn("started", F.lit(True)), "zone", "left").select("zone", F.coalesce("started", F.lit(False)).alias("started"))
 
 
-@query("SELECT c_custkey AS id, c_mktsegment || CASE WHEN row_number() OVER w > 1 THEN '_' || row_number() OVER w ELSE '' END AS \"unique\" FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)")
+@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey AS k, c_mktsegment || CASE WHEN c_custkey % 10 = 3 THEN '_' || (2 + c_custkey % 4) ELSE '' END AS name FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY k, name ORDER BY id) AS u FROM c),
+f AS (SELECT k, name, i, row_number() OVER (PARTITION BY k, name ORDER BY i) + 1 AS u FROM (SELECT k, name, unnest(range(2, count(*) + 8)) AS i FROM c GROUP BY k, name) WHERE (k, name || '_' || i) NOT IN (SELECT (k, name) FROM c))
+SELECT id, CASE WHEN r.u = 1 THEN r.name ELSE r.name || '_' || i END AS "unique" FROM r LEFT JOIN f ON f.k = r.k AND f.name = r.name AND f.u = r.u""")
 def unique_names(spark: SparkSession, d: str) -> DataFrame:
-    return L.unique_names(E.table(spark, d, "customer"), ("c_nationkey",), "c_mktsegment", "c_custkey").select(F.col("c_custkey").alias("id"), "unique")
+    """Segments as names within a nation; some bear a number already."""
+    k = F.col("c_custkey")
+    named = E.table(spark, d, "customer").select(k.alias("id"), "c_nationkey", F.concat("c_mktsegment", F.when(k % 10 == 3, F.concat(F.lit("_"), (2 + k % 4).cast("string"))).otherwise("")).alias("name"))
+    return L.unique_names(named, ("c_nationkey",), "name", "id").select("id", "unique")
+
+
+_SPELL = "CASE WHEN {0} > 86400 THEN floor({0} / 86400 + 0.5)::BIGINT || ' days' WHEN {0} > 3600 THEN floor({0} / 3600 + 0.5)::BIGINT || ' hours' ELSE floor({0} / 60 + 0.5)::BIGINT || ' minutes' END"
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN s < 90 THEN s || ' s' WHEN s < 5400 THEN round(s / 60)::BIGINT || ' min' ELSE round(s / 3600)::BIGINT || ' h' END AS words, strftime(o_orderdate, 'regions-%Y-%m-%d') AS branch FROM (SELECT *, o_orderkey * 7 % 20011 AS s FROM orders)")
+@query(f"SELECT o_orderkey AS id, CASE WHEN gap > 120 THEN 'jumped, ' || {_SPELL.format('gap')} || ' unwatched' WHEN walked < 60 THEN walked || ' seconds in' ELSE {_SPELL.format('walked')} || ' in' END AS words, strftime(o_orderdate, 'regions-%Y-%m-%d') AS branch FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 7919 % 400009 ELSE o_orderkey % 121 END AS gap, o_orderkey * 104729 % (o_orderkey % 7 * 50021 + 59) AS walked FROM orders)")
 def durations_and_branches(spark: SparkSession, d: str) -> DataFrame:
-    o = E.table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), L.duration_words(F.col("o_orderkey") * 7 % 20011).alias("words"), F.concat(F.lit("regions-"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("branch"))
+    k = F.col("o_orderkey")
+    words = L.watched_words(F.when(k % 3 == 0, k * 7919 % 400009).otherwise(k % 121), k * 104729 % (k % 7 * 50021 + 59))
+    return E.table(spark, d, "orders").select(k.alias("id"), words.alias("words"), F.concat(F.lit("regions-"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("branch"))
 
 
-@query("""WITH h AS (SELECT n_name AS name, list_reduce(list_prepend(2166136261::HUGEINT, [unicode(x)::HUGEINT FOR x IN string_split(n_name, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296)::BIGINT AS f FROM nation),
-t AS (SELECT name, array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', (f // (36 ** i)::BIGINT % 36 + 1)::BIGINT, 1)), '') AS s FROM h) SELECT name, ltrim(s, '0') AS fingerprint FROM t""")
+@query("""WITH h AS (SELECT page_id, list_reduce(list_prepend(2166136261::HUGEINT, [unicode(x)::HUGEINT FOR x IN string_split('Zön日 ' || url, '')]), lambda h, c: xor(h, c) * 16777619 % 4294967296)::BIGINT AS f FROM pages),
+t AS (SELECT page_id, array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', (f // (36 ** i)::BIGINT % 36 + 1)::BIGINT, 1)), '') AS s FROM h) SELECT page_id, ltrim(s, '0') AS fingerprint FROM t""")
 def draft_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return E.table(spark, d, "nation").select(F.col("n_name").alias("name"), L.fingerprint(F.col("n_name")).alias("fingerprint"))
+    return E.table(spark, d, "pages").select("page_id", L.fingerprint(F.concat(F.lit("Zön日 "), "url")).alias("fingerprint"))
+
+
+@query("SELECT o_custkey AS folder, arg_max(o_orderkey, {'t': o_orderdate, 'k': o_orderkey}) AS draft FROM orders GROUP BY 1")
+def newest_drafts(spark: SparkSession, d: str) -> DataFrame:
+    drafts = E.table(spark, d, "orders").select(F.col("o_custkey").alias("folder"), F.col("o_orderkey").alias("draft"), F.struct("o_orderdate", "o_orderkey").alias("saved"))
+    return L.newest_drafts(drafts, "folder", "saved").select("folder", "draft")
 
 
 @query("SELECT n_name AS name FROM nation WHERE contains(lower(n_name), 'an') OR levenshtein(lower(n_name), 'an') <= 0.2")
@@ -85,11 +101,10 @@ def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     return L.fuzzy(E.table(spark, d, "nation").select(F.col("n_name").alias("name")), "name", "an")
 
 
-@query("WITH z AS (SELECT n_regionkey AS zone, count(*) AS n, list_sort(list(n_name)) AS names FROM nation WHERE n_nationkey < 12 GROUP BY 1), t AS (SELECT zone, 'Regions in ' || CASE WHEN n <= 2 THEN array_to_string(names, ' and ') ELSE n || ' zones' END AS title FROM z) SELECT zone, 'T: ' || title || ' (' || zone || ')' AS text FROM t")
+@query("WITH z AS (SELECT n_nationkey % 7 AS id, count(*) AS n, list_sort(list(n_name)) AS names FROM nation GROUP BY 1) SELECT id, 'T: Roam regions: ' || CASE WHEN n <= 3 THEN array_to_string(names, ', ') ELSE n || ' zones' END || ' (' || id || ', {{ other }})' AS text FROM z")
 def change_titles(spark: SparkSession, d: str) -> DataFrame:
-    z = E.table(spark, d, "nation").where("n_nationkey < 12").groupBy(F.col("n_regionkey").alias("zone")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("n_name")).alias("names"))
-    title = L.title(F.lit("Regions"), F.col("names"), F.col("n"))
-    return z.select("zone", L.filled(F.lit("T: {{title}} ({{zone}})"), {"title": title, "zone": F.col("zone").cast("string")}).alias("text"))
+    z = E.table(spark, d, "nation").groupBy((F.col("n_nationkey") % 7).alias("id")).agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    return z.select("id", L.filled(F.lit("T: {{title}} ({{  id }}, {{ other }})"), {"title": L.title(F.col("names")), "id": F.col("id")}).alias("text"))
 
 
 @query(f"WITH {_zr(0)} SELECT zone, name, 'zone:registerCuboidTriggerArea(' || nr || printf(', %.3f', list_min(list_transform(outline, lambda p: p.x))) || printf(', %.3f', outline[1].y) || printf(', %.3f', list_min(list_transform(outline, lambda p: p.z))) || printf(', %.3f', list_max(list_transform(outline, lambda p: p.x))) || printf(', %.3f', outline[1].y + 10) || printf(', %.3f', list_max(list_transform(outline, lambda p: p.z))) || ')' AS text FROM zr0")
@@ -101,11 +116,10 @@ def area_calls(spark: SparkSession, d: str) -> DataFrame:
     return E.zone_regions(spark, d).select("zone", "name", call.alias("text"))
 
 
-@query("SELECT c_nationkey AS zone, c_custkey AS id, s_nationkey AS origin FROM (SELECT s_nationkey, s_suppkey FROM supplier) s JOIN (SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey % 50 = 1) c ON c_custkey % 25 = s_suppkey % 25 WHERE s_nationkey <> c_nationkey")
+@query("SELECT c_custkey * 7 % 25 AS zone, c_custkey AS id, c_nationkey AS origin FROM customer WHERE c_custkey * 7 % 25 <> c_nationkey")
 def cross_zone_arrivals(spark: SparkSession, d: str) -> DataFrame:
-    s = E.table(spark, d, "supplier").select(F.col("s_nationkey").alias("zone"), (F.col("s_suppkey") % 25).alias("k"))
-    c = E.table(spark, d, "customer").where("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("to"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 25).alias("k"))
-    return L.arrivals(s.join(c, "k").select("zone", "to", "id"))
+    k = F.col("c_custkey")
+    return L.arrivals(E.table(spark, d, "customer").select(F.col("c_nationkey").alias("zone"), (k * 7 % 25).alias("to"), k.alias("id")))
 
 
 @query("""WITH l AS (SELECT s_suppkey AS id, s_nationkey AS zone, round(s_acctbal / 1000, 2) AS x, s_suppkey % 9 + 0.5 AS z FROM supplier), b AS (SELECT c_custkey AS box, c_nationkey AS zone, c_custkey % 100 + 1 AS id, round(c_acctbal / 1000, 2) AS x, c_custkey % 7 + 0.5 AS z FROM customer),
@@ -137,7 +151,7 @@ def island_ranks(spark: SparkSession, d: str) -> DataFrame:
     return L.island_ranks(s).withColumn("share", F.round("share", 9))
 
 
-@query("SELECT p_partkey AS id, (((p_partkey * 7919 * 65537) >> 26 & 7) << 3) | ((p_partkey * 7919 * 65537) >> 3 & 7) AS map, (p_partkey * 7919) & 15 = 9 AS water FROM part")
+@query("SELECT p_partkey AS id, (((p_partkey * 7919 * 65537) >> 26 & 3) << 3) | ((p_partkey * 7919 * 65537) >> 3 & 7) AS map, (p_partkey * 7919) & 15 = 9 AS water FROM part")
 def mesh_bits(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") * 7919
     return E.table(spark, d, "part").select(F.col("p_partkey").alias("id"), L.map_id(k * 65537).alias("map"), L.deep_water(k).alias("water"))
@@ -154,8 +168,7 @@ def region_sizes(spark: SparkSession, d: str) -> DataFrame:
     return E.zone_regions(spark, d).groupBy("zone").agg(F.count(F.lit(1)).alias("regions"), F.sum(F.size(F.element_at("rings", 1))).alias("vertices"), F.sum(F.size("rings") - 1).alias("holes"))
 
 
-@query("WITH c AS (SELECT n_name AS region, sum(c_custkey % 10) AS inside, count(*) * 9 AS total FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1) SELECT region, round(inside / total, 6) AS share, CASE WHEN inside / total < 0.7 THEN 'warn' ELSE 'info' END AS level FROM c WHERE inside / total < 0.9")
+@query(f"WITH {_TRAIL}, {_REGIONS}, {_SPAWNS}, c AS (SELECT m.name AS region, count(*) AS total, count(*) FILTER (WHERE {_INSIDE}) AS inside FROM member m JOIN trail p ON p.mob_id = m.id JOIN reg r ON r.name = m.name GROUP BY 1) SELECT region, round(inside / total, 6) AS share, CASE WHEN inside / total < 0.7 THEN 'warn' ELSE 'info' END AS level FROM c WHERE inside / total < 0.9")
 def coverage_findings(spark: SparkSession, d: str) -> DataFrame:
-    n = E.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("region"))
-    c = E.table(spark, d, "customer").join(n, "c_nationkey").groupBy("region").agg(F.sum(F.col("c_custkey") % 10).alias("inside"), (F.count(F.lit(1)) * 9).alias("total"))
+    c = regions.coverage(E.spawns(spark, d), E.trail_points(spark, d), E.regions(spark, d)).select("region", "inside", "total")
     return zones.coverage_findings(c).withColumn("share", F.round("share", 6))

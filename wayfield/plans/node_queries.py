@@ -113,17 +113,32 @@ def node_gaps(spark: SparkSession, d: str) -> DataFrame:
     return nodes.nearest_gap(keyed_nodes(spark, d), 3.005).withColumn("gap", F.round("gap", 6))
 
 
-_DIST = "sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2)"
+_TALL = _NODES.replace("SELECT zone, lpad", "SELECT zone, node % 7 * 1.0::DOUBLE AS y, lpad").replace("AS key, x, z FROM", "AS key, x + node % 1000 * 0.0001371::DOUBLE AS x, z FROM")
 
 
-@query(f"""WITH {_NODES.replace("SELECT zone, lpad", "SELECT zone, node, lpad")}, tp AS (SELECT * REPLACE (x + node % 1000 * 0.0001371::DOUBLE AS x) FROM pts), p AS (SELECT a.zone, a.key AS a, b.key AS b, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz, {_DIST} AS d FROM tp a JOIN tp b ON a.zone = b.zone AND a.key < b.key WHERE {_DIST} < 5.005),
-c AS (SELECT p.*, t.key AS c, least(1, greatest(0, ((t.x - ax) * (bx - ax) + (t.z - az) * (bz - az)) / nullif(d * d, 0))) AS f, t.x AS cx, t.z AS cz FROM p JOIN tp t ON t.zone = p.zone AND t.key <> p.a AND t.key <> p.b),
-k AS (SELECT DISTINCT a, b FROM c WHERE sqrt((cx - ax) ** 2 + (cz - az) ** 2) < d AND sqrt((cx - bx) ** 2 + (cz - bz) ** 2) < d AND sqrt((cx - ax - f * (bx - ax)) ** 2 + (cz - az - f * (bz - az)) ** 2) < 0.5)
-SELECT zone, a, b, round(d, 6) AS distance FROM p WHERE (a, b) NOT IN (SELECT (a, b) FROM k)""")
+def tall_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with heights, moved a little apart, so that no two distances are equal."""
+    node = F.substring_index("key", "/", -1).cast("int")
+    return keyed_nodes(spark, d).select("zone", "key", (F.col("x") + node % 1000 * 0.0001371).alias("x"), (node % 7 * 1.0).alias("y"), "z")
+
+
+@query(f"""WITH {_TALL}, p AS (SELECT a.zone, a.key AS a, b.key AS b, (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 AS d, atan2(b.x - a.x, b.z - a.z) + pi() AS way FROM pts a JOIN pts b ON a.zone = b.zone AND a.key <> b.key AND abs(a.x - b.x) <= 8 AND abs(a.z - b.z) <= 8 WHERE (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 <= 64),
+k AS (SELECT DISTINCT l.a, l.b FROM p l JOIN p o ON o.a = l.a AND o.d < l.d AND (abs(l.way - o.way) < pi() / 5 OR abs(l.way - o.way) > 2 * pi() - pi() / 5)) SELECT zone, a, b, round(sqrt(d), 6) AS distance FROM p WHERE (a, b) NOT IN (SELECT (a, b) FROM k)""")
 def node_links(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes moved a little apart, so that no two distances are equal."""
-    points = keyed_nodes(spark, d).withColumn("x", F.col("x") + F.substring_index("key", "/", -1).cast("int") % 1000 * 0.0001371)
-    return nodes.links(points, 5.005).withColumn("distance", F.round("distance", 6))
+    return nodes.links(tall_nodes(spark, d), 8.0).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_NODES}, g AS (SELECT a.zone, a.key, a.x, a.z, min(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2)) AS gap FROM pts a JOIN pts b ON a.zone = b.zone AND a.key <> b.key GROUP BY ALL HAVING gap < 3.005), m AS (SELECT p.zone, p.key, median(gap) AS spacing FROM pts p JOIN g ON g.zone = p.zone AND abs(g.x - p.x) <= 5.155 AND abs(g.z - p.z) <= 5.155 GROUP BY ALL HAVING count(*) >= 5) SELECT p.zone, p.key, round(spacing, 6) AS spacing FROM pts p LEFT JOIN m ON m.key = p.key")
+def node_spacings(spark: SparkSession, d: str) -> DataFrame:
+    """The usual gap between nodes around each node."""
+    return nodes.local_gaps(keyed_nodes(spark, d), 3.005, 10.31).withColumn("spacing", F.round("spacing", 6))
+
+
+@query(f"WITH {_NODES} SELECT zone, to_json(list([round(x, 2), round(z, 2)] ORDER BY key))::VARCHAR AS text FROM pts GROUP BY 1")
+def node_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes' positions as a JSON array a zone, as they are copied out."""
+    p = keyed_nodes(spark, d).select("zone", "key", F.array(F.round("x", 2), F.round("z", 2)).alias("at"))
+    return p.groupBy("zone").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("key", "at"))), lambda r: r["at"])).alias("text"))
 
 
 @query(f"""WITH {_TRAIL}, {_NODES}, c AS (SELECT p.zone, p.key, t.y, sqrt((t.x - p.x) ** 2 + (t.z - p.z) ** 2) AS far, greatest(1, abs(floor(t.x / 4) - floor(p.x / 4)), abs(floor(t.z / 4) - floor(p.z / 4))) AS ring FROM pts p JOIN trail t ON t.zone = p.zone WHERE abs(floor(t.x / 4) - floor(p.x / 4)) <= 4 AND abs(floor(t.z / 4) - floor(p.z / 4)) <= 4),
@@ -183,11 +198,26 @@ def empty_patches(spark: SparkSession, d: str) -> DataFrame:
     return raster.empty_patches(raster.cells_inside(field, "zone", 8.0), grid.cells(points, 8, "zone"), "zone", 2, 200)
 
 
-@query(f"WITH {_GROWN}, o8 AS (SELECT a, b, greatest(abs(a), abs(b)) + (sqrt(2) - 1) * least(abs(a), abs(b)) AS w FROM (SELECT unnest(range(-4, 5)) AS a), (SELECT unnest(range(-4, 5)) AS b)), f AS (SELECT g.zone, g.ix, g.iz, min(w) AS d FROM gr g, o8 WHERE (g.zone, g.ix + a, g.iz + b) NOT IN (SELECT (zone, ix, iz) FROM gr) GROUP BY ALL) SELECT gr.zone, gr.ix, gr.iz, round(CASE WHEN d <= 4 THEN d END, 6) AS d FROM gr LEFT JOIN f ON f.zone = gr.zone AND f.ix = gr.ix AND f.iz = gr.iz")
+@query(f"WITH {_GROWN}, o8 AS (SELECT a, b, greatest(abs(a), abs(b)) + (sqrt(2) - 1) * least(abs(a), abs(b)) AS w FROM (SELECT unnest(range(-12, 13)) AS a), (SELECT unnest(range(-12, 13)) AS b)), f AS (SELECT g.zone, g.ix, g.iz, min(w) AS d FROM gr g, o8 WHERE (g.zone, g.ix + a, g.iz + b) NOT IN (SELECT (zone, ix, iz) FROM gr) GROUP BY ALL) SELECT zone, ix, iz, round(d, 6) AS d FROM f")
 def cell_clearance(spark: SparkSession, d: str) -> DataFrame:
-    """How far cells are from the edge, where that is four at most."""
-    c = raster.clearance(raster.covered(raster.rasterised(E.trail_points(spark, d), "zone"), "zone"), "zone", 5)
-    return c.select("zone", "ix", "iz", F.when(F.round("d", 6) <= 4, F.round("d", 6)).alias("d"))
+    """How far cells are from the edge."""
+    c = raster.clearance(raster.covered(raster.rasterised(E.trail_points(spark, d), "zone"), "zone"), "zone")
+    return c.select("zone", "ix", "iz", F.round("d", 6).alias("d"))
+
+
+@query(f"WITH {_GROWN}, q AS (SELECT zone, vx, vz, count(*) AS k, count(*) FILTER (WHERE a = b) AS m FROM (SELECT zone, ix + a AS vx, iz + b AS vz, a, b FROM gr, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) GROUP BY ALL) SELECT zone, (SELECT count(*) FROM gr WHERE gr.zone = q.zone) - sum(CASE WHEN k = 1 THEN 1 WHEN k = 3 THEN -1 WHEN k = 2 AND m <> 1 THEN 2 ELSE 0 END) / 8 AS area FROM q GROUP BY zone")
+def cut_outline_areas(spark: SparkSession, d: str) -> DataFrame:
+    """What the rings hold whose corners are cut: an eighth of a cell less at each corner, more at each inner one."""
+    grown = raster.pieces(raster.covered(raster.rasterised(E.trail_points(spark, d), "zone"), "zone"), "zone")
+    signed = F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))
+    return raster.outlines(grown, "zone", "piece", cut=True).groupBy("zone").agg(F.sum(signed).alias("area"))
+
+
+@query()
+def walked_ground(spark: SparkSession, d: str) -> DataFrame:
+    """Where mobs walk, on a grid of two yalms."""
+    p = E.trail_points(spark, d)
+    return raster.walked_ground(p.select("zone", grid.G.cell(F.col("x"), 2.0).alias("ix"), grid.G.cell(F.col("z"), 2.0).alias("iz")), "zone")
 
 
 _TRIANGLES = """tri AS (SELECT p_size % 5 AS zone, p_partkey AS id, (p_partkey % 97) * 2.0::DOUBLE + 0.1::DOUBLE AS ax, 5.0::DOUBLE AS ay, (p_partkey % 89) * 2.0::DOUBLE + 0.1::DOUBLE AS az, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 5 END AS rise FROM part),
@@ -201,15 +231,18 @@ ol(zone, id, root) USING KEY (zone, id) AS (SELECT zone, id, id FROM ok UNION SE
 ob AS (SELECT ok.zone, ol.root AS obstacle, ix, iz, foot, top FROM ok JOIN ol ON ol.zone = ok.zone AND ol.id = ok.id)"""
 
 
-def _obstacle_cells(spark: SparkSession, d: str) -> DataFrame:
+def steep_triangles(spark: SparkSession, d: str) -> DataFrame:
     k, rise = F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, 1).otherwise(5)
     x, z = (k % 97) * 2.0 + 0.1, (k % 89) * 2.0 + 0.1
     corners = {"ax": x, "ay": F.lit(5.0), "az": z, "bx": x + 1.3, "by": 5.0 - rise, "bz": z + 0.2, "cx": x + 0.4, "cy": F.lit(5.0), "cz": z + 1.1}
-    t = E.table(spark, d, "part").select((F.col("p_size") % 5).alias("zone"), *(v.alias(n) for n, v in corners.items()))
-    return raster.obstacle_cells(t, "zone", least_span=0.5)
+    return E.table(spark, d, "part").select((F.col("p_size") % 5).alias("zone"), *(v.alias(n) for n, v in corners.items()))
+
+
+def _obstacle_cells(spark: SparkSession, d: str) -> DataFrame:
+    return raster.obstacle_cells(steep_triangles(spark, d), "zone", least_span=0.5)
 
 
-@query(f"WITH RECURSIVE {_TRIANGLES}, g AS (SELECT zone, obstacle, count(*) AS cells, avg((ix + 0.5) * 0.5) AS x, avg((iz + 0.5) * 0.5) AS z, max(foot) AS foot, min(top) AS top, greatest(max(ix) - min(ix), max(iz) - min(iz)) + 1 AS side FROM ob GROUP BY ALL) SELECT zone, obstacle, cells, round(x, 6) AS x, round(z, 6) AS z, round(foot, 6) AS foot, round(top, 6) AS top, cells * 0.25::DOUBLE AS area, round(side * 0.5 / sqrt(cells * 0.25), 6) AS elongation FROM g")
+@query(f"WITH RECURSIVE {_TRIANGLES}, g AS (SELECT zone, obstacle, count(*) AS cells, avg((ix + 0.5) * 0.5) AS x, avg((iz + 0.5) * 0.5) AS z, max(foot) AS foot, min(top) AS top, greatest(max(ix) - min(ix), max(iz) - min(iz)) + 1 AS side FROM ob GROUP BY ALL) SELECT zone, obstacle, cells, round(x, 6) AS x, round(z, 6) AS z, round(foot, 6) AS foot, round(top, 6) AS top, cells * 0.25::DOUBLE AS area, round(side * 0.5 / sqrt(cells * 0.25), 6) AS elongation, row_number() OVER (PARTITION BY zone ORDER BY cells DESC, obstacle) AS place FROM g")
 def obstacles(spark: SparkSession, d: str) -> DataFrame:
     return raster.obstacles(_obstacle_cells(spark, d), "zone").withColumns({c: F.round(c, 6) for c in ("x", "z", "foot", "top", "elongation")})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry as G
-from wayfield.operators import graph, grid, lines, regions, trails
+from wayfield.operators import grid, lines, raster, regions, trails
 from wayfield.sources import entities as E
 from wayfield.streaming import sessions
 
@@ -107,10 +107,7 @@ SELECT zone, root, count(*) AS cells FROM l GROUP BY ALL""")
 def walked_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of touching cells over all points of all zones."""
     c = grid.cells(E.trail_points(spark, d), 10, "zone")
-    key = lambda ix, iz: F.shiftleft(F.col("zone").cast("long"), 36) + grid.cell_key(F.col(ix), F.col(iz))  # noqa: E731  cell_key is under 2**36
-    link = grid.neighbours(c, "zone", diagonal=False).select(key("ux", "uz").alias("u"), key("ix", "iz").alias("v"))
-    found = graph.components(c.select(key("ix", "iz").alias("node")), link).groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
-    return found.select(F.shiftright("root", 36).alias("zone"), F.col("root").bitwiseAND((1 << 36) - 1).alias("root"), "cells")
+    return raster.pieces(c, "zone").groupBy("zone", F.col("piece").alias("root")).agg(F.count(F.lit(1)).alias("cells"))
 
 
 QUERIES["zone_pieces"], SQL["zone_pieces"] = walked_pieces, SQL["walked_pieces"]  # an older name of the same

@@ -204,7 +204,7 @@ def standing_places(spark: SparkSession, d: str) -> DataFrame:
     return zones.standing_places(E.zone_spawns(spark, d), E.zone_regions(spark, d)).withColumns({c: F.round(c, 6) for c in "xz"})
 
 
-_MAPS = """mp AS (SELECT s_suppkey % 5 AS zone, CAST(s_suppkey % 4 AS INT) AS floor, s_suppkey AS nr, s_suppkey % 2 AS number, 400 + 40 * (s_suppkey % 7) AS scale, -40 - s_suppkey % 30 AS ox, -450 - s_suppkey % 30 AS oy, (s_suppkey * 10)::VARCHAR AS image FROM supplier WHERE s_suppkey % 3 <> 0),
+_MAPS = """mp AS (SELECT s_suppkey % 5 AS zone, CAST(s_suppkey % 4 AS INT) AS floor, s_suppkey AS nr, s_suppkey % 2 AS number, 400 + 40 * (s_suppkey % 7) AS scale, -40 - s_suppkey % 30 AS ox, -450 - s_suppkey % 30 AS oy, (s_suppkey * 10)::VARCHAR AS image FROM supplier),
 fm AS (SELECT * FROM mp QUALIFY row_number() OVER (PARTITION BY zone, floor ORDER BY nr) = 1)"""
 
 
