@@ -1,7 +1,7 @@
 """All queries of the library and their SQL, by name."""
 
 from wayfield.plans import queries as plans
-from wayfield.plans import edit_queries, list_queries, node_queries, surface_queries, zone_queries  # noqa: F401  register their queries
+from wayfield.plans import edit_queries, list_queries, node_queries, place_queries, surface_queries, zone_queries  # noqa: F401  register their queries
 
 
 def queries() -> dict:
