@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.operators import places
+from wayfield.functions import geometry as G
+from wayfield.operators import nodes, places
 from wayfield.plans.edit_queries import spawn_points
-from wayfield.plans.queries import _REGIONS, _TRAIL, query
+from wayfield.plans.queries import _INSIDE, _REGIONS, _SPAWNS, _TRAIL, query
 from wayfield.plans.surface_queries import _MESH, _TRI, _at, mesh
 from wayfield.plans.zone_queries import _zs
 from wayfield.sources import entities as E
+from wayfield.sources import texts
+from wayfield.streaming import sessions
 
 _ISLANDS = """own AS (SELECT p_partkey AS poly, CASE WHEN p_partkey = 0 THEN 0 ELSE (p_partkey - 1) // 7 * 7 + 1 END AS island FROM part),
 gl AS (SELECT a.island AS u, b.island AS v FROM own a JOIN own b ON b.poly = a.poly + 40 WHERE a.poly % 35 = 0), ge AS (SELECT u, v FROM gl UNION SELECT v, u FROM gl),
@@ -98,3 +101,51 @@ def mobs_by_number(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     named = E.table(spark, d, "customer").select("c_nationkey", F.concat(k.cast("string"), F.when(k % 50 == 0, "x").otherwise("")).alias("id"))
     return places.numbered(named, "c_nationkey", "id").select("id", "place")
+
+
+@query(f"WITH {_REGIONS}, {_SPAWNS}, m AS (SELECT p.id, r.name, {_INSIDE} AS inside, CASE WHEN p.x BETWEEN x0 AND x1 AND p.z BETWEEN z0 AND z1 THEN least(p.x - x0, x1 - p.x, p.z - z0, z1 - p.z) ELSE sqrt(greatest(x0 - p.x, 0, p.x - x1) ** 2 + greatest(z0 - p.z, 0, p.z - z1) ** 2) END AS far, p.x >= r.x0 AND p.x < r.x1 AND p.z >= r.z0 AND p.z < r.z1 AS outline FROM member p JOIN reg r ON r.name = p.name) SELECT id, name, outline OR far <= 3.0007 AS near FROM m")
+def near_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Whether members stand in their region's outline or within three yalms of it."""
+    m = E.spawns(spark, d).select("id", "x", "z", F.explode("regions").alias("name")).join(E.regions(spark, d), "name")
+    return m.select("id", "name", G.within_ring(F.col("x"), F.col("z"), F.element_at("rings", 1), 3.0007).alias("near"))
+
+
+@query("""SELECT s_suppkey AS id, unnest(['regions', 'spawns']) AS kind, unnest(['regions:' || chr(10) || '  r' || s_suppkey || ':' || chr(10), 'spawns:' || chr(10) || '  ' || s_suppkey || ':' || chr(10)]) AS text FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'spawns' ELSE 'regions' END, CASE WHEN s_suppkey % 3 = 1 THEN 'spawns:' || chr(10) || '  ' || s_suppkey || ':' || chr(10) ELSE 'regions:' || chr(10) || '  r' || s_suppkey || ':' || chr(10) END FROM supplier WHERE s_suppkey % 3 <> 0""")
+def pasted_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Pasted texts taken apart by their marks, or by what is in them."""
+    k = F.col("s_suppkey").cast("string")
+    r, s = F.concat(F.lit("regions:\n  r"), k, F.lit(":")), F.concat(F.lit("spawns:\n  "), k, F.lit(":"))
+    both = F.concat(F.lit("# --- regions.yaml ---\n"), r, F.lit("\n# -- Mobs.YML (new)\n"), s)
+    text = F.when(F.col("s_suppkey") % 3 == 0, both).when(F.col("s_suppkey") % 3 == 1, s).otherwise(r)
+    found = texts.pasted_sections(E.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")), "id")
+    return found.select("id", "kind", F.concat(F.rtrim("text"), F.lit("\n")).alias("text"))
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    c = E.table(spark, d, "customer")
+    nodes_ = c.select((k % 3).alias("zone"), k.alias("root"), (k % 7).alias("mobs"))
+    return nodes_, c.select((k % 3).alias("zone"), k.alias("a"), (k + 3).alias("b"), (k % 5).alias("count"))
+
+
+@query("WITH n AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 >= 2) SELECT c_custkey % 3 AS zone, c_custkey AS a, c_custkey + 3 AS b, c_custkey % 5 AS count FROM customer WHERE c_custkey % 5 >= 2 AND c_custkey IN (SELECT k FROM n) AND c_custkey + 3 IN (SELECT k FROM n)")
+def shown_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges walked twice at least between nodes of two mobs at least."""
+    return nodes.shown(*_graph(spark, d), 2)[1]
+
+
+@query(f"WITH {_TRAIL}, n AS (SELECT mob_id, seq % 3 = 0 AS new, count(*) AS n, max(seq) AS last FROM trail GROUP BY ALL) SELECT mob_id, n, last FROM n QUALIFY row_number() OVER (PARTITION BY mob_id ORDER BY n DESC, new) = 1")
+def longer_trails(spark: SparkSession, d: str) -> DataFrame:
+    """Of what is stored of a mob and what a new capture holds (every third sample here) the longer."""
+    one = lambda rows: rows.groupBy("mob_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    p = E.trail_points(spark, d)
+    return sessions.longer_wins(one(p.where("seq % 3 <> 0")), one(p.where("seq % 3 = 0")))
+
+
+@query("SELECT n_regionkey AS zone, c_custkey AS node FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def collected_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Stored nodes by zone: a zone's collections (nations with a supplier), and the nodes of each."""
+    s = E.table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey")).distinct()
+    zone = E.table(spark, d, "nation").select(F.col("n_regionkey").alias("zone"), F.col("n_nationkey").alias("c_nationkey"))
+    return E.table(spark, d, "customer").join(F.broadcast(zone), "c_nationkey").join(s, "c_nationkey", "left_semi").select("zone", F.col("c_custkey").alias("node"))  # 25 nations
