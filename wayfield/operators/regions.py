@@ -30,6 +30,22 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell: float = 50.0,
     return met.where(in_box(x, z, F.col("b")) & G.contains(x, z, F.col("rings"))).select(*points.columns, "name", "nr", "rings", "b")
 
 
+def ring_counts(points: DataFrame, regions: DataFrame, *keys: str, cell: float = 50.0) -> DataFrame:
+    """keys, name, outline and hole: how many of a key's points each region's outline and its first hole hold; points meet rings by the cells of all rings' box.
+
+    Regions of keys without points are left out.
+    """
+    box = G.box(F.flatten("rings"))
+    spots = regions.select(*keys, "name", "rings", box.alias("b"))
+    spots = spots.withColumn("ix", F.explode(F.sequence(G.cell(F.col("b.x0"), cell), G.cell(F.col("b.x1"), cell)))).withColumn("iz", F.explode(F.sequence(G.cell(F.col("b.z0"), cell), G.cell(F.col("b.z1"), cell))))
+    placed = points.select(*keys, "x", "z", G.cell(F.col("x"), cell).alias("ix"), G.cell(F.col("z"), cell).alias("iz"))
+    met = placed.join(spots, [*keys, "ix", "iz"]).where(in_box(F.col("x"), F.col("z"), F.col("b")))
+    flags = met.select(*keys, "name", G.ring_flags(F.col("x"), F.col("z"), F.col("rings")).alias("f"))
+    n = flags.groupBy(*keys, "name").agg(F.count_if(F.get("f", F.lit(0))).alias("outline"), F.count_if(F.coalesce(F.get("f", F.lit(1)), F.lit(False))).alias("hole"))
+    there = regions.select(*keys, "name").join(points.select(*keys).distinct(), list(keys), "left_semi")
+    return there.join(n, [*keys, "name"], "left").na.fill(0, ["outline", "hole"])
+
+
 def region_at(points: DataFrame, regions: DataFrame, key: str, same_floor: float = 5.0, cell: float = 50.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, key and name: of the regions around a point those on the nearest floor (within `same_floor` of it), of these the one with the smallest box, the first (nr) on ties.
 

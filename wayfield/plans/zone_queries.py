@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.functions import geometry as G
-from wayfield.operators import maps, zones
+from wayfield.operators import maps, regions, zones
 from wayfield.plans.queries import _TRAIL, query
 from wayfield.sources import entities as E
 from wayfield.sources import texts
@@ -321,9 +321,7 @@ def rings_mostly_inside(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TRAIL}, {_zr(0)}, p AS (SELECT seq, t.zone, t.x, t.z, name, nr, holed, outline FROM trail t JOIN zr0 r ON r.zone = t.zone WHERE nr % 7 <> 3) SELECT zone, name, count(*) FILTER (WHERE len(outline) >= 3 AND x >= outline[1].x AND x < outline[1].x + 120 AND z >= outline[1].z AND z < outline[1].z + 24) AS outline, count(*) FILTER (WHERE holed AND x >= outline[1].x + 40 AND x < outline[1].x + 70 AND z >= outline[1].z + 7 AND z < outline[1].z + 17) AS hole FROM p GROUP BY ALL")
 def ring_hits(spark: SparkSession, d: str) -> DataFrame:
     """For each sound region of a zone, how many of the zone's points its outline and its hole hold."""
-    met = E.trail_points(spark, d).select("zone", "x", "z").join(E.zone_regions(spark, d).where("nr % 7 <> 3").select("zone", "name", "rings"), "zone")
-    flags = met.select("zone", "name", G.ring_flags(F.col("x"), F.col("z"), F.col("rings")).alias("f"))
-    return flags.groupBy("zone", "name").agg(F.count_if(F.get("f", F.lit(0))).alias("outline"), F.count_if(F.coalesce(F.get("f", F.lit(1)), F.lit(False))).alias("hole"))
+    return regions.ring_counts(E.trail_points(spark, d), E.zone_regions(spark, d).where("nr % 7 <> 3"), "zone")
 
 
 @query(f"WITH {_zr(0)}, {_zs(0)}, e AS (SELECT zone, id, pt, unnest(regions) AS name FROM zs0 WHERE pt IS NOT NULL) SELECT e.zone, id, e.name, round(list_reduce(list_transform(outline, lambda p: {{'d': (p.x - pt[1]) ** 2 + (p.z - pt[3]) ** 2, 'y': p.y}}), lambda u, w: CASE WHEN w.d < u.d THEN w ELSE u END).y, 6) AS height FROM e JOIN zr0 r ON r.zone = e.zone AND r.name = e.name")
