@@ -45,7 +45,7 @@ def seed_patches(spark: SparkSession, d: str) -> DataFrame:
 _HOLES = "hl AS (SELECT s_suppkey % 5 AS zone, s_suppkey AS hole, (s_suppkey * 37 % 1009) * 0.25::DOUBLE AS x0, (s_suppkey * 53 % 883) * 0.25::DOUBLE AS z0, 2 + s_suppkey % 3 AS side FROM supplier)"
 
 
-@query(f"WITH {_HOLES}, p AS (SELECT a.zone, a.hole, b.hole AS other, b.x0, b.z0, b.side FROM hl a JOIN hl b ON a.zone = b.zone WHERE sqrt(greatest(0, b.x0 - a.x0 - a.side, a.x0 - b.x0 - b.side) ** 2 + greatest(0, b.z0 - a.z0 - a.side, a.z0 - b.z0 - b.side) ** 2) <= 5) SELECT zone, hole, list(other ORDER BY other) AS members, min(x0) AS x0, max(x0 + side) AS x1, min(z0) AS z0, max(z0 + side) AS z1 FROM p GROUP BY ALL")
+@query(f"WITH {_HOLES}, p AS (SELECT a.zone, a.hole, b.hole AS other, b.x0, b.z0, b.side FROM hl a JOIN hl b ON a.zone = b.zone WHERE sqrt(greatest(0, b.x0 - a.x0 - a.side, a.x0 - b.x0 - b.side) ** 2 + greatest(0, b.z0 - a.z0 - a.side, a.z0 - b.z0 - b.side) ** 2) <= 5) SELECT zone, hole, string_agg(other::VARCHAR, ' ' ORDER BY other) AS members, min(x0) AS x0, max(x0 + side) AS x1, min(z0) AS z0, max(z0 + side) AS z1 FROM p GROUP BY ALL")
 def hole_groups(spark: SparkSession, d: str) -> DataFrame:
     """Square holes with what lies within five yalms of each, and the box of their hull."""
     k = F.col("s_suppkey")
@@ -53,7 +53,7 @@ def hole_groups(spark: SparkSession, d: str) -> DataFrame:
     corner = lambda cx, cz: F.struct(cx.cast("double").alias("x"), cz.cast("double").alias("z"))
     rows = E.table(spark, d, "supplier").select((k % 5).alias("zone"), k.alias("hole"), F.array(corner(x, z), corner(x + side, z), corner(x + side, z + side), corner(x, z + side)).alias("ring"))
     g = holes.hole_groups(rows, "zone", 5.0).withColumn("b", G.box(F.col("corners")))
-    return g.select("zone", "hole", "members", "b.x0", "b.x1", "b.z0", "b.z1")
+    return g.select("zone", "hole", F.array_join("members", " ").alias("members"), "b.x0", "b.x1", "b.z0", "b.z1")
 
 
 def _steep_cells(spark: SparkSession, d: str) -> DataFrame:
