@@ -27,7 +27,8 @@ files without rows.
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -44,7 +46,8 @@ from .common import kept, stage, text_batches, values
 BLOCK, CHECKPOINT = 1 << 17, 128
 WORDS = re.compile(r" (?=\S)")  # a blank that starts a word
 BLANK = "\u0120"  # a blank as byte-level BPE writes it
-WIDE = re.compile(r" (?:\s|$)")  # one that doesn't
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # fixed values: what Python takes for white space
+WIDE = f" ([{SPACES}]|$)"  # one that doesn't
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -61,12 +64,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """The ids of texts, as bytes.
+    """The ids of texts.
 
-    Pieces are looked up in two tables, of `most` each: what is asked for goes to the newer one, and when that is full the older one is dropped.
+    Pieces are looked up in a table of the task, which takes new ones until it holds `most`; common pieces come early.  It is emptied when half of a batch's are not in it.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib, self.most = Tokenizer.from_file(path), most
@@ -75,68 +78,118 @@ class Encoder:
         self.by_words = isinstance(p, pre_tokenizers.ByteLevel) and p.use_regex and not p.add_prefix_space and self.lib.normalizer is None and self.lib.truncation is None and self.lib.padding is None
         self.by_words = self.by_words and all(not (t.lstrip or t.rstrip or " " in t.content) for t in self.lib.get_added_tokens_decoder().values())
         self.letters, self.merger = _byte_letters(), Tokenizer(self.lib.model)  # the model alone, for what is known to be one word
-        self.new, self.old = {}, {}
-
-    def _packed(self, lib, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-        upto = [0, *accumulate(map(len, found))]
-        width = np.dtype(self.kind).itemsize
-        data = np.fromiter(chain.from_iterable(found), self.kind, upto[-1]).tobytes()
-        return [data[width * a : width * b] for a, b in zip(upto, upto[1:], strict=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts pieces (each follows a blank) into the newer table."""
-        new, old = self.new, self.old
-        for p in pieces & old.keys():
-            new[p] = old[p]
-        pieces = pieces - old.keys()
-        words = {p for p in pieces if p.isalpha()}
-        ends = {p: p.rstrip(".,;:!?") for p in pieces - words}  # marks behind a letter are words of their own
-        marked = [(p, body, p[len(body) :]) for p, body in ends.items() if body and body != p and body[-1].isalpha()]
-        others = ends.keys() - {p for p, _, _ in marked}
-        for _, body, _ in marked:
-            if body not in new:
-                (words if body.isalpha() else others).add(body)
+        self.known: dict[str, bytes] = {}
+
+    def _packed(self, lib, texts: list[str], some: int = 4096) -> list[bytes]:
+        """`some` texts at a time, as the library keeps about a kilobyte for each."""
+        out, width = [], np.dtype(self.kind).itemsize
+        for i in range(0, len(texts), some):
+            found = [e.ids for e in lib.encode_batch_fast(texts[i : i + some], add_special_tokens=False)]
+            upto = [0, *accumulate(map(len, found))]
+            data = np.fromiter(chain.from_iterable(found), self.kind, upto[-1]).tobytes()
+            out += [data[width * a : width * b] for a, b in zip(upto, upto[1:], strict=False)]
+        return out
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of different pieces, each of which follows a blank."""
+        words, others, marked = {}, {}, []
+        for p in pieces:
+            if p.isalpha():
+                words[p] = None
+                continue
+            body = p.rstrip(".,;:!?")  # marks behind a letter are words of their own
+            if len(body) == len(p) or not body or not body[-1].isalpha():
+                others[p] = None
+            else:
+                marked.append((p, body, p[len(body) :]))
+                if body not in self.known:
+                    (words if body.isalpha() else others)[body] = None
         plain, others, marks = list(words), list(others), list({m for _, _, m in marked})
-        new.update(zip(plain, self._packed(self.merger, [BLANK + p if p.isascii() else BLANK + p.encode().decode("latin-1").translate(self.letters) for p in plain]), strict=True))
+        new = dict(zip(plain, self._packed(self.merger, [BLANK + p if p.isascii() else BLANK + p.encode().decode("latin-1").translate(self.letters) for p in plain]), strict=True))
         new.update(zip(others, self._packed(self.lib, [" " + p for p in others]), strict=True))
         tail = dict(zip(marks, self._packed(self.lib, marks), strict=True))
         for p, body, m in marked:
-            new[p] = new[body] + tail[m]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
-            return self._packed(self.lib, texts)
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        cut = [WORDS.split(t) if WIDE.search(t) else t.split(" ") for t in texts]
-        out = [[a, *map(self.new.get, c[1:])] for a, c in zip(self._packed(self.lib, [c[0] for c in cut]), cut, strict=True)]
-        gaps = [[i for i, x in enumerate(o) if x is None] for o in out]
-        self._learn({c[i] for c, at in zip(cut, gaps, strict=True) for i in at})
-        for o, c, at in zip(out, cut, gaps, strict=True):
-            for i in at:
-                o[i] = self.new[c[i]]
-        return [b"".join(o) for o in out]
+            new[p] = (new.get(body) or self.known[body]) + tail[m]
+        return new
+
+    def table(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, each of which follows a blank."""
+        found = list(map(self.known.get, pieces))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = self._learn([pieces[i] for i in gaps])
+        for i in gaps:
+            found[i] = new[pieces[i]]
+        if len(self.known) >= self.most and 2 * len(gaps) > len(pieces):
+            self.known = {}
+        if len(self.known) < self.most:
+            self.known.update(new)
+        return found
+
+    def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) in one array, an end id behind each, and how many each text has.
+
+        The texts' words are numbered, each different one is looked up once, and the lists of ids are put together by numpy.
+        """
+        texts = pc.fill_null(texts, "")
+        if self.by_words:
+            wide = pc.match_substring_regex(texts, WIDE).to_numpy(zero_copy_only=False)
+            cut = pc.split_pattern(texts, " ")
+            if wide.any():
+                cut = pa.array([WORDS.split(t.as_py()) if w else c.as_py() for t, c, w in zip(texts, cut, wide, strict=True)], pa.list_(pa.string()))
+            sizes, words = pc.list_value_length(cut).to_numpy(), cut.flatten().dictionary_encode()
+            pieces, at = words.dictionary.to_pylist(), words.indices.to_numpy().copy()
+        else:
+            sizes, pieces, at = np.ones(len(texts), np.int64), [], np.zeros(len(texts), np.int32)
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        whole = texts.to_pylist() if not self.by_words else [w.as_py() for w in cut.flatten().take(pa.array(upto[:-1]))]
+        found = [*self.table(pieces), *self._packed(self.lib, whole), np.array([end], self.kind).tobytes()]  # what no blank precedes is looked up by itself
+        at[upto[:-1]] = len(pieces) + np.arange(len(texts))
+        at = np.insert(at, upto[1:], len(found) - 1)
+        length = np.fromiter(map(len, found), np.int32, len(found)) // np.dtype(self.kind).itemsize
+        start, data = np.cumsum(length, dtype=np.int32) - length, np.frombuffer(b"".join(found), self.kind)  # 32 bits do for the ids of a batch
+        n = length[at]
+        take = np.repeat(start[at] - (np.cumsum(n, dtype=np.int32) - n), n)
+        take += np.arange(len(take), dtype=np.int32)
+        return data[take], np.add.reduceat(n, upto[:-1] + np.arange(len(texts))).astype(np.int64) if len(texts) else n
 
 
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def _returned() -> None:
+    """Hands freed memory back to the system, of which the allocators of C and Arrow otherwise keep some hundred MB a worker; Arrow then uses C's."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes: the more texts at once, the fewer words are looked up."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """doc_id, h (hash of the text), n_tokens and ids (binary, of the tokenizer's id_type) with the end id behind each."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _returned()
         encoder = Encoder(tokenizer)
-        last, width = np.array([end], encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
-        gc.disable()  # the tables of pieces hold no cycles, and walking through them costs a sixth of the time
-        try:
-            for batch in batches:
-                ids = [x + last for x in encoder.encode([t or "" for t in batch.column(2).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "h", "n_tokens", "ids"])
-        finally:
-            gc.enable()
+        for batch in _gathered(batches):
+            ids, n = encoder.encode(batch.column(2), end)
+            offsets = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), packed], ["doc_id", "h", "n_tokens", "ids"])
+            del batch, ids, n, offsets, packed
+            _returned()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, n_tokens long, ids binary")
@@ -148,11 +201,10 @@ def counts(ids: DataFrame, kind: str, column: str = "ids") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                more = np.bincount(np.frombuffer(x.as_buffer(), kind)) if x.is_valid else n[:0]
-                if len(more) > len(n):
-                    n, more = more, n
-                n[: len(more)] += more
+            more = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+            if len(more) > len(n):
+                n, more = more, n
+            n[: len(more)] += more
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["id", "n"])
 
@@ -271,6 +323,7 @@ def _segments(code, kind: str, doc_kind: pa.DataType):
                     first, total, docs, sizes, held = first + total, 0, [], [], []
         if docs:
             yield segment()
+        _returned()
 
     return run
 
@@ -309,14 +362,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     code, rows = _opened(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _returned()
         c = kept(code, Code)
         for batch in batches:
             for i in range(len(batch)):
                 sizes = batch.column(2)[i].values.to_numpy()
-                data = memoryview(np.concatenate([c.decode(b.as_buffer()) for b in batch.column(3)[i].values]).astype("<u4").tobytes())
                 upto = np.concatenate([[0], np.cumsum(sizes)])
-                texts = [data[4 * a : 4 * b] for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i].values, pa.array(batch.column(0)[i].as_py() + upto[:-1], pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                ids = np.empty(upto[-1], "<u4")
+                for k, b in enumerate(batch.column(3)[i].values):
+                    ids[k * BLOCK : (k + 1) * BLOCK] = c.decode(b.as_buffer())
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * upto), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i].values, pa.array(batch.column(0)[i].as_py() + upto[:-1], pa.int64()), pa.array(sizes, pa.int64()), packed], ["doc_id", "start", "n_tokens", "ids"])
+            _returned()
 
     kind = rows.schema["doc_id"].dataType.elementType.simpleString()
     return rows.select("start", "doc_id", "n_tokens", "blocks").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
