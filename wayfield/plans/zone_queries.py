@@ -192,7 +192,12 @@ def unplaced_labelled(spark: SparkSession, d: str) -> DataFrame:
     return zones.filtered_by_status(E.zone_spawns(spark, d), "fixed").select("zone", "id")
 
 
-@query(f"WITH {_zs(0)}, l AS (SELECT zone, id, array_to_string(list_transform(path, lambda p: printf('%.1f %.1f %.1f', p.x % 8, p.y, p.z % 4)), ';') AS line FROM zs0 WHERE path IS NOT NULL) SELECT zone, id, count(*) OVER (PARTITION BY zone, line) AS n FROM l")
+def _one(v: str) -> str:
+    """A number's text at one decimal: halves of its written digits go up, as in the query; the sign stays."""
+    return f"CASE WHEN starts_with(({v})::VARCHAR, '-') THEN '-' ELSE '' END || round(abs({v})::VARCHAR::DECIMAL(30, 15), 1)::VARCHAR"
+
+
+@query(f"WITH {_zs(0)}, l AS (SELECT zone, id, array_to_string(list_transform(path, lambda p: concat_ws(' ', {_one('p.x % 8')}, {_one('p.y')}, {_one('p.z % 4')})), ';') AS line FROM zs0 WHERE path IS NOT NULL) SELECT zone, id, count(*) OVER (PARTITION BY zone, line) AS n FROM l")
 def shared_routes(spark: SparkSession, d: str) -> DataFrame:
     """Patrols on a small lattice, so that some share a line."""
     small = F.transform("path", lambda v: F.struct((v["x"] % 8).alias("x"), v["y"].alias("y"), (v["z"] % 4).alias("z")))
