@@ -23,7 +23,7 @@ def copies(tmp_path_factory):
     return d
 
 
-NAMES = ["shared_routes"]
+NAMES = ["shared_routes", "rings_on_ground"]
 
 
 @pytest.mark.parametrize("name", NAMES)
