@@ -23,7 +23,7 @@ def copies(tmp_path_factory):
     return d
 
 
-NAMES = ["shared_routes", "rings_on_ground", "near_nodes", "node_positions", "matched_rays"]
+NAMES = ["shared_routes", "rings_on_ground", "near_nodes", "node_positions", "matched_rays", "walked_edges"]
 
 
 @pytest.mark.parametrize("name", NAMES)
