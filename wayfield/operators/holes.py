@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -233,31 +234,39 @@ def visible(gaps: DataFrame, rings: DataFrame, key: str, share: float = 0.8) ->
 def first_fit(labels: DataFrame, key: str, order: str, reach: float = 12.0, height: float = 8.0) -> DataFrame:
     """labels (key, order, x, y, z and what else) with leader: in order, a label joins the first group whose founder is nearer than `reach` on the plane and `height` up or down, else founds one.
 
-    leader is the founder's order.  Labels too far apart to share a group through any others are independent, so each cluster of near ones is decided by itself.
+    leader is the founder's order.  Labels of one cell, which is less than `reach` across and `height` high, are all near each other, so a cell has one founder at most, and what is
+    met does not grow with the labels in it: in rounds, the first label left in a cell is a founder if it comes before the first ones left of all cells around, and takes
+    what is near it out.  A label without a place founds its own group.
     """
-    from wayfield.operators import nodes
-
-    node = F.struct(F.col(key).alias("k"), F.col(order).alias("o"))
-    points = graph.kept(labels.select(F.col(key).alias("zone"), node.alias("key"), F.col(order).alias("w_o"), "x", "y", "z"))
-    pairs = nodes.near_pairs(points, points, reach, ("zone",)).where((F.col("key") < F.col("b_key")) & (F.abs(F.col("y") - F.col("b_y")) < height))
-    found = graph.components(points.select(F.col("key").alias("node")), pairs.select(F.col("key").alias("u"), F.col("b_key").alias("v")))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("w_o", ignore_index=True)
-        x, y, z = (rows[c].to_numpy(float) for c in "xyz")
-        founders: list[int] = []
-        leader = np.zeros(len(rows), int)
-        for i in range(len(rows)):
-            fits = [f for f in founders if math.hypot(x[f] - x[i], z[f] - z[i]) < reach and abs(y[f] - y[i]) < height]
-            if not fits:
-                founders.append(i)
-            leader[i] = fits[0] if fits else i
-        return pd.DataFrame({"w_k": rows["zone"], "w_o": rows["w_o"], "leader": rows["w_o"].to_numpy()[leader]})
-
-    kinds = [labels.schema[c].dataType.simpleString() for c in (key, order)]
-    led = points.join(found.withColumnRenamed("node", "key"), "key").select("root", "zone", "w_o", "x", "y", "z")
-    led = led.groupBy("root").applyInPandas(fit, f"w_k {kinds[0]}, w_o {kinds[1]}, leader {kinds[1]}")
-    return labels.join(led, (F.col(key) == F.col("w_k")) & (F.col(order) == F.col("w_o"))).drop("w_k", "w_o")
+    side, tall = reach * 0.7, height * 0.99
+    cells, axes = ("w_x", "w_y", "w_z"), ("x", "y", "z")
+    around = F.explode(F.array(*[F.struct(*(F.lit(v).alias(c) for c, v in zip(cells, (a, b, c), strict=True))) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3)]))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        near = rows.withColumn("s", around)
+        return near.withColumns({c: F.col(c) + F.col(f"s.{c}") for c in cells}).drop("s")
+
+    places = labels.where(" and ".join(f"{c} is not null" for c in axes)).groupBy(key, *axes).agg(F.min(order).alias("w_o"))  # those at one place have one leader
+    places = graph.kept(places.withColumns({c: G.cell(F.col(v), tall if v == "y" else side) for c, v in zip(cells, axes, strict=True)}))
+    todo, found = places, []
+    close = (F.hypot(F.col("x") - F.col("f_x"), F.col("z") - F.col("f_z")) < reach) & (F.abs(F.col("y") - F.col("f_y")) < height)
+    while True:
+        first = graph.kept(todo.groupBy(key, *cells).agg(F.min(F.struct(F.col("w_o").alias("f_o"), *(F.col(c).alias("f_" + c) for c in axes))).alias("f")).select(key, *cells, "f.*"))
+        if not first.limit(1).count():
+            break
+        least = spread(first.select(key, *cells, "f_o")).groupBy(key, *cells).agg(F.min("f_o").alias("f_o"))
+        new = graph.kept(first.join(least, [key, *cells, "f_o"]))
+        found.append(new)
+        todo = graph.kept(_met(todo, spread(new), [key, *cells], close, "left_anti"))
+    if not found:
+        return labels.withColumn("leader", F.col(order))
+    leaders = _met(places, spread(reduce(DataFrame.unionByName, found)), [key, *cells], close, "inner").groupBy(key, *axes).agg(F.min("f_o").alias("leader"))
+    return labels.join(leaders, [key, *axes], "left").select(*labels.columns, F.coalesce("leader", order).alias("leader"))
+
+
+def _met(rows: DataFrame, founders: DataFrame, keys: list[str], close: Column, how: str) -> DataFrame:
+    f = founders.select(*(F.col(k).alias("k" + k) for k in keys), *(c for c in founders.columns if c not in keys))
+    return rows.join(f, reduce(lambda a, b: a & b, [F.col(k) == F.col("k" + k) for k in keys]) & close, how)
 
 
 def label_groups(labels: DataFrame, key: str, order: str, **options) -> DataFrame:
