@@ -9,10 +9,12 @@ from __future__ import annotations
 import heapq
 import math
 from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,28 +199,42 @@ def hole_groups(holes: DataFrame, key: str, reach: float = 2.0) -> DataFrame:
 
     Holes meet by the cells of their boxes; the distance is then measured edge to edge.
     """
-    size = max(reach, 1.0) * 8
-    box = G.box(F.col("ring"))
-    boxed = graph.kept(holes.where(F.size("ring") >= 3).select(key, "hole", "ring", box.alias("b")))
+    size = max(reach, 1.0) * 4
+    corners = F.transform("ring", lambda v: F.struct(v["x"].alias("x"), v["z"].alias("z")))
+    boxed = graph.kept(holes.where(F.size("ring") >= 3).select(key, "hole", corners.alias("ring"), G.box(F.col("ring")).alias("b")))
     span = lambda a, b, margin: F.explode(F.sequence(G.cell(F.col(a) - margin, size), G.cell(F.col(b) + margin, size)))
     here = boxed.withColumn("cx", span("b.x0", "b.x1", 0.0)).withColumn("cz", span("b.z0", "b.z1", 0.0))
     there = here.select(key, "cx", "cz", F.col("hole").alias("other"), F.col("ring").alias("other_ring"), F.col("b").alias("ob"))
     asked = boxed.withColumn("cx", span("b.x0", "b.x1", reach)).withColumn("cz", span("b.z0", "b.z1", reach))
     close = (F.col("b.x0") <= F.col("ob.x1") + reach) & (F.col("ob.x0") <= F.col("b.x1") + reach) & (F.col("b.z0") <= F.col("ob.z1") + reach) & (F.col("ob.z0") <= F.col("b.z1") + reach)
-    pairs = asked.join(there, [key, "cx", "cz"]).where((F.col("hole") != F.col("other")) & close).dropDuplicates([key, "hole", "other"])
-    pairs = pairs.where(G.ring_to_ring_distance(F.col("ring"), F.col("other_ring")) <= reach).select(key, "hole", "other", F.col("other_ring").alias("r"))
-    all_ = pairs.unionByName(boxed.select(key, "hole", F.col("hole").alias("other"), F.col("ring").alias("r")))
-    grouped = all_.groupBy(key, "hole").agg(F.array_sort(F.collect_list("other")).alias("members"), F.flatten(F.collect_list(F.transform("r", lambda v: F.struct(v["x"].alias("x"), v["z"].alias("z"))))).alias("all"))  # the few holes around one
+    first = (F.col("cx") == F.greatest(G.cell(F.col("b.x0") - reach, size), G.cell(F.col("ob.x0"), size))) & (F.col("cz") == F.greatest(G.cell(F.col("b.z0") - reach, size), G.cell(F.col("ob.z0"), size)))
+    pairs = asked.join(there, [key, "cx", "cz"]).where((F.col("hole") != F.col("other")) & close & first)  # of the cells that two share only the first has them as a pair
+    parts = lambda ring: [F.transform(ring, lambda v: v[c].cast("double")).alias(c + "s") for c in "xz"]
+    pairs = pairs.where(G.ring_to_ring_distance(F.col("ring"), F.col("other_ring")) <= reach).select(key, "hole", "other", *parts("other_ring"))
+    all_ = pairs.unionByName(boxed.select(key, "hole", F.col("hole").alias("other"), *parts("ring")))
+    kinds = {n: boxed.schema[n].dataType.simpleString() for n in (key, "hole")}
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for those of a hole's rows that follow each other, so that no corner of a pair is shuffled or sorted."""
+        for batch in batches:
+            ids = np.stack([batch.column(i).dictionary_encode().indices.fill_null(-1).to_numpy() for i in (0, 1)])
+            at = np.flatnonzero(np.append(True, (ids[:, 1:] != ids[:, :-1]).any(0))) if len(batch) else np.zeros(0, int)
+            ends, upto = np.append(at[1:], len(batch)), batch.column(3).offsets.to_numpy()
+            x, z = (batch.column(i).values.to_numpy() for i in (3, 4))
+            hulls = [upto[a] + hull(x[upto[a] : upto[b]], z[upto[a] : upto[b]]) for a, b in zip(at, ends, strict=True)]
+            members = pa.ListArray.from_arrays(pa.array(np.append(at, len(batch)), pa.int32()), batch.column(2))
+            corners = [pa.array([v[i] for i in hulls], pa.list_(pa.float64())) for v in (x, z)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), members, *corners], [key, "hole", "members", "xs", "zs"])
+
+    some = all_.mapInArrow(gathered, f"{key} {kinds[key]}, hole {kinds['hole']}, members array<{kinds['hole']}>, xs array<double>, zs array<double>")
+    flat = lambda c: F.flatten(F.collect_list(c))
+    grouped = some.groupBy(key, "hole").agg(F.array_sort(flat("members")).alias("members"), flat("xs").alias("xs"), flat("zs").alias("zs"))  # the few holes around one
 
     @F.pandas_udf("array<struct<x: double, z: double>>")
-    def hulls(rings: pd.Series) -> pd.Series:
-        def one(ring) -> list[dict]:
-            x, z = (np.array([v[c] for v in ring], float) for c in "xz")
-            return [{"x": x[i], "z": z[i]} for i in hull(x, z)]
+    def hulls(xs: pd.Series, zs: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x[i], "z": z[i]} for i in hull(x, z)] for x, z in zip(xs, zs, strict=True)])
 
-        return rings.map(one)
-
-    return grouped.select(key, "hole", "members", hulls("all").alias("corners"))
+    return grouped.select(key, "hole", "members", hulls("xs", "zs").alias("corners"))
 
 
 def visible(gaps: DataFrame, rings: DataFrame, key: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
