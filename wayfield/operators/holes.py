@@ -207,6 +207,8 @@ def hole_groups(holes: DataFrame, key: str, reach: float = 2.0) -> DataFrame:
     there = here.select(key, "cx", "cz", F.col("hole").alias("other"), F.col("ring").alias("other_ring"), F.col("b").alias("ob"))
     asked = boxed.withColumn("cx", span("b.x0", "b.x1", reach)).withColumn("cz", span("b.z0", "b.z1", reach))
     close = (F.col("b.x0") <= F.col("ob.x1") + reach) & (F.col("ob.x0") <= F.col("b.x1") + reach) & (F.col("b.z0") <= F.col("ob.z1") + reach) & (F.col("ob.z0") <= F.col("b.z1") + reach)
+    spark = holes.sparkSession
+    asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key, "cx", "cz")  # few bytes, but much to measure: a number that stays
     first = (F.col("cx") == F.greatest(G.cell(F.col("b.x0") - reach, size), G.cell(F.col("ob.x0"), size))) & (F.col("cz") == F.greatest(G.cell(F.col("b.z0") - reach, size), G.cell(F.col("ob.z0"), size)))
     pairs = asked.join(there, [key, "cx", "cz"]).where((F.col("hole") != F.col("other")) & close & first)  # of the cells that two share only the first has them as a pair
     parts = lambda ring: [F.transform(ring, lambda v: v[c].cast("double")).alias(c + "s") for c in "xz"]
