@@ -1,12 +1,14 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and their odd cases."""
 
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -539,6 +541,26 @@ def test_token_files_equal_the_library(spark, tmp_path):
         assert [i for p in parts for i in p.ids] == flat[a : a + n]
 
 
+def test_pieces_meet_the_library_in_few_texts():
+    class Counted:
+        def __init__(self, lib):
+            self.lib, self.texts = lib, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.lib.encode_batch_fast(texts, **options)
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abdehinrsté日'1\n") for _ in range(rnd.randint(1, 7)))
+    texts = [" ".join(word() + rnd.choice(["", ".", "###", "%&*!", "'s", ".\nA", "-x", "|>", "<|endoftext|>", "  ", " \t", "\u0120"]) for _ in range(40)) for _ in range(200)]
+    e = token_files.Encoder(token_files.tokenizer_path())
+    lib, e.lib, e.merger = e.lib, Counted(e.lib), Counted(e.merger)
+    ids, n = e.encode(pa.array(texts), 0)
+    assert e.by_words and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert len(e.known) > 2000 and e.lib.texts + e.merger.texts < 2000  # before, a text a piece: more than 3000; what is left are pieces with blanks of their own, and beginnings of texts
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_token_files_of_odd_rows(spark, odd, empty, tmp_path):
     got = read_ids(spark, odd, tmp_path / "a")
     assert len(got) == len(ODD) and got[0][1] is None and [g[2] for g in got if g[1] in (None, 1, 8)] == [1, 1, 1] and got == read_ids(spark, odd.repartition(3), tmp_path / "b")

@@ -29,9 +29,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, partial
 from itertools import accumulate, chain
 
 import numpy as np
@@ -45,6 +47,7 @@ from .common import kept, stage, text_batches, values
 
 BLOCK, CHECKPOINT = 1 << 17, 128
 WORDS = re.compile(r" (?=\S)")  # a blank that starts a word
+MARKS = ".,;:!?#$%&*"  # word by word, what a run of them behind a letter is to the tokenizer
 BLANK = "\u0120"  # a blank as byte-level BPE writes it
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # fixed values: what Python takes for white space
 WIDE = f" ([{SPACES}]|$)"  # one that doesn't
@@ -56,74 +59,93 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter by which byte-level BPE writes each byte: visible ones of Latin-1 stand for themselves, the others follow from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in shown]
-    return {b: chr(b) if b in shown else chr(256 + others.index(b)) for b in range(256)}
+def _listed(texts: pa.StringArray) -> list[str]:
+    """By numpy, which is several times as quick as to_pylist."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
     """The ids of texts.
 
-    Pieces are looked up in a table of the task, which takes new ones until it holds `most`; common pieces come early.  It is emptied when half of a batch's are not in it.
+    Pieces are looked up in a table of the worker, which takes new ones until it holds `most`; common pieces come early.  It is emptied when half of a batch's are not in it.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already; the library's threads cost CPU and keep memory
         self.lib, self.most = Tokenizer.from_file(path), most
         self.kind = id_type(self.lib.get_vocab_size(True))
         p = self.lib.pre_tokenizer
         self.by_words = isinstance(p, pre_tokenizers.ByteLevel) and p.use_regex and not p.add_prefix_space and self.lib.normalizer is None and self.lib.truncation is None and self.lib.padding is None
-        self.by_words = self.by_words and all(not (t.lstrip or t.rstrip or " " in t.content) for t in self.lib.get_added_tokens_decoder().values())
-        self.letters, self.merger = _byte_letters(), Tokenizer(self.lib.model)  # the model alone, for what is known to be one word
+        added = self.lib.get_added_tokens_decoder().values()
+        self.by_words = self.by_words and all(not (t.lstrip or t.rstrip or " " in t.content or t.content.startswith(BLANK)) for t in added)
+        self.marks = "".join(c for c in MARKS if all(c not in t.content for t in added))
+        self.merger = Tokenizer(self.lib.model)  # the model alone, for what is known to be one word
+        self.merger.pre_tokenizer = pre_tokenizers.Split(BLANK, "merged_with_next")
+        self.opens = np.zeros(self.lib.get_vocab_size(True), bool)  # whether an id's letters start with a blank
+        for letters, i in self.lib.get_vocab(True).items():
+            self.opens[i] = letters.startswith(BLANK)
         self.known: dict[str, bytes] = {}
 
-    def _packed(self, lib, texts: list[str], some: int = 4096) -> list[bytes]:
+    def _packed(self, texts: list[str], some: int = 4096) -> list[bytes]:
         """`some` texts at a time, as the library keeps about a kilobyte for each."""
         out, width = [], np.dtype(self.kind).itemsize
         for i in range(0, len(texts), some):
-            found = [e.ids for e in lib.encode_batch_fast(texts[i : i + some], add_special_tokens=False)]
+            found = [e.ids for e in self.lib.encode_batch_fast(texts[i : i + some], add_special_tokens=False)]
             upto = [0, *accumulate(map(len, found))]
             data = np.fromiter(chain.from_iterable(found), self.kind, upto[-1]).tobytes()
             out += [data[width * a : width * b] for a, b in zip(upto, upto[1:], strict=False)]
         return out
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of different pieces, each of which follows a blank."""
-        words, others, marked = {}, {}, []
-        for p in pieces:
-            if p.isalpha():
-                words[p] = None
-                continue
-            body = p.rstrip(".,;:!?")  # marks behind a letter are words of their own
-            if len(body) == len(p) or not body or not body[-1].isalpha():
-                others[p] = None
-            else:
-                marked.append((p, body, p[len(body) :]))
-                if body not in self.known:
-                    (words if body.isalpha() else others)[body] = None
-        plain, others, marks = list(words), list(others), list({m for _, _, m in marked})
-        new = dict(zip(plain, self._packed(self.merger, [BLANK + p if p.isascii() else BLANK + p.encode().decode("latin-1").translate(self.letters) for p in plain]), strict=True))
-        new.update(zip(others, self._packed(self.lib, [" " + p for p in others]), strict=True))
-        tail = dict(zip(marks, self._packed(self.lib, marks), strict=True))
-        for p, body, m in marked:
-            new[p] = (new.get(body) or self.known[body]) + tail[m]
-        return new
-
-    def table(self, pieces: list[str]) -> list[bytes]:
+    def _joined(self, lib, pieces: list[str], some: int = 2048) -> list[bytes]:
+        """The ids of pieces that start with a blank and hold no other.
+
+        The library gets `some` of them as one text, which spares its cost of a text for each; ids that start with a blank say where each piece begins.
+        """
+        out, width = [], np.dtype(self.kind).itemsize
+        for i in range(0, len(pieces), some):
+            [found] = lib.encode_batch_fast(["".join(pieces[i : i + some])], add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            upto = (width * np.append(np.flatnonzero(self.opens[ids]), len(ids))).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(upto, upto[1:], strict=False)]
+        if len(out) != len(pieces):
+            raise ValueError("the tokenizer's ids don't tell where pieces begin")
+        return out
+
+    def _learn(self, bodies: pa.StringArray) -> list[bytes]:
         """The ids of different pieces, each of which follows a blank."""
-        found = list(map(self.known.get, pieces))
+        word = pc.ascii_is_alpha(bodies).to_numpy(zero_copy_only=False)
+        wide = pc.or_(pc.match_substring(bodies, " "), pc.equal(bodies, "")).to_numpy(zero_copy_only=False)
+        out = np.empty(len(bodies), object)
+        for mask, lead, look in ((word, BLANK, partial(self._joined, self.merger)), (wide, " ", self._packed), (~word & ~wide, " ", partial(self._joined, self.lib))):
+            out[mask] = look([lead + p for p in _listed(bodies.filter(pa.array(mask)))])
+        return out.tolist()
+
+    def table(self, pieces: pa.StringArray) -> list[bytes]:
+        """The ids of different pieces, each of which follows a blank.  Marks behind a letter are words of their own, so pieces are looked up without them."""
+        body = pc.utf8_rtrim(pieces, self.marks)
+        marked = pc.and_(pc.utf8_is_alpha(pc.utf8_slice_codeunits(body, -1)), pc.not_equal(body, pieces))
+        once = pc.if_else(marked, body, pieces).dictionary_encode()
+        bodies = _listed(once.dictionary)
+        found = list(map(self.known.get, bodies))
         gaps = [i for i, x in enumerate(found) if x is None]
-        new = self._learn([pieces[i] for i in gaps])
-        for i in gaps:
-            found[i] = new[pieces[i]]
-        if len(self.known) >= self.most and 2 * len(gaps) > len(pieces):
+        for i, x in zip(gaps, self._learn(once.dictionary.take(pa.array(gaps, pa.int32()))), strict=True):
+            found[i] = x
+        if len(self.known) >= self.most and 2 * len(gaps) > len(bodies):
             self.known = {}
         if len(self.known) < self.most:
-            self.known.update(new)
-        return found
+            self.known.update((bodies[i], found[i]) for i in gaps)
+        at = once.indices.to_numpy().tolist()
+        out = list(map(found.__getitem__, at))
+        marked = np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()
+        ends = [p[len(bodies[at[i]]) :] for i, p in zip(marked, _listed(pieces.take(pa.array(marked, pa.int32()))), strict=True)]
+        kinds = list(dict.fromkeys(ends))
+        tail = dict(zip(kinds, self._packed(kinds), strict=True))
+        for i, end in zip(marked, ends, strict=True):
+            out[i] += tail[end]
+        return out
 
     def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) in one array, an end id behind each, and how many each text has.
@@ -134,15 +156,18 @@ class Encoder:
         if self.by_words:
             wide = pc.match_substring_regex(texts, WIDE).to_numpy(zero_copy_only=False)
             cut = pc.split_pattern(texts, " ")
-            if wide.any():
-                cut = pa.array([WORDS.split(t.as_py()) if w else c.as_py() for t, c, w in zip(texts, cut, wide, strict=True)], pa.list_(pa.string()))
+            if wide.any():  # these texts alone are cut by Python, and go back to their places
+                again = pa.array([WORDS.split(t) for t in _listed(texts.filter(pa.array(wide)))], cut.type)
+                place = np.arange(len(texts))
+                place[wide] = len(texts) + np.arange(len(again))
+                cut = pa.concat_arrays([cut, again]).take(pa.array(place))
             sizes, words = pc.list_value_length(cut).to_numpy(), cut.flatten().dictionary_encode()
-            pieces, at = words.dictionary.to_pylist(), words.indices.to_numpy().copy()
+            pieces, at = words.dictionary, words.indices.to_numpy().copy()
         else:
-            sizes, pieces, at = np.ones(len(texts), np.int64), [], np.zeros(len(texts), np.int32)
+            sizes, pieces, at = np.ones(len(texts), np.int64), pa.array([], pa.string()), np.zeros(len(texts), np.int32)
         upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        whole = texts.to_pylist() if not self.by_words else [w.as_py() for w in cut.flatten().take(pa.array(upto[:-1]))]
-        found = [*self.table(pieces), *self._packed(self.lib, whole), np.array([end], self.kind).tobytes()]  # what no blank precedes is looked up by itself
+        whole = _listed(cut.flatten().take(pa.array(upto[:-1])) if self.by_words else texts)
+        found = [*self.table(pieces), *self._packed(whole), np.array([end], self.kind).tobytes()]  # what no blank precedes is looked up by itself
         at[upto[:-1]] = len(pieces) + np.arange(len(texts))
         at = np.insert(at, upto[1:], len(found) - 1)
         length = np.fromiter(map(len, found), np.int32, len(found)) // np.dtype(self.kind).itemsize
@@ -153,6 +178,12 @@ class Encoder:
         return data[take], np.add.reduceat(n, upto[:-1] + np.arange(len(texts))).astype(np.int64) if len(texts) else n
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """One for all tasks that a worker runs."""
+    return Encoder(path)
+
+
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
@@ -182,7 +213,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _returned()
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in _gathered(batches):
             ids, n = encoder.encode(batch.column(2), end)
             offsets = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
