@@ -584,6 +584,54 @@ def test_pieces_meet_the_library_in_few_texts():
     assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
 
 
+def test_words_meet_the_library_once_and_letters_the_model_alone():
+    class Counted:
+        def __init__(self, lib):
+            self.lib, self.size = lib, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.size += sum(map(len, texts))
+            return self.lib.encode_batch_fast(texts, **options)
+
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("éèstraçÀn") for _ in range(8)) for _ in range(80)]
+    texts = ["Dix " + " ".join(f"{a}.\n{b}" for b in words) for a in words]
+    e = token_files.Encoder(token_files.tokenizer_path())
+    lib, e.lib, e.merger = e.lib, Counted(e.lib), Counted(e.merger)
+    ids, n = e.encode(pa.array(texts), 0)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [lib.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert e.lib.size < 100 and e.merger.size < 5000  # before, each pair of words met the library: 121,840 letters
+
+
+def test_a_workers_table_keeps_what_occurs_again():
+    e = token_files.Encoder(token_files.tokenizer_path(), most=40, few=10, longest=20)
+    word = lambda i: "x" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]
+    some = lambda a, b, k=1: "First " + " ".join([word(i) for i in range(a, b)] * k + ["long" * 9])
+    sizes = []
+    for t in (some(0, 30), some(30, 60), some(0, 30, 2), some(0, 30), some(60, 90, 2), some(90, 100, 2)):
+        ids, n = e.encode(pa.array([t, t]) if t == some(60, 90, 2) else pa.array([t]), 0)
+        assert ids[: n[0]].tolist() == [*e.lib.encode(t, add_special_tokens=False).ids, 0]
+        sizes.append(len(e.known))
+    assert sizes == [10, 10, 30, 30, 40, 10] and max(map(len, e.known.to_pylist())) < 20
+
+
+def test_pieces_of_tokenizers_whose_merges_cross_words(tmp_path):
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    b, nl = token_files.BLANK, token_files.LINE
+    texts = ["b ab ba a\nb a b", "ab\nab ab\nba", "a a a a", "", "ab"]
+    for more, added in ([("a", b), ("a" + b, "b")], []), ([(nl, "b"), (b, "a")], []), ([("b", "a")], [AddedToken("ba")]), ([("a", "b")], []):
+        vocab = {t: i for i, t in enumerate(["<end>", *token_files.BYTES, *(x + y for x, y in more)])}
+        t = Tokenizer(models.BPE(vocab, more))
+        t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        t.add_tokens(added)
+        t.save(str(tmp_path / "t.json"))
+        e = token_files.Encoder(str(tmp_path / "t.json"))
+        ids, n = e.encode(pa.array(texts), 0)
+        assert e.by_words and e.merges_words == (more == [("a", "b")])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+
+
 def test_token_files_of_odd_rows(spark, odd, empty, tmp_path):
     got = read_ids(spark, odd, tmp_path / "a")
     assert len(got) == len(ODD) and got[0][1] is None and [g[2] for g in got if g[1] in (None, 1, 8)] == [1, 1, 1] and got == read_ids(spark, odd.repartition(3), tmp_path / "b")
